@@ -1,0 +1,33 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+Writing a table and reading it again cuts lineage, gives the planner true sizes and survives a lost
+executor. The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests on one
+machine) a folder of our own is made.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and return the written table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/rastermill-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
