@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rastermill.llm import decontaminate, lines, packing, quality, simhash
 from rastermill.llm.queries import tokenizer_path
-from rastermill.llm.store import save
+from rastermill.sources.shared import save
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from ..sources.shared import save
 
 
 def deal(rows: DataFrame, by: str, piece: int) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from ..sources.shared import save
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

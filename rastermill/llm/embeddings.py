@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Roots, deal, whole_buckets
 from .components import component_ids
-from .store import save
+from ..sources.shared import save
 
 #: Distinct vectors that the principal axes are fitted on at most, and the tasks that sum their moments.
 SAMPLE, TASKS = 100_000, 8

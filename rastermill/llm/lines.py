@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from ..sources.shared import save
 
 #: White space that is stripped from a line before it is compared: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from ..sources.shared import save
 
 #: Labelled rows a model is fitted on at most, chosen by a hash of the id.
 MAX_ROWS = 400_000

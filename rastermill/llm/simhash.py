@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Roots, deal, whole_buckets
 from .components import component_ids
-from .store import save
+from ..sources.shared import save
 
 LEAF, FAN, BLOCK = 16, 16, 1 << 20
 #: Buckets beyond this many fingerprints are compared piece by piece, each pair of pieces in a task.

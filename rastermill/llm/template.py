@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import save
+from ..sources.shared import save
 from .urls import host_of
 
 #: Element names of HTML by how they are treated here.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .lines import LOWER, UPPER
-from .store import save
+from ..sources.shared import save
 
 
 def host_of(url: Column) -> Column:
