@@ -142,10 +142,10 @@ class QGramIndex:
             return found
         n = self.count[slot]
         entry = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.owner[entry], np.repeat(here, n) - self.place[entry]
-        band = diagonal // self.width[item]
+        hit_owner, diagonal = self.owner[entry], np.repeat(here, n) - self.place[entry]
+        band = diagonal // self.width[hit_owner]
         span = len(codes) + 2
-        key = np.concatenate([item * (4 * span) + band + 2 * span, item * (4 * span) + band - 1 + 2 * span])
+        key = np.concatenate([hit_owner * (4 * span) + band + 2 * span, hit_owner * (4 * span) + band - 1 + 2 * span])
         keys, shared = np.unique(key, return_counts=True)
         owner, bands = keys // (4 * span), keys % (4 * span) - 2 * span
         keep = shared >= self.least[owner]
@@ -154,7 +154,11 @@ class QGramIndex:
         for i, b in zip(owner[keep].tolist(), bands[keep].tolist(), strict=True):
             if i == last[0] and b * int(self.width[i]) < last[1]:
                 continue  # the half of this band that holds a place found already
-            item, c, k, _ = self.items[i]
+            item, c, k, least = self.items[i]
+            w = int(self.width[i])
+            beside = self.place[entry[(hit_owner == i) & (diagonal >= b * w) & (diagonal < (b + 2) * w)]]
+            if len(np.unique(beside)) < least:
+                continue  # the same q-grams again and again
             if words is None:
                 words = codes.tobytes().decode("utf-32-le", "surrogatepass")
             hit = self.align(codes, words, c, b * int(self.width[i]), k)
@@ -172,7 +176,7 @@ class QGramIndex:
         s = words.find(c.tobytes().decode("utf-32-le", "surrogatepass"), lo, hi + len(c) + 1)
         if s >= 0:
             return s, s + len(c), 0
-        end, edits = banded(codes, c, band - k, hi)
+        end, edits = banded(codes, c, band - k, hi, most=k)
         if edits > k:
             return None
         back, _ = banded(codes[:end][::-1], c[::-1], 0, 0, k)
@@ -193,11 +197,12 @@ def _slot(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def banded(codes: np.ndarray, c: np.ndarray, first: int, last: int, free: int | None = None) -> tuple[int, int]:
+def banded(codes: np.ndarray, c: np.ndarray, first: int, last: int, free: int | None = None, most: int | None = None) -> tuple[int, int]:
     """(end, edits) of the cheapest alignment of all of `c` that starts on a diagonal in [first, last].
 
     Cell t of row i stands for the text before `first + t + i`, so a row of the table is as wide as the
-    band. With `free` the alignment starts at 0 and may drift that far to either side.
+    band. With `free` the alignment starts at 0 and may drift that far to either side. Beyond `most` edits
+    the answer is only known to be more.
     """
     pad = 0 if free is None else free
     lo, width = first - pad, last - first + 1 + 2 * pad
@@ -211,5 +216,7 @@ def banded(codes: np.ndarray, c: np.ndarray, first: int, last: int, free: int |
         best = row + (window[i : i + width] != c[i])
         best[:-1] = np.minimum(best[:-1], row[1:] + 1)
         row = np.minimum.accumulate(best - t) + t
+        if most is not None and i % 16 == 15 and row.min() > most:  # it can only grow from here
+            break
     at = int(np.argmin(row))
     return min(max(lo + at + len(c), 1), len(codes)), int(row[at])
