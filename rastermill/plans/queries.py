@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, rules
-from ..operators import benchmarks, images, ledger, markup, regions, service
+from ..functions import color, rules, signing
+from ..operators import benchmarks, images, ledger, markup, palette, raster, regions, service
 from ..sources import roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,3 +507,53 @@ def stream_ledger(spark, sf_dir):
     from ..streaming import ledger as stream
 
     return stream.run(spark, sf_dir)
+
+
+@query("""with d as (select event_id % 397 as job_id, event_id, ts, case event_type when 'purchase' then 'success' when 'error' then 'permanent' else 'transient' end as outcome from events),
+k as (select *, row_number() over (partition by job_id order by ts, event_id) as k from d), f as (select job_id, min(case when outcome <> 'transient' or k >= 3 then k end) as last, count(*) as n from k group by job_id)
+select f.job_id, case when last is null then 'queued' when k.outcome = 'success' then 'completed' else 'failed' end as status, cast(coalesce(last, n) as int) as attempts, case when last is not null and k.outcome <> 'success' then 1 else 0 end as refunds from f left join k on f.job_id = k.job_id and f.last = k.k""")
+def stream_lifecycle(spark, sf_dir):
+    """The job state machine as a stateful stream over queue deliveries, run to its end."""
+    from ..streaming import lifecycle
+
+    return lifecycle.run(spark, sf_dir)
+
+
+_KEY = b"a key of our own"
+_IN, _OUT = ("".join(f"\\x{b:02X}" for b in p) for p in signing.pads(_KEY))
+
+
+@query(f"""with d as (select doc_id, 'documents/' || doc_id || '?expires=' || (1700000000 + doc_id) as link from documents), s as (select *, sha256('{_OUT}'::blob || unhex(sha256('{_IN}'::blob || link::blob))) as signature from d)
+select doc_id, link, signature, case when doc_id % 3 = 0 then 'forbidden' when 1700000000 + doc_id < 1700000500 then 'expired' end as error from s""")
+def signed_links(spark, sf_dir):
+    """Links to stored objects with their signature; every third is presented with a wrong one."""
+    expires = F.col("doc_id") + 1_700_000_000
+    d = roles.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit("?expires="), expires.cast("string")).alias("link"))
+    s = d.withColumn("signature", signing.hmac_sha256(_KEY, F.col("link")))
+    given = F.when(F.col("doc_id") % 3 == 0, "0").otherwise(F.col("signature"))
+    return s.withColumn("error", signing.link_error(F.col("signature"), given, expires, F.lit(1_700_000_500)))
+
+
+@query(f"select engine, round(avg(mean_delta_e), 6) as mean_delta_e, round(max(boundary_error), 6) as max_edge, cast(sum(segments) as bigint) as segments, avg(mean_delta_e) <= 0.04 and max(boundary_error) <= 0.3 and sum(segments) <= 1000000000 as within from {_ROWS} where not failed group by engine")
+def budget_gate(spark, sf_dir):
+    """Means, maxima and sums of each engine against its budgets."""
+    g = benchmarks.rows(spark, sf_dir).where("not failed").groupBy("engine").agg(F.avg("mean_delta_e").alias("d"), F.max("boundary_error").alias("e"), F.sum("segments").alias("segments"))
+    return g.select("engine", F.round("d", 6).alias("mean_delta_e"), F.round("e", 6).alias("max_edge"), "segments", ((F.col("d") <= 0.04) & (F.col("e") <= 0.3) & (F.col("segments") <= 1_000_000_000)).alias("within"))
+
+
+@query()
+def palette_extract(spark, sf_dir):
+    """A palette of each image by seeds, means and merging over its OKLab cells."""
+    return palette.extract(images.palette_bins(roles.pixels(spark, sf_dir)))
+
+
+@query()
+def img_denoise(spark, sf_dir):
+    """Each image after the bilateral filter."""
+    return raster.apply(roles.pixels(spark, sf_dir), lambda image: raster.bilateral(image, 2, 22.0))
+
+
+@query()
+def img_upscale(spark, sf_dir):
+    """Each image at twice its size, then blurred as before labelling."""
+    return raster.apply(roles.pixels(spark, sf_dir), lambda image: raster.blur(raster.upscale(image, 2), 0.9))
