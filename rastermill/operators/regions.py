@@ -6,6 +6,8 @@ spreads over all tasks. Inside an image the work is array arithmetic.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 def dense(labels: DataFrame) -> DataFrame:
     """(image_id, width, labels): one row for an image, labels in row-major order."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", F.col("label").cast("long").alias("label"))))
+    # a fixed number of tasks: the kernels' work is not in proportion to the bytes by which small ones would be joined
+    labels = labels.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
     return labels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), cells.alias("cells")).select("image_id", "width", F.col("cells.label").alias("labels"))
 
 
@@ -55,21 +59,47 @@ def component_roots(grid: np.ndarray) -> np.ndarray:
 def merge_small(grid: np.ndarray, min_area: int) -> np.ndarray:
     """Labels where each region below `min_area`, the smallest first, has joined the neighbour with the
     longest common border; of equals the one of the closest label, then the first."""
-    grid = grid.copy()
-    while True:
-        roots = component_roots(grid)
-        ids, areas = np.unique(roots, return_counts=True)
-        small = sorted((int(n), int(i)) for i, n in zip(ids, areas, strict=True) if n < min_area)
-        borders = _borders(roots)
-        for _, region in small:
-            beside = {k: n for (r, k), n in borders.items() if r == region}
-            if beside:
-                own = int(grid.flat[region])
-                best = min(beside, key=lambda k: (-beside[k], abs(int(grid.flat[k]) - own), k))
-                grid[roots == region] = grid.flat[best]
-                break
-        else:
-            return grid
+    roots = component_roots(grid)
+    ids, areas = np.unique(roots, return_counts=True)
+    area = dict(zip(ids.tolist(), areas.tolist(), strict=True))
+    label = {i: grid.flat[i] for i in area}
+    beside: dict[int, dict[int, int]] = {i: {} for i in area}
+    for (p, q), n in _borders(roots).items():
+        beside[p][q] = n
+    into: dict[int, int] = {}
+    todo = [(n, i) for i, n in area.items() if n < min_area]
+    heapq.heapify(todo)
+
+    def unite(p: int, q: int, new) -> int:
+        keep, gone = min(p, q), max(p, q)
+        for k, n in beside.pop(gone).items():
+            del beside[k][gone]
+            if k != keep:
+                beside[keep][k] = beside[k][keep] = beside[keep].get(k, 0) + n
+        area[keep] += area.pop(gone)
+        label[keep], into[gone] = new, keep
+        return keep
+
+    while todo:
+        n, region = heapq.heappop(todo)
+        if area.get(region) != n or not beside[region]:
+            continue
+        near = beside[region]
+        best = min(near, key=lambda k: (-near[k], abs(int(label[k]) - int(label[region])), k))
+        new = label[best]
+        same = [k for k in near if k != best and label[k] == new]
+        at = unite(region, best, new)
+        for k in same:  # regions of that label that only this one kept apart
+            at = unite(at, k, new)
+        if area[at] < min_area:
+            heapq.heappush(todo, (area[at], at))
+
+    def end(i: int) -> int:
+        while i in into:
+            i = into[i]
+        return i
+
+    return np.array([label[end(i)] for i in ids.tolist()])[np.searchsorted(ids, roots)].astype(grid.dtype)
 
 
 def _borders(roots: np.ndarray) -> dict[tuple[int, int], int]:
