@@ -13,3 +13,36 @@ def structure(files: DataFrame, id_col: str = "page_id", text_col: str = "html")
     ratio = F.try_divide(F.col("n_curves"), F.col("n_nodes"))
     flags = [(F.col("n_paths") > 50, "too-many-paths"), (F.col("n_nodes") < 4, "missing-details"), (ratio < 0.15, "jagged"), ((F.col("n_paths") > 50) & (F.try_divide(F.col("bytes"), F.col("n_paths")) < 40), "noisy"), (F.col("bytes") > 20000, "oversized")]
     return c.select(id_col, "n_paths", "n_nodes", "bytes", F.round(ratio, 6).alias("curve_ratio"), F.concat_ws(",", *[F.when(p, name) for p, name in flags]).alias("flags"))
+
+
+#: How many numbers one segment of each path command takes.
+ARITY = {"m": 2, "l": 2, "h": 1, "v": 1, "c": 6, "s": 4, "q": 4, "t": 2, "a": 7}
+
+
+def path_structure(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, bytes, paths, segments, curves) of SVG texts.
+
+    A command letter may be followed by the numbers of several segments. The first pair after a move is the move
+    itself, and further pairs are lines. Paths without fill don't count.
+    """
+    tags = F.filter(F.regexp_extract_all(F.col(text_col), F.lit(r"(<path\b[^>]*>)"), F.lit(1)), lambda t: ~t.contains('fill="none"'))
+    data = F.array_join(F.transform(tags, lambda t: F.regexp_extract(t, r'\bd="([^"]*)"', 1)), " ")
+    runs = F.regexp_extract_all(data, F.lit(r"([a-df-zA-DF-Z][^a-df-zA-DF-Z]*)"), F.lit(1))
+    arity = F.create_map(*[F.lit(x) for kv in ARITY.items() for x in kv])
+
+    def segments(run, only=None):
+        letter = F.lower(F.substring(run, 1, 1))
+        n = F.floor(F.regexp_count(run, F.lit(r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e-?[0-9]+)?")) / F.try_element_at(arity, letter))
+        n = F.coalesce(F.when(letter == "m", F.greatest(F.lit(0), n - 1)).otherwise(n), F.lit(0)).cast("long")
+        return n if only is None else F.when(letter.isin(*only), n).otherwise(F.lit(0).cast("long"))
+
+    total = lambda only=None: F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + segments(r, only))
+    return files.select(F.col(id_col), F.octet_length(text_col).cast("long").alias("bytes"), F.size(tags).cast("long").alias("paths"), total().alias("segments"), total("csqta").alias("curves"))
+
+
+def cleaned(text):
+    """SVG text without paths that draw nothing and groups that hold nothing, up to eight deep."""
+    out = F.regexp_replace(text, r'<path\b[^>]*\bd="\s*"[^>]*?(?:/>|>\s*</path>)', "")
+    for _ in range(8):
+        out = F.regexp_replace(out, r"<g\b[^>]*>\s*</g>|<g\b[^>]*/>", "")
+    return out

@@ -1,0 +1 @@
+from . import queries, shapes  # noqa: F401  (both register their queries)
