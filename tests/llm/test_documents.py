@@ -173,6 +173,27 @@ def test_masks_cover_every_pair_in_reach():
             assert any(d & m[0] == 0 for m in masks)
 
 
+def test_every_bit_is_under_two_masks():
+    masks = simhash.band_masks(8, 16)
+    assert len(masks) == 64 and all(sum(m.bit_count() for m in mask) == 16 for mask in masks)
+    for w in range(8):
+        assert all(sum(mask[w] >> b & 1 for mask in masks) == 2 for b in range(64))
+
+
+def test_pairs_at_the_threshold_share_a_mask_and_the_limit():
+    """Shingle sets of which 9 in 10 elements are common: a similarity of 0.82."""
+    rng = np.random.default_rng(8)
+    masks = np.array([[m & 0xFFFFFFFFFFFFFFFF for m in mask] for mask in simhash.band_masks(8, 16)], np.uint64)
+    found = 0
+    for _ in range(300):
+        h = rng.integers(0, 1 << 63, 440, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 440, dtype=np.uint64)
+        bits = np.unpackbits(np.stack([simhash._mix(h, k) for k in range(8)], 1).astype(">u8").view(np.uint8).reshape(440, -1), axis=1)
+        a, b = (np.packbits(2 * bits[s].sum(0) > 400).view(">u8").astype(np.uint64) for s in (slice(0, 400), slice(40, 440)))
+        apart = a ^ b
+        found += np.bitwise_count(apart).sum() <= 92 and bool(((apart & masks) == 0).all(1).any())
+    assert found >= 270
+
+
 def test_similar_texts_form_groups(spark):
     rng = random.Random(6)
     rows = []
