@@ -85,7 +85,7 @@ def radial_ramps(pixels: DataFrame, linear: DataFrame, margin: int = 1, label: s
     inner = F.col("distance") > margin
     own = lambda e: F.sum(F.when(inner, e))
     sums = [e for c in CHANNELS for e in (own(F.col(c) / 255.0).alias(f"s{c}"), own(F.col(c) / 255.0 * F.col("d")).alias(f"sd{c}"), own(F.col(c) / 255.0 * F.col(c) / 255.0).alias(f"s{c}{c}"))]
-    s = d.groupBy("image_id", label, "linear_rms").agg(F.count_if(inner).alias("n"), F.max("d").alias("radius"), own(F.col("d")).alias("sd"), own(F.col("d") * F.col("d")).alias("sdd"), *sums)
+    s = d.groupBy("image_id", label, "cx", "cy", "linear_rms").agg(F.count_if(inner).alias("n"), F.max("d").alias("radius"), own(F.col("d")).alias("sd"), own(F.col("d") * F.col("d")).alias("sdd"), *sums)
     n = F.col("n")
     s = s.withColumn("_spread", n * F.col("sdd") - F.col("sd") * F.col("sd")).where((n >= least) & (F.col("_spread") > 1e-6))
     error = F.lit(0.0)
@@ -96,7 +96,7 @@ def radial_ramps(pixels: DataFrame, linear: DataFrame, margin: int = 1, label: s
     steep = F.sqrt(F.col("slope_r") * F.col("slope_r") + F.col("slope_g") * F.col("slope_g") + F.col("slope_b") * F.col("slope_b"))
     s = s.withColumns({"rms": F.round(F.sqrt(error / (3 * n)), 6), "ramp": F.round(steep * F.col("radius"), 6), "linear_rms": F.round("linear_rms", 6)})
     s = s.withColumn("accepted", (F.col("rms") <= 0.02) & (F.col("rms") < F.round(F.col("linear_rms") * 0.7, 6)) & (F.col("ramp") >= 0.08))
-    return s.select("image_id", label, "n", "radius", *[f"{k}_{c}" for k in ("slope", "base") for c in CHANNELS], "rms", "ramp", "accepted")
+    return s.select("image_id", label, "n", "cx", "cy", "radius", *[f"{k}_{c}" for k in ("slope", "base") for c in CHANNELS], "rms", "ramp", "accepted")
 
 
 def along_axis(pixels: DataFrame, linear: DataFrame, label: str = "region") -> DataFrame:
@@ -129,17 +129,21 @@ def simplified(stops: list, tolerance: float) -> list:
     return simplified(stops[: at + 1], tolerance)[:-1] + simplified(stops[at:], tolerance)
 
 
+def _fewest(stops: Column, tolerance: float) -> Column:
+    @F.pandas_udf(STOPS)
+    def few(lists: pd.Series) -> pd.Series:
+        keys = ("offset", *CHANNELS)
+        return lists.map(lambda stops: [dict(zip(keys, s, strict=True)) for s in simplified([tuple(s[k] for k in keys) for s in stops], tolerance)])
+
+    return few(stops)
+
+
 def linear_stops(profiles: DataFrame, linear: DataFrame, bins: int = 24, tolerance: float = 3.0, label: str = "region") -> DataFrame:
     """(image_id, label, stops): the profile, drawn on to both ends along the fitted slope, in few stops.
 
     A region has at most `bins` samples, so its list is bounded.
     """
 
-    @F.pandas_udf(STOPS)
-    def few(lists: pd.Series) -> pd.Series:
-        keys = ("offset", *CHANNELS)
-        return lists.map(lambda stops: [dict(zip(keys, s, strict=True)) for s in simplified([tuple(s[k] for k in keys) for s in stops], tolerance)])
-
     sample = F.struct(((F.col("bin") + 0.5) / bins).alias("offset"), *CHANNELS)
     s = profiles.groupBy("image_id", label).agg(F.array_sort(F.collect_list(sample)).alias("s"), F.first("span").alias("span")).join(linear, ["image_id", label])
 
@@ -148,7 +152,39 @@ def linear_stops(profiles: DataFrame, linear: DataFrame, bins: int = 24, toleran
         return F.array(F.struct(F.lit(offset).alias("offset"), *channels))
 
     whole = F.concat(end(F.element_at("s", 1), 0.0), F.col("s"), end(F.element_at("s", -1), 1.0))
-    return s.select("image_id", label, few(whole).alias("stops"))
+    return s.select("image_id", label, _fewest(whole, tolerance).alias("stops"))
+
+
+def around_centre(pixels: DataFrame, radial: DataFrame, label: str = "region") -> DataFrame:
+    """Pixels with `t`: how far they are from the centre of their region, of the farthest one's distance."""
+    s = pixels.join(radial.select("image_id", label, "cx", "cy", F.col("radius").alias("span")), ["image_id", label])
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    return s.withColumn("t", F.round(F.sqrt(dx * dx + dy * dy) / F.greatest(F.lit(1e-9), F.col("span")), 9)).drop("cx", "cy")
+
+
+def radial_stops(profiles: DataFrame, radial: DataFrame, bins: int = 24, tolerance: float = 3.0, label: str = "region") -> DataFrame:
+    """(image_id, label, stops): the profile between the fitted colours of centre and rim, in few stops.
+
+    A region without a bin full enough has those two alone.
+    """
+    sample = F.struct(((F.col("bin") + 0.5) / bins).alias("offset"), *CHANNELS)
+    samples = profiles.groupBy("image_id", label).agg(F.array_sort(F.collect_list(sample)).alias("s"))
+    s = radial.join(samples, ["image_id", label], "left")
+
+    def fitted(offset: float) -> Column:
+        channels = [F.greatest(F.lit(0.0), F.least(F.lit(255.0), 255 * (F.col(f"base_{c}") + F.col(f"slope_{c}") * F.col("radius") * offset))).alias(c) for c in CHANNELS]
+        return F.array(F.struct(F.lit(offset).alias("offset"), *channels))
+
+    return s.select("image_id", label, _fewest(F.when(F.col("s").isNull(), F.concat(fitted(0.0), fitted(1.0))).otherwise(F.concat(fitted(0.0), F.col("s"), fitted(1.0))), tolerance).alias("stops"))
+
+
+def linear_ends(pixels: DataFrame, linear: DataFrame, label: str = "region") -> DataFrame:
+    """(image_id, label, place): x1, y1, x2, y2 of the ramp's line through the centre, in units of pixels."""
+    s = pixels.join(linear.select("image_id", label, "cx", "cy", "ux", "uy"), ["image_id", label])
+    along = F.col("x") * F.col("ux") + F.col("y") * F.col("uy")
+    s = s.groupBy("image_id", label, "cx", "cy", "ux", "uy").agg(F.min(along).alias("from"), F.max(along).alias("to"))
+    middle = F.col("cx") * F.col("ux") + F.col("cy") * F.col("uy")
+    return s.select("image_id", label, F.array(*[F.col(f"c{d}") + (F.col(end) - middle) * F.col(f"u{d}") + 0.5 for end in ("from", "to") for d in "xy"]).alias("place"))
 
 
 def colour_at(stops: Column, t: Column, channel: str) -> Column:

@@ -186,3 +186,21 @@ def diff_metrics(truth: DataFrame, traced: DataFrame) -> DataFrame:
     d = F.sqrt(sum(((F.col(c) - F.col(f"t_{c}")) * (F.col(c) - F.col(f"t_{c}")) for c in "lmn"), F.lit(0.0)))
     both = p.join(q, ["image_id", "x", "y"]).withColumn("d", d)
     return both.groupBy("image_id").agg(F.count("*").alias("n"), F.avg("d").alias("mean_delta"), F.sum((F.col("d") > 0.1).cast("int")).alias("n_bad"), F.avg(F.abs(F.col("a") - F.col("t_a"))).alias("alpha_error"))
+
+
+def upscale_mask(masks: DataFrame, factor: int) -> DataFrame:
+    """(image_id, x, y, mask) on a grid `factor` times as fine.
+
+    A fine pixel is set if all coarse ones are that bilinear upscaling blends into it. Each coarse pixel
+    makes the fine ones that it is the upper left source of, so nothing is joined.
+    """
+    if factor <= 1:
+        return masks.select("image_id", "x", "y", "mask")
+    m = masks.withColumn("mask", F.col("mask") & F.coalesce(F.lead("mask").over(_row()), F.col("mask")))
+    m = m.withColumn("mask", F.col("mask") & F.coalesce(F.lead("mask").over(_column()), F.col("mask")))
+    m = m.withColumns({f"_{d}": F.max(d).over(Window.partitionBy("image_id")) for d in "xy"})
+    for d in "xy":  # fine places run from the coarse one's middle to the next one's, at both borders to the end
+        first = F.when(F.col(d) == 0, 0).otherwise(F.col(d) * factor + factor // 2)
+        last = F.when(F.col(d) == F.col(f"_{d}"), (F.col(d) + 1) * factor - 1).otherwise((F.col(d) + 1) * factor + factor // 2 - 1)
+        m = m.withColumn(d, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return m.select("image_id", "x", "y", "mask")

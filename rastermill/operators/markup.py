@@ -1,10 +1,12 @@
-"""Structure of markup files by counting."""
+"""Structure of markup files by counting, and markup text of gradients."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import color
+
 
 def structure(files: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
     """Counts of paths, nodes and curves, and what is wrong with a file by them."""
@@ -46,3 +48,27 @@ def cleaned(text):
     for _ in range(8):
         out = F.regexp_replace(out, r"<g\b[^>]*>\s*</g>|<g\b[^>]*/>", "")
     return out
+
+
+def number(value: Column, digits: int) -> Column:
+    """A number in so many digits at most, without a trailing point or a minus before zero."""
+    return F.regexp_replace((color.half_up(value * 10**digits) / 10**digits + 0).cast("string"), r"\.0$", "")
+
+
+def gradient_definitions(fills: DataFrame, label: str = "region") -> DataFrame:
+    """(image_id, defs): the SVG text that defines an image's gradients as g0, g1, ... in order of their regions.
+
+    `fills` has (image_id, label, shape, place, stops): of a linear one x1, y1, x2, y2, of a radial one cx, cy,
+    r. Images without fills have no row.
+    """
+    stop = lambda s: F.concat(F.lit('<stop offset="'), number(s["offset"], 3), F.lit('" stop-color="'), color.hex_colour(*[color.half_up(s[c]) for c in "rgb"]), F.lit('"/>'))
+    names = F.when(F.col("shape") == "radial", F.array(*map(F.lit, ("cx", "cy", "r")))).otherwise(F.array(*map(F.lit, ("x1", "y1", "x2", "y2"))))
+    place = F.zip_with(names, "place", lambda k, v: F.concat(F.lit(" "), k, F.lit('="'), number(v, 2), F.lit('"')))
+    at = F.row_number().over(Window.partitionBy("image_id").orderBy(label)) - 1
+    text = F.concat(
+        F.lit("<"), "shape", F.lit('Gradient id="g'), at.cast("string"), F.lit('" gradientUnits="userSpaceOnUse"'), F.array_join(place, ""), F.lit(">"),
+        F.array_join(F.transform("stops", stop), ""), F.lit("</"), "shape", F.lit("Gradient>"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), F.col("text").alias("v"))))
+    each = fills.withColumn("text", text).groupBy("image_id").agg(ordered.alias("all"))
+    return each.select("image_id", F.concat(F.lit("<defs>"), F.array_join(F.col("all.v"), ""), F.lit("</defs>")).alias("defs"))

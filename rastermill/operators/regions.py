@@ -45,12 +45,17 @@ def component_roots(grid: np.ndarray) -> np.ndarray:
     right, down = grid[:, 1:] == grid[:, :-1], grid[1:] == grid[:-1]
     a = np.r_[at[:, :-1][right], at[:-1][down]]
     b = np.r_[at[:, 1:][right], at[1:][down]]
-    of = np.arange(h * w)
+    return joined(a, b, h * w).reshape(h, w)
+
+
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n things the smallest one that it hangs together with over the links a, b."""
+    of = np.arange(n)
     while True:
         x, y = of[a], of[b]
         apart = x != y
         if not apart.any():
-            return of.reshape(h, w)
+            return of
         np.minimum.at(of, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
         while not ((up := of[of]) == of).all():
             of = up
@@ -200,3 +205,27 @@ def nearest_centroid(vectors: DataFrame) -> DataFrame:
     means = parts.groupBy(F.col("label").alias("centre"), F.col("i").alias("axis")).agg(F.avg("v").alias("c"))
     d = parts.join(means, F.col("i") == F.col("axis")).groupBy("vec_id", "centre").agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d"))
     return d.groupBy("vec_id").agg(F.min_by("centre", F.struct(F.round("d", 9), "centre")).alias("label"), F.round(F.min("d"), 5).alias("distance"))
+
+
+def varying_groups(varying: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(image_id, region, grp): regions of `varying` (image_id, region) that hang together over `pairs`.
+
+    `pairs` (image_id, low, high) are neighbours; `grp` is the smallest region of a group of two or more. A
+    region without such a neighbour has no row. An image is one unit of work, as for other kernels here.
+    """
+    ends = [varying.select("image_id", F.col("region").alias(k)) for k in ("low", "high")]
+    met = pairs.select("image_id", "low", "high").join(ends[0], ["image_id", "low"], "left_semi").join(ends[1], ["image_id", "high"], "left_semi")
+
+    def run(batches):
+        for b in batches:
+            images, found, groups = [], [], []
+            for image, low, high in zip(*(b.column(k).to_pylist() for k in ("image_id", "low", "high")), strict=True):
+                names, at = np.unique(np.r_[low, high].astype(np.int64), return_inverse=True)
+                root = joined(at[: len(low)], at[len(low) :], len(names))
+                images += [image] * len(names)
+                found += names.tolist()
+                groups += names[root].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(found, pa.int64()), pa.array(groups, pa.int64())], ["image_id", "region", "grp"])
+
+    lists = met.groupBy(F.col("image_id").cast("long").alias("image_id")).agg(F.collect_list(F.struct("low", "high")).alias("p")).select("image_id", "p.low", "p.high")
+    return lists.mapInArrow(run, "image_id long, region long, grp long")

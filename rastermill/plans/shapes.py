@@ -88,6 +88,51 @@ def gradient_fills(spark, sf_dir):
     return gradients.fill_errors(placed, stops).join(stops, ["image_id", "region"]).where("kept").select("image_id", "region", F.round("flat_error", 4).alias("flat_error"), F.round("gradient_error", 4).alias("gradient_error"), "stops")
 
 
+_RIMS = f"(with d as (select p.*, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) as d from {_DISTANCES} p join {_RAMPS} f on p.image_id = f.image_id and p.region = f.region) select *, round(d / greatest(1e-9, max(d) over (partition by image_id, region)), 9) as t from d)"
+
+
+@query(f"select p.image_id, p.region, least(3, floor(round(t * 4, 7)))::int as bin, count(*) as n, round(avg(p.r), 6) as r, round(avg(p.g), 6) as g, round(avg(p.b), 6) as b from {_RIMS} p join (select image_id, region from {_RIMS} where distance > 1 group by 1, 2 having count(*) >= 4 and count(*) * sum(d * d) - sum(d) * sum(d) > 1e-6) q on p.image_id = q.image_id and p.region = q.region where distance > 1 group by 1, 2, 3 having count(*) >= 2")
+def gradient_radial_profile(spark, sf_dir):
+    """Mean colours from the centre of each region to its rim."""
+    p = _placed(spark, sf_dir)
+    radial = gradients.radial_ramps(p, gradients.linear_ramps(p), least=4)
+    found = gradients.profile(gradients.around_centre(p, radial), bins=4, least=2)
+    return found.select("image_id", "region", "bin", "n", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+@query()
+def gradient_radial_stops(spark, sf_dir):
+    """Few-stop radial gradients of all regions that allow a fit."""
+    p = _placed(spark, sf_dir)
+    radial = gradients.radial_ramps(p, gradients.linear_ramps(p), least=4)
+    return gradients.radial_stops(gradients.profile(gradients.around_centre(p, radial), bins=4, least=2), radial, bins=4)
+
+
+def _number(v: str, digits: int) -> str:
+    return f"regexp_replace(cast(floor(({v}) * 1e{digits} + 0.5::double) / 1e{digits} + 0 as varchar), '\\.0$', '')"
+
+
+_HEX = " || ".join(f"format('{{:02x}}', floor({c} + 0.5::double)::int)" for c in "rgb")
+_SHORT = "'#' || case when " + " and ".join(f"h[{i}] = h[{i + 1}]" for i in (1, 3, 5)) + " then h[1] || h[3] || h[5] else h end"
+_ENDS_OF = ", ".join(f"c{d} + ({end} - (cx * ux + cy * uy)) * u{d} + 0.5::double as {d}{k}" for k, end in ((1, "lo"), (2, "hi")) for d in "xy")
+_PLACE = " || ".join(f"' {k}=\"' || {_number(k, 2)} || '\"'" for k in ("x1", "y1", "x2", "y2"))
+
+
+@query(f"""with b as (select image_id, region, least(2, floor(round(t * 3, 7)))::int as bin, avg(r) as r, avg(g) as g, avg(b) as b from {_ALONG} where distance > 1 group by 1, 2, 3 having count(*) >= 3),
+s as (select image_id, region, string_agg('<stop offset="' || {_number('(bin + 0.5::double) / 3', 3)} || '" stop-color="' || {_SHORT} || '"/>', '' order by bin) as stops from (select *, {_HEX} as h from b) group by 1, 2),
+u as (select p.image_id, p.region, cx, cy, ux, uy, min(x * ux + y * uy) as lo, max(x * ux + y * uy) as hi from {_DISTANCES} p join {_RAMPS} f on p.image_id = f.image_id and p.region = f.region group by all),
+e as (select u.image_id, u.region, stops, row_number() over (partition by u.image_id order by u.region) - 1 as g, {_ENDS_OF} from u join s on u.image_id = s.image_id and u.region = s.region)
+select image_id, '<defs>' || string_agg('<linearGradient id="g' || g || '" gradientUnits="userSpaceOnUse"' || {_PLACE} || '>' || stops || '</linearGradient>', '' order by g) || '</defs>' as defs from e group by 1""")
+def gradient_definitions(spark, sf_dir):
+    """SVG text that defines a gradient for each region that has a profile."""
+    p = _placed(spark, sf_dir)
+    linear = gradients.linear_ramps(p)
+    profile = gradients.profile(gradients.along_axis(p, linear), bins=3, least=3)
+    sample = F.struct(((F.col("bin") + 0.5) / 3).alias("offset"), "r", "g", "b")
+    stops = profile.groupBy("image_id", "region").agg(F.array_sort(F.collect_list(sample)).alias("stops"))
+    return markup.gradient_definitions(gradients.linear_ends(p, linear).join(stops, ["image_id", "region"]).withColumn("shape", F.lit("linear")))
+
+
 # borders
 
 _GROWN = f"(select image_id, x * 2 + dx as x, y * 2 + dy as y, r, g, b, a from {_HALVED} cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) o(dx, dy))"
@@ -231,3 +276,26 @@ def traced_path_structure(spark, sf_dir):
     """Counts of paths, segments, curves and bytes in the SVG text of traced images."""
     traced = regions.trace(_labels(spark, sf_dir).withColumnRenamed("region", "label"))
     return markup.path_structure(traced, "image_id", "svg")
+
+
+# masks and groups
+
+_STRICT = f"(select p.image_id, p.x, p.y, bool_and(q.r >= 100) as mask from {_PIXELS} p join {_PIXELS} q on p.image_id = q.image_id and q.x - p.x in (0, 1) and q.y - p.y in (0, 1) group by 1, 2, 3)"
+
+
+@query(f"""with o as (select i % 24 as x, i // 24 as y from range(576) t(i)), a as (select x, y, greatest(0, floor((x + 0.5::double) / 3 - 0.5::double))::int as u, greatest(0, floor((y + 0.5::double) / 3 - 0.5::double))::int as v from o)
+select m.image_id, a.x, a.y, m.mask from a join {_STRICT} m on m.x = a.u and m.y = a.v""")
+def mask_upscale(spark, sf_dir):
+    """Bright pixels on a grid three times as fine, set where no dark one would be blended in."""
+    return images.upscale_mask(roles.pixels(spark, sf_dir).select("image_id", "x", "y", (F.col("r") >= 100).alias("mask")), 3)
+
+
+@query(f"""with recursive c as {_ROOTS}, v as (select c.image_id, c.region from c join {_PIXELS} p on c.image_id = p.image_id and c.x = p.x and c.y = p.y group by 1, 2 having max(g) - min(g) >= 40),
+s as (select distinct p.image_id, p.region as a, q.region as b from c p join c q on p.image_id = q.image_id and abs(p.x - q.x) + abs(p.y - q.y) = 1 and p.region <> q.region where (p.image_id, p.region) in (select (image_id, region) from v) and (q.image_id, q.region) in (select (image_id, region) from v)),
+w as (select image_id, a as region, a as grp from s union select w.image_id, s.b, w.grp from w join s on w.image_id = s.image_id and w.region = s.a)
+select image_id, region, min(grp) as grp from w group by 1, 2""")
+def region_varying_groups(spark, sf_dir):
+    """Neighbouring regions that all vary in green, as groups: candidates for one gradient."""
+    both, _ = _with_tints(spark, sf_dir)
+    varying = both.groupBy("image_id", "region").agg((F.max("g") - F.min("g")).alias("range")).where("range >= 40")
+    return regions.varying_groups(varying, images.neighbour_pairs(both))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastermill.functions import sizing
-from rastermill.operators import edges, gradients, markup
+from rastermill.operators import edges, gradients, images, markup, regions
 
 
 def frame(spark, grid, colour, label="region"):
@@ -109,3 +109,47 @@ def test_structure_counts_implicit_segments(spark):
 def test_empty_paths_and_groups_go(spark):
     d = spark.createDataFrame([('<svg><g><g id="a"> </g></g><path fill="x" d=" "/><path d="m0 0z"/></svg>',)], "t string")
     assert d.select(markup.cleaned(F.col("t")).alias("t")).first().t == '<svg><path d="m0 0z"/></svg>'
+
+
+def test_a_radial_ramp_becomes_stops_and_text(spark):
+    grid = np.zeros((21, 21))
+    p = gradients.edge_distance(frame(spark, grid, lambda x, y: (round(240 - 12 * np.hypot(x - 10, y - 10)), 60, 60)))
+    linear = gradients.linear_ramps(p)
+    radial = gradients.radial_ramps(p, linear)
+    assert radial.first().accepted
+    stops = gradients.radial_stops(gradients.profile(gradients.around_centre(p, radial), bins=8), radial, bins=8)
+    s = stops.first().stops
+    assert s[0].offset == 0 and s[-1].offset == 1 and abs(s[0].r - 240) < 3 and abs(s[-1].r - (240 - 12 * np.hypot(10, 10))) < 3 and len(s) <= 4
+    fills = stops.join(radial, ["image_id", "region"]).withColumns({"shape": F.lit("radial"), "place": F.array(F.col("cx") + 0.5, F.col("cy") + 0.5, "radius")})
+    text = markup.gradient_definitions(fills).first().defs
+    assert text.startswith('<defs><radialGradient id="g0" gradientUnits="userSpaceOnUse" cx="10.5" cy="10.5" r="14.14"><stop offset="0" stop-color="#') and text.endswith("</radialGradient></defs>")
+
+
+def test_definitions_are_numbered_by_region_and_short(spark):
+    fill = "image_id long, region long, shape string, place array<double>, stops array<struct<offset: double, r: double, g: double, b: double>>"
+    rows = [(1, 9, "linear", [0.0, -0.001, 12.345, 3.0], [(0.0, 255.0, 0.0, 17.0), (0.6666, 1.4, 1.5, 300 / 3)]), (1, 2, "radial", [1.0, 2.0, 3.5], [(1.0, 0.0, 0.0, 0.0)])]
+    got = markup.gradient_definitions(spark.createDataFrame(rows, fill)).first().defs
+    assert got == (
+        '<defs><radialGradient id="g0" gradientUnits="userSpaceOnUse" cx="1" cy="2" r="3.5"><stop offset="1" stop-color="#000"/></radialGradient>'
+        '<linearGradient id="g1" gradientUnits="userSpaceOnUse" x1="0" y1="0" x2="12.35" y2="3"><stop offset="0" stop-color="#f01"/><stop offset="0.667" stop-color="#010264"/></linearGradient></defs>'
+    )
+    assert markup.gradient_definitions(spark.createDataFrame([], fill)).count() == 0
+
+
+@pytest.mark.parametrize("factor", [1, 2, 3, 4])
+def test_masks_grow_strictly(spark, factor):
+    mask = np.random.default_rng(factor).random((4, 5)) < 0.7
+    rows = [(1, x, y, bool(mask[y, x])) for y in range(4) for x in range(5)]
+    got = {(r.x, r.y): r.mask for r in images.upscale_mask(spark.createDataFrame(rows, "image_id long, x int, y int, mask boolean"), factor).collect()}
+    lower = lambda v, n: (max(0, int(np.floor((v + 0.5) / factor - 0.5))), n - 1)
+    assert len(got) == 20 * factor * factor
+    for (x, y), v in got.items():
+        (a, w), (b, h) = lower(x, 5), lower(y, 4)
+        taps = mask[b, a] & mask[b, min(w, a + 1)] & mask[min(h, b + 1), a] & mask[min(h, b + 1), min(w, a + 1)]
+        assert v == (mask[y, x] if factor == 1 else taps)
+
+
+def test_varying_regions_form_groups(spark):
+    varying = spark.createDataFrame([(1, r) for r in (1, 2, 3, 5, 6, 9)] + [(2, 1)], "image_id long, region long")
+    pairs = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (1, 3, 4), (1, 4, 5), (1, 5, 6), (1, 8, 9), (2, 1, 3)], "image_id long, low long, high long")
+    assert {(r.image_id, r.region): r.grp for r in regions.varying_groups(varying, pairs).collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 5): 5, (1, 6): 5}
