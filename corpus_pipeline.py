@@ -6,7 +6,7 @@ again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastermill.llm import decontaminate, lines, packing, quality, simhash
@@ -29,10 +29,22 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs, words=5)
-    others = save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")), "copies")
-    return docs.join(others, F.col("doc_id") == F.col("_copy"), "left_anti").select(*docs.columns)
+    """One document, of the largest id, of each group of near-duplicates.
+
+    Line dedup keeps a recurring line in the largest id that holds it, so the largest of a group is the one that
+    has such lines. Rows of one id are one document: the longest text stays. Rows without an id stay.
+    """
+    members = save(simhash.near_duplicates(docs, words=5).select("doc_id", "component_id").distinct(), "members")
+    last = save(members.groupBy("component_id").agg(F.max("doc_id").alias("_last")).where("component_id <> _last").withColumnRenamed("component_id", "_group"), "groups")
+    others = save(members.join(last, F.col("component_id") == F.col("_group")).where("doc_id <> _last").select(F.col("doc_id").alias("_copy")), "copies")
+    kept = docs.join(others, F.col("doc_id") == F.col("_copy"), "left_anti").select(*docs.columns)
+    again = save(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    repeated = F.col("doc_id") == F.col("_again")
+    longest = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), *[F.desc(c) for c in docs.columns if c != "doc_id"])
+    one = kept.join(again, repeated, "left_semi").withColumn("_r", F.row_number().over(longest)).where("_r = 1").select(*docs.columns)
+    return kept.join(again, repeated, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,21 @@
+"""Line dedup and near-dedup, one after the other."""
+
+import random
+
+
+def test_recurring_lines_keep_a_copy(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+
+    def text(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+
+    line, body = "This passage recurs over many documents.", text(300)
+    docs = [(1, f"{line}\n{text(200)}"), (2, f"{text(200)}\n{line}"), (3, body), (4, f"{line}\n{body}"), (5, text(200)), (5, text(250)), (None, text(50))]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long")
+    lined = corpus_pipeline.distinct_lines(spark, df, "")
+    left = corpus_pipeline.distinct_documents(spark, lined, "").collect()
+    assert sum(line in r["text"] for r in left) == 1
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == [1, 2, 4, 5] and sum(r["doc_id"] is None for r in left) == 1
+    assert [r["n_chars"] for r in left if r["doc_id"] == 5] == [len(docs[5][1])]
