@@ -21,6 +21,8 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table li dl figcaption".split())
 CHROME = frozenset("head script style noscript template iframe object svg canvas button select textarea form nav header footer aside dialog menu".split())
 CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent notice newsletter subscribe signup popup modal share sharing social related comment comments disqus respond pagination pager toolbar widget".split())
+#: Parts of names that tell a state of something else.
+STATE_WORDS = frozenset("has no not is with without open opened closed enabled disabled layout".split())
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 P_ENDS = BLOCKS - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 
@@ -98,15 +100,65 @@ class _Tree:
                 return
 
 
-def is_chrome(node: Node) -> bool:
-    """Whether an element is by name, or by a word of its class, id or role, beside the main text."""
-    if node.tag in CHROME:
-        return True
-    return bool(node.names) and node.tag not in ("html", "body", "main") and not CHROME_WORDS.isdisjoint(re.split(r"[\s_-]+", node.names.lower()))
+def is_marked(node: Node) -> bool:
+    """Whether a class, id or role is a word for what stands beside the main text, or begins or ends with one.
+
+    Names that tell a state (has-sidebar, comments-open) say nothing about the element itself.
+    """
+    if not node.names or node.tag in ("html", "body"):
+        return False
+    for name in node.names.lower().split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        if parts and not STATE_WORDS.intersection(parts) and (parts[0] in CHROME_WORDS or parts[-1] in CHROME_WORDS):
+            return True
+    return False
 
 
 def is_main(node: Node) -> bool:
-    return node.tag in ("article", "main") or "main" in node.names.split()
+    return node.tag not in CHROME and (node.tag in ("article", "main") or "main" in node.names.split())
+
+
+def chrome_of(root: Node) -> set[int]:
+    """The elements (by identity) that are by name, or by a word of class, id or role, beside the main text.
+
+    A main element is never judged by its words. An element that holds one is only if another main element
+    stands beside it: it is a layout around the text then no longer, but a list of teasers or comments.
+    """
+    holds: set[int] = set()
+    out: set[int] = set()
+
+    def find(node: Node) -> bool:
+        found = [find(x) for x in node.items if not isinstance(x, str) and x.tag not in CHROME]
+        if any(found):
+            holds.add(id(node))
+        return any(found) or is_main(node)
+
+    def walk(node: Node, around: list[Node]) -> bool:
+        clean = False
+        for x in node.items:
+            if isinstance(x, str):
+                continue
+            if x.tag in CHROME:
+                out.add(id(x))
+            elif is_main(x):
+                clean = walk(x, around) or clean or x.tag == "article" or id(x) not in holds
+            elif not is_marked(x):
+                clean = walk(x, around) or clean
+            elif id(x) in holds:
+                around.append(x)
+            else:
+                out.add(id(x))
+        return clean
+
+    find(root)
+    todo = [root]
+    while todo:
+        around: list[Node] = []
+        if walk(todo.pop(), around):
+            out.update(map(id, around))
+        else:
+            todo += around
+    return out
 
 
 def subtree_hashes(root: Node) -> dict[int, tuple[int, bool]]:
@@ -118,7 +170,7 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, bool]]:
     out: dict[int, tuple[int, bool]] = {}
 
     def visit(node: Node, within: bool) -> tuple[bytes, bool, bool]:
-        main = is_main(node) and not is_chrome(node)
+        main = is_main(node)
         h, holds, prose = xxhash.xxh64(f"{node.tag}|{node.names}"), main, node.tag in PROSE
         for x in node.items:
             if isinstance(x, str):
@@ -137,10 +189,11 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, bool]]:
 def main_text(root: Node, hashes: dict[int, tuple[int, bool]], templates: frozenset) -> str:
     """Blocks of the main elements, or of the whole page where none is marked, without what is left out."""
     mains: list[Node] = []
+    chrome = chrome_of(root)
 
     def gone(node: Node) -> bool:
         h, may = hashes[id(node)]
-        return is_chrome(node) or may and h in templates
+        return id(node) in chrome or may and h in templates
 
     def look(node: Node) -> None:
         for x in node.items:
