@@ -18,7 +18,7 @@ from .urls import host_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table li dl figcaption".split())
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd caption thead tbody tfoot tr th td option summary figcaption legend".split())
 CHROME = frozenset("head script style noscript template iframe object svg canvas button select textarea form nav header footer aside dialog menu".split())
 CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent notice newsletter subscribe signup popup modal share sharing social related comment comments disqus respond pagination pager toolbar widget".split())
 #: Parts of names that tell a state of something else.
@@ -161,38 +161,54 @@ def chrome_of(root: Node) -> set[int]:
     return out
 
 
-def subtree_hashes(root: Node) -> dict[int, tuple[int, bool]]:
-    """For each element (by identity): a hash of its subtree, and whether it may be a template.
+def subtree_hashes(root: Node) -> dict[int, tuple[int, bool, int | None]]:
+    """For each element (by identity): a hash of its subtree, whether it may be a template, and the main element around.
 
-    An article can be copied on many pages, so a main element, what holds one, and prose in one are
-    never templates, however often they recur.
+    That is a hash of the text, without chrome, of the innermost main element that the subtree stands in; None
+    outside. Main elements and what holds one are never templates, nor are headings and parts of lists and
+    tables in one, which mean nothing by themselves.
     """
-    out: dict[int, tuple[int, bool]] = {}
+    out: dict[int, tuple[int, bool, int | None]] = {}
+    chrome = chrome_of(root)
 
-    def visit(node: Node, within: bool) -> tuple[bytes, bool, bool]:
+    def visit(node: Node, texts: list, inside: list, shown: bool) -> tuple[bytes, bool]:
         main = is_main(node)
-        h, holds, prose = xxhash.xxh64(f"{node.tag}|{node.names}"), main, node.tag in PROSE
+        if main:
+            around, texts, inside = texts, [], []
+        h, holds, within = xxhash.xxh64(f"{node.tag}|{node.names}"), main, inside is not None
         for x in node.items:
             if isinstance(x, str):
-                h.update(b"t" + SPACE.sub(" ", x).strip().encode("utf-8", "surrogatepass"))
+                text = SPACE.sub(" ", x).strip().encode("utf-8", "surrogatepass")
+                h.update(b"t" + text)
+                if within and shown and text:
+                    texts.append(text)
             else:
-                d, m, p = visit(x, within or main)
+                d, m = visit(x, texts, inside, shown and id(x) not in chrome)
                 h.update(b"e" + d)
-                holds, prose = holds or m, prose or p
-        out[id(node)] = (h.intdigest() - (1 << 63), not holds and not (within and prose) and node.tag in BLOCKS and node.tag not in ("html", "body", "br", "hr"))
-        return h.digest(), holds, prose
-
-    visit(root, False)
+                holds = holds or m
+        may = not holds and not (within and node.tag in PARTS) and node.tag in BLOCKS and node.tag not in ("html", "body", "br", "hr")
+        out[id(node)] = (h.intdigest() - (1 << 63), may, None)
+        if main:
+            own = xxhash.xxh64(b"\n".join(texts)).intdigest() - (1 << 63)
+            for n in inside:
+                out[n] = (*out[n][:2], own)
+            if around is not None and shown:
+                around.append(b"\n".join(texts))
+        elif within:
+            inside.append(id(node))
+        return h.digest(), holds
+
+    visit(root, None, None, True)
     return out
 
 
-def main_text(root: Node, hashes: dict[int, tuple[int, bool]], templates: frozenset) -> str:
+def main_text(root: Node, hashes: dict[int, tuple[int, bool, int | None]], templates: frozenset) -> str:
     """Blocks of the main elements, or of the whole page where none is marked, without what is left out."""
     mains: list[Node] = []
     chrome = chrome_of(root)
 
     def gone(node: Node) -> bool:
-        h, may = hashes[id(node)]
+        h, may, _ = hashes[id(node)]
         return id(node) in chrome or may and h in templates
 
     def look(node: Node) -> None:
@@ -231,12 +247,12 @@ def main_text(root: Node, hashes: dict[int, tuple[int, bool]], templates: frozen
     return "\n".join(blocks)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10, min_share: float = 0.02) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 10) -> DataFrame:
     """(page_id, url, text, n_chars, n_templates) for each page.
 
     Every element subtree is hashed, with names, classes and text; subtrees are counted per host, and those
-    on at least `min_pages` pages and a share of `min_share` of the host's pages are templates, which are
-    deleted with all they hold. Chrome that differs on every page (menus and adverts made for it) can't recur,
+    on at least `min_pages` distinct pages are templates, which are deleted with all they hold. Those inside a
+    main element must be in as many main elements of different text: copies of one article count once. Chrome that differs on every page (menus and adverts made for it) can't recur,
     so elements whose name, class or role says that they aren't main text go as well. Where a page marks
     its main element, only that is read. Character references are decoded, white space in a block becomes one
     space, blocks are joined by \\n.
@@ -249,19 +265,24 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def hash_all(batches):
         for b in batches:
-            ids, hosts, out = [], [], []
+            ids, hosts, out, mains = [], [], [], []
             for page, name, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = {h for h, may in subtree_hashes(parse(text)).values() if may}
-                ids += [page] * len(own)
-                hosts += [name] * len(own)
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(out, pa.int64())], ["page_id", "host", "h"])
-
-    subtrees = save(src.select("page_id", host, "html").mapInArrow(hash_all, "page_id long, host string, h long"), "subtrees")
-    sizes = src.select(host).groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "_host")
-    often = subtrees.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = save(often.join(sizes, F.col("host") == F.col("_host")).where(F.col("n") >= F.col("pages") * min_share).select(F.col("host").alias("_host"), F.col("h").alias("_h")), "templates")
-    hits = subtrees.join(templates, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).groupBy("page_id").agg(F.collect_set("h").alias("hits")).withColumnRenamed("page_id", "_page")
+                for h, main in {(h, main) for h, may, main in subtree_hashes(parse(text)).values() if may}:
+                    ids.append(page)
+                    hosts.append(name)
+                    out.append(h)
+                    mains.append(main)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(out, pa.int64()), pa.array(mains, pa.int64())], ["page_id", "host", "h", "main"])
+
+    subtrees = save(src.select("page_id", host, "html").mapInArrow(hash_all, "page_id long, host string, h long, main long"), "subtrees")
+    often = save(subtrees.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select(F.col("host").alias("_host"), F.col("h").alias("_h")), "frequent")
+    seen = save(subtrees.join(often, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).select("page_id", "host", "h", "main"), "frequent-places")
+    # Two plain distinct counts: each place, page and main element is first made one row.
+    pages_of = seen.groupBy("host", "h", "page_id").agg(F.count_if(F.col("main").isNull()).alias("m")).groupBy("host", "h").agg(F.count("*").alias("pages"), F.count_if(F.col("m") > 0).alias("outside"))
+    mains_of = seen.where("main is not null").select("host", "h", "main").distinct().groupBy("host", "h").agg(F.count("*").alias("mains"))
+    counted = pages_of.join(mains_of, ["host", "h"], "left").where((F.col("pages") >= min_pages) & (F.col("outside") + F.coalesce("mains", F.lit(0)) >= min_pages))
+    templates = save(counted.select(F.col("host").alias("_host"), F.col("h").alias("_h")), "templates")
+    hits = seen.join(templates, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).groupBy("page_id").agg(F.collect_set("h").alias("hits")).withColumnRenamed("page_id", "_page")
     known = src.join(save(hits, "template-hits"), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "html", "hits")
 
     def extract(batches):

@@ -30,3 +30,14 @@ def test_composite_names_without_a_main_element():
 
 def test_teasers_and_comments_beside_the_main_element_go():
     assert text_of('<div class="nav-layout sidebar"><article><p>The text.</p><div id=comments><article>Nice</article></div></article><div class="related-posts"><article>Teaser</article></div></div>') == "The text."
+
+
+def test_templates_count_pages_whatever_the_host_and_differing_main_elements(spark):
+    menu, box = "<div><p>All our sections.</p></div>", "<div><p>Sign up <b>now</b>.</p></div>"
+    rows = [(i, f"http://a.org/{i}", f"<body>{menu if i < 10 else ''}<article><h2>Notes</h2><p>Text {i}</p>{box if i < 12 else ''}</article></body>") for i in range(600)]
+    rows += [(1000 + i, f"http://b.org/{i}", f"<body><article><p>Copied.</p>{box}<div class=ad>Buy {i}</div></article></body>") for i in range(15)]
+    rows += [(2000, "http://c.org/", f"<body>{menu}<p>Once</p></body>")] * 15
+    got = {r["page_id"]: r["text"] for r in template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Notes\nText {i}" for i in range(600))
+    assert all(got[1000 + i] == "Copied.\nSign up now." for i in range(15))
+    assert got[2000] == "All our sections.\nOnce"
