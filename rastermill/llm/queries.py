@@ -67,14 +67,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc_derivatives, op4_packing, op5_simhash, op6_token_counts, op7_main_text, op8_url_verdicts, op9_embedding_neardup, op10_line_dedup)}
 
 
+#: What the SQL of op3 can follow: closed markup and the references that the given pages hold. The operator does more.
+_SQL_MARKUP = [
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<script[^>]*>.*?</script>", " "),
+    (r"(?is)<style[^>]*>.*?</style>", " "),
+    (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(\s[^>]*)?/?>", "\n"),
+    (r"(?s)<[^>]*>", ""),
+]
+_SQL_REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _warc_sql() -> str:
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     def plain(x: str) -> str:
-        for pattern, to in warc.MARKUP:
+        for pattern, to in _SQL_MARKUP:
             x = f"regexp_replace({x}, {quoted(pattern)}, " + ("chr(10)" if to == "\n" else quoted(to)) + ", 'g')"
-        for name, to in warc.REFERENCES:
+        for name, to in _SQL_REFERENCES:
             x = f"replace({x}, {quoted(name)}, {quoted(to)})"
         x = rf"regexp_replace(regexp_replace({x}, '[ \t\r\f\x0b]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g')"
         return f"trim({x}, ' ' || chr(10))"

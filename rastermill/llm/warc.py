@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: What is cut from markup, in this order, and what stands in its place.
+#: What is cut from markup, in this order, and what stands in its place. What has no end goes to the end.
 MARKUP = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script[^>]*>.*?</script>", " "),
-    (r"(?is)<style[^>]*>.*?</style>", " "),
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
+    (r"(?is)<script(?=[\s/>])[^>]*>.*?(?:</script(?=[\s/>])[^>]*>|\z)", " "),
+    (r"(?is)<style(?=[\s/>])[^>]*>.*?(?:</style(?=[\s/>])[^>]*>|\z)", " "),
     (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(\s[^>]*)?/?>", "\n"),
     (r"(?s)<[^>]*>", ""),
 ]
-#: Character references that are decoded, the ampersand last.
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+#: References to a no-break space, which becomes a plain one.
+BLANK_REFERENCE = re.compile(r"&(?:nbsp|#0*160(?![0-9])|#[xX]0*[aA]0(?![0-9a-fA-F]));?")
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -27,13 +32,17 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
+@F.arrow_udf(StringType())
+def decode(texts: pa.Array) -> pa.Array:
+    """Every numeric and named character reference of HTML decoded, once."""
+    return pa.array([x if x is None or "&" not in x else entities.unescape(BLANK_REFERENCE.sub(" ", x)) for x in texts.to_pylist()], pa.string())
+
+
 def plain_text(html: Column) -> Column:
     """Markup removed, references decoded, blanks squeezed, empty lines dropped."""
     for pattern, to in MARKUP:
         html = F.regexp_replace(html, pattern, to)
-    for name, to in REFERENCES:
-        html = F.replace(html, F.lit(name), F.lit(to))
-    html = F.regexp_replace(F.regexp_replace(html, r"[ \t\r\f\x0b]+", " "), r" ?\n[ \n]*", "\n")
+    html = F.regexp_replace(F.regexp_replace(decode(html), r"[ \t\r\f\x0b]+", " "), r" ?\n[ \n]*", "\n")
     return F.btrim(html, F.lit(" \n"))
 
 
@@ -50,14 +59,14 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     made; repeated responses give equal records. Other columns of the input are left out.
     """
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("record_id", "target_uri", "warc_date", "http_header", "payload")}
-    own = responses.select(*keep, *[c.alias(k) for k, c in text.items()]).withColumn("source_digest", digest(F.col("payload")))
+    own = responses.select(*keep, *[c.alias(k) for k, c in text.items()]).withColumns({"source_digest": digest(F.col("payload")), "_plain": plain_text(F.col("payload"))})
     fields = F.concat(
         F.lit("sourceDigest: "), F.col("source_digest"), F.lit("\r\nsourceBlockDigest: "), digest(F.concat("http_header", F.lit("\r\n\r\n"), "payload")), F.lit("\r\nsourceLength: "), F.octet_length("payload").cast("string"), F.lit("\r\n"),
         F.lit("http-"), F.replace("http_header", F.lit("\r\n"), F.lit("\r\nhttp-")), F.lit("\r\n"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain").alias("content_type"), F.col("_plain").alias("block")),
     )
     each = own.select(*keep, "record_id", "target_uri", "warc_date", "source_digest", F.inline(kinds))
     new_id = F.when(F.col("warc_type") == "metadata", record_id("metadata", F.col("record_id"))).otherwise(record_id("conversion", F.col("record_id")))
