@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +34,30 @@ def refundable(entries: DataFrame) -> DataFrame:
 def fold(entries: DataFrame) -> DataFrame:
     """Balance of each user when debits beyond it are rejected, and how many were.
 
-    Each rejection changes what follows, so a user's entries are folded in order. A user's list is as long as
-    the entries of one user.
+    Each rejection changes what follows, so a user's entries are folded in order: they are sorted within
+    partitions and read batch by batch, with one balance carried along. No user's entries are gathered.
     """
-    moves = F.array_sort(F.collect_list(F.struct("made_at", "request_id", signed(F.col("amount"), F.col("type")).alias("d"))))
-    start = F.struct(F.lit(0).cast("long").alias("balance"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"))
 
-    def step(s, m):
-        ok = s["balance"] + m["d"] >= 0
-        return F.struct(F.when(ok, s["balance"] + m["d"]).otherwise(s["balance"]).alias("balance"), (s["accepted"] + F.when(ok, 1).otherwise(0)).alias("accepted"), (s["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"))
-
-    return entries.groupBy("user_id").agg(F.aggregate(moves, start, step).alias("s")).select("user_id", "s.balance", "s.accepted", "s.rejected")
+    def run(batches):
+        user, balance, accepted, rejected, any_row = None, 0, 0, 0, False
+        for b in batches:
+            done = []
+            for u, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not any_row or u != user:
+                    if any_row:
+                        done.append((user, balance, accepted, rejected))
+                    user, balance, accepted, rejected, any_row = u, 0, 0, 0, True
+                if d is not None and balance + d >= 0:
+                    balance, accepted = balance + d, accepted + 1
+                else:
+                    rejected += 1
+            yield rows(done)
+        if any_row:
+            yield rows([(user, balance, accepted, rejected)])
+
+    def rows(done):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*done) if done else [[]] * 4)], ["user_id", "balance", "accepted", "rejected"])
+
+    moves = entries.select(F.col("user_id").cast("long").alias("user_id"), "made_at", "request_id", signed(F.col("amount"), F.col("type")).cast("long").alias("d"))
+    ordered = moves.repartition("user_id").sortWithinPartitions("user_id", "made_at", "request_id")
+    return ordered.select("user_id", "d").mapInArrow(run, "user_id long, balance long, accepted long, rejected long")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..sources import roles
 from ..sources.shared import shared_dir
+from .chunks import in_order
 
 OUTPUT = "user_id long, balance long, accepted long, rejected long"
 STATE = "balance long, accepted long, rejected long, seen array<string>"
@@ -34,7 +35,7 @@ def apply_entry(balance: int, kind: str, amount: int) -> tuple[int, bool]:
 def step(key, frames, state):
     balance, accepted, rejected, seen = state.get if state.exists else (0, 0, 0, [])
     known = set(seen)
-    for row in pd.concat(list(frames)).sort_values(["made_at", "request_id"]).itertuples():
+    for row in in_order(frames, "made_at", "request_id"):
         job = None if pd.isna(row.job_id) else int(row.job_id)
         k = entry_key(row.request_id, row.type, job, None if pd.isna(row.grant_key) else row.grant_key)
         if k in known:

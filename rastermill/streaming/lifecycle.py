@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.rules import MAX_ATTEMPTS
 from ..sources import roles
 from ..sources.shared import shared_dir
+from .chunks import in_order
 
 STATE = "status string, attempts int, refunds int"
 
@@ -40,7 +41,7 @@ def deliveries(events: DataFrame) -> DataFrame:
 
 def step(key, frames, state):
     status, attempts, refunds = state.get if state.exists else ("queued", 0, 0)
-    for row in pd.concat(list(frames)).sort_values(["made_at", "delivery_id"]).itertuples():
+    for row in in_order(frames, "made_at", "delivery_id"):
         status, attempts, _, refund = decide(status, attempts, row.outcome)
         refunds += refund
     state.update((status, attempts, refunds))
