@@ -87,8 +87,24 @@ def test_line_dedup_odd_inputs(spark, odd, none):
     assert got.columns == ["doc_id", "text", "_id", "n_lines", "n_dropped"] and got.count() == len(ODD)
     assert {(r["doc_id"], r["n_lines"]) for r in got.collect()} >= {(1, 1), (2, 1), (7, 2001)}
     assert lines.dedup_lines(none).count() == 0
-    same = spark.createDataFrame([(i, "the very same line that is long") for i in (1, 2, 2, None)], DOCS)
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(same).collect()) == [(0, "the very same line that is long"), (1, ""), (2, "the very same line that is long"), (2, "the very same line that is long")]
+
+
+def test_lines_count_distinct_documents(spark):
+    line, other = "the very same line that is long", "another line that is long enough"
+    two = spark.createDataFrame([(i, line) for i in (1, 2, 2, None)], DOCS)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(two).collect()) == [(0, line), (1, line), (2, line), (2, line)]
+    rows = [(1, f"x\n{line}"), (1, f"{line}\n{other}\ny"), (2, line), (3, f"{line}\n{line}\nz"), (None, line)]
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, line, 0), (1, f"{other}\ny", 1), (1, "x", 1), (2, "", 1), (3, f"{line}\n{line}\nz", 0)]
+
+
+def test_lines_of_one_document_many_dropped(spark):
+    """Every second line of a long text recurs: the slices between them are what stays."""
+    common = [f"recurring line number {i} of many" for i in range(3000)]
+    text = "\n".join(x for i, c in enumerate(common) for x in (c, f"own {i}"))
+    rows = [(1, text), (2, "\n".join(common)), (3, "\n".join(reversed(common)))]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (6000, 3000, "\n".join(f"own {i}" for i in range(3000))), 2: (3000, 3000, ""), 3: (3000, 0, rows[2][1])}
 
 
 # ---------------------------------------------------------------- op5
