@@ -115,13 +115,30 @@ from k
 
 
 def _urls_sql() -> str:
+    """Rules, then the closure over links: absolute, protocol-relative, from the root, and from the page's folder.
+
+    What the operator alone follows: references but &amp;, base elements, dot segments, links in comments and scripts.
+    """
     ordered = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
     case = {w: "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h + p if w == 'rule' else v}'" for h, p, v in ordered) + " end" for w in ("rule", "verdict")}
+    host = lambda u: f"translate(coalesce(regexp_extract({u}, '://([^/?#]*)', 1), ''), '{lines.UPPER}', '{lines.LOWER}')"
+    path = lambda u: f"coalesce(regexp_extract({u}, '://[^/?#]*([^?#]*)', 1), '')"
+    rest = lambda u: f"regexp_extract({u}, '://[^/?#]*([^#]*)', 1)"
+    address = lambda u: f"{host(u)} || case when starts_with({rest(u)}, '/') then {rest(u)} else '/' || {rest(u)} end"
+    found = lambda element, attribute: f"list_transform(regexp_extract_all(html, '{element}'), lambda e: regexp_extract(e, '{attribute}', 1))"
+    quote = "[\"\\x27]?"
+    canonical = found(rf"(?is)<link\s[^>]*\brel\s*=\s*{quote}canonical\b[^>]*>", rf"(?is)\bhref\s*=\s*{quote}\s*([^\"\x27\s>]+)")
+    refresh = found(rf"(?is)<meta\s[^>]*\bhttp-equiv\s*=\s*{quote}refresh\b[^>]*>", rf"(?is)\burl\s*=\s*{quote}\s*([^\"\x27\s>;]+)")
     return f"""
-with p as (
-  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{lines.UPPER}', '{lines.LOWER}') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages
-)
-select page_id, host, path, {case["rule"]} as rule, coalesce({case["verdict"]}, 'allow') as verdict from p
+with recursive p as (select page_id, url, {host("url")} as host, {path("url")} as path, case when contains(url, '://') then {address("url")} end as spot from pages),
+t as (select url, replace(unnest(list_concat({canonical}, {refresh})), '&amp;', '&') as t from pages where contains(url, '://')),
+u as (select url, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then t when starts_with(t, '//') then regexp_extract(url, '^([^:]*:)', 1) || t when starts_with(t, '/') then regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || t
+ when starts_with(t, '?') then regexp_extract(url, '^([^:]*://[^?#]*)', 1) || t when starts_with(t, '#') then url else regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({path("url")}, '^(.*/)', 1), ''), '/') || t end as u from t where t <> ''),
+e as (select distinct {address("url")} as a, {address("u")} as b from u where contains(u, '://')), l as (select a, b from e union select b, a from e),
+reach as (select a as a, a as b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+n as (select distinct a as spot, regexp_extract(a, '^([^/]*)', 1) as host, regexp_extract(a, '^[^/]*([^?]*)', 1) as path from l),
+v as (select spot, {case["verdict"]} as v from n), c as (select reach.a as spot, min(v.v) as v from reach join v on reach.b = v.spot group by reach.a)
+select page_id, host, path, {case["rule"]} as rule, coalesce({case["verdict"]}, c.v, 'allow') as verdict from p left join c on p.spot = c.spot
 """
 
 

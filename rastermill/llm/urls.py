@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,49 +34,52 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
-def resolve(base: Column, target: Column) -> Column:
-    """The absolute address of a link found on the page `base`, by RFC 3986; null where `base` has none."""
-    scheme = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    site = F.regexp_extract(base, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*)", 1)
-    path, asked = path_of(base), F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    own = F.regexp_extract(target, "^([^?#]*)", 1)
-    tail = F.substr(target, F.length(own) + 1)
-    full = (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
-        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(site, _without_dots(own), tail))
-        .when(F.startswith(target, F.lit("?")), F.concat(site, path, target))
-        .when((target == "") | F.startswith(target, F.lit("#")), F.concat(site, path, asked, target))
-        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), tail))
-    )
-    return F.when(site != "", full).otherwise(F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target))
-
-
-def _without_dots(path: Column) -> Column:
-    """A path that begins with / without its . and .. parts; one that ends in such a part ends in /."""
-    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
-    open_end = F.element_at(parts, -1).isin(".", "..")
-    up = F.aggregate(
-        parts, F.array().cast("array<string>"),
-        lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x))),
-    )
-    clean = F.concat(F.lit("/"), F.array_join(up, "/"), F.when(open_end & (F.size(up) > 0), "/").otherwise(""))
-    return F.when(path.rlike(r"/\.\.?(/|$)"), clean).otherwise(path)
+#: What may name an alias, and what never counts: comments, scripts, styles and templates.
+SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\Z)", re.S | re.I)
+ELEMENT = re.compile(r"<(link|meta|base)(?=[\s/])((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+REFRESH = re.compile(r"\burl\s*=\s*[\"']?\s*([^\"'\s;]+)", re.I)
+
+
+def linked(page: str, url: str) -> list[str]:
+    """Absolute addresses that a page names as canonical or refreshes to, in order.
+
+    Attribute values have their character references decoded. The first base element with an address is what
+    relative ones are resolved against, by RFC 3986; without it that is the page's own.
+    """
+    base, found = None, []
+    for m in ELEMENT.finditer(SKIPPED.sub(" ", page)):
+        tag, a = m[1].lower(), {}
+        for k, *values in ATTRIBUTE.findall(m[2]):
+            a.setdefault(k.lower(), entities.unescape("".join(values)).strip())
+        if tag == "base":
+            base = base or a.get("href")
+        elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            found.append(a.get("href"))
+        elif tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and (to := REFRESH.search(a.get("content", ""))):
+            found.append(to[1])
+    out = []
+    for to in filter(None, found):
+        try:
+            out.append(urljoin(urljoin(url, base or ""), to))
+        except ValueError:  # an address that can't be read, such as a broken IPv6 host
+            continue
+    return out
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): a page's address and the one, made absolute, that it names as canonical or refreshes to."""
-    def targets(tag: str, attribute: str) -> Column:
-        elements = F.regexp_extract_all(F.col(html_col), F.lit(tag), F.lit(0))
-        found = F.filter(F.transform(elements, lambda x: F.regexp_extract(x, attribute, 1)), lambda x: x != "")
-        return F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
-
-    canonical = targets(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)")
-    refresh = targets(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)")
-    marked = pages.where(F.col(html_col).rlike("(?i)canonical|http-equiv"))
-    found = marked.select(F.col(url_col).alias("a"), F.explode(F.concat(canonical, refresh)).alias("_to"))
-    return found.select("a", resolve(F.col("a"), F.col("_to")).alias("b")).where("a is not null and b like '%://%'")
+    """(a, b): a page's address and the one, made absolute, that it names as canonical or refreshes to.
+
+    Few pages hold such a word at all; only those leave the JVM.
+    """
+
+    def run(batches):
+        for x in batches:
+            pairs = [(url, to) for url, page in zip(*(c.to_pylist() for c in x.columns), strict=True) for to in linked(page, url)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*pairs, strict=True) if pairs else ([], []))], ["a", "b"])
+
+    marked = pages.where(F.contains(url_col, F.lit("://")) & F.col(html_col).rlike("(?i)canonical|http-equiv"))
+    return marked.select(url_col, html_col).mapInArrow(run, "a string, b string").where("b like '%://%'")
 
 
 def address(url: Column) -> Column:
