@@ -402,10 +402,61 @@ def test_passages_in_blocks_and_odd_inputs(spark, odd, none, monkeypatch):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()} - {h[0] for h in whole}
     items = spark.createDataFrame([(1, None), (2, ""), (3, "漢字"), (None, "x x x"), (4, "no id at all")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_passages(odd, items).collect()}
-    assert got == {(6, 3), (None, 4)}
+    assert got == {(5, None), (6, 3), (None, 4)}
     assert decontaminate.find_passages(none, items).count() == 0 and decontaminate.find_passages(odd, items.limit(0)).count() == 0
 
 
+def plain_bands(index, g):
+    """(item, first diagonal) of bands by looking at every pair of equal q-grams."""
+    where = defaultdict(list)
+    for t, x in enumerate(g.tolist()):
+        where[x].append(t)
+    out = set()
+    for i, (_, c, k, least) in enumerate(index.items):
+        w, held = max(1, k), defaultdict(set)
+        for p, x in enumerate(decontaminate.grams(c, index.q).tolist()):
+            for t in where[x]:
+                for b in ((t - p) // w, (t - p) // w - 1):
+                    held[b].add(p)
+        out |= {(i, b * w) for b, places in held.items() if len(places) >= least}
+    return out
+
+
+def test_bands_equal_plain_counts_in_any_window(monkeypatch):
+    rng = random.Random(12)
+    items = [(1, "a" * 60), (2, "ab" * 40), (3, "abcde " * 12), (4, words(rng, 20, 50)), (5, words(rng, 12, 50)), (6, "xyz" * 6 + words(rng, 10, 50))]
+    texts = ["a" * 300, "ab" * 90 + "a" * 70, words(rng, 30, 50) + items[3][1] + "a" * 50, "abcde " * 50 + items[5][1], items[4][1][:60] + "zz" + items[4][1][60:] + "xyz" * 30, ""]
+    for window, block, often in ((1 << 16, 1 << 21, 16), (8, 50, 2), (300, 7, 1000)):
+        for name, value in (("WINDOW", window), ("BLOCK_HITS", block), ("OFTEN", often)):
+            monkeypatch.setattr(decontaminate, name, value)
+        index = decontaminate.QGramIndex(items, 8, 0.1)
+        for t in texts:
+            g = decontaminate.grams(decontaminate.normalised(t, index.lower)[0], 8)
+            got = list(index.bands(g))
+            assert len(got) == len(set(got)) and set(got) == plain_bands(index, g), t
+
+
+def test_periodic_texts_take_bounded_time_and_memory():
+    import resource
+    import time
+
+    index = decontaminate.QGramIndex([(1, "a" * 500), (2, "ab" * 300), (None, "abc " * 100)], 8, 0.1)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    found = index.search("a" * 1_000_000)
+    assert {f[0] for f in found} == {1} and sum(f[3] == 0 and f[2] - f[1] == 500 for f in found) > 10_000 and all(f[3] <= 50 for f in found)
+    assert {f[0] for f in index.search("xa" + "ab" * 200_000)} == {2}
+    assert {f[0] for f in index.search("abc  " * 60_000)} == {None}
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_every_place_of_a_short_item_as_a_whole_word(spark):
+    docs = [(1, "No, a snowy day; no.\nNO"), (2, "snow piano nod"), (3, "他写漢字了 漢字"), (4, "x1 1x no_no")]
+    items = [(1, "no"), (2, "漢字"), (3, "x")]
+    got = sorted(map(tuple, decontaminate.find_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()))
+    assert got == [(1, 1, 0, 2, 0), (1, 1, 17, 19, 0), (1, 1, 21, 23, 0), (3, 2, 2, 4, 0), (3, 2, 6, 8, 0), (4, 1, 6, 8, 0), (4, 1, 9, 11, 0)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()] == [2]
+
+
 # ---------------------------------------------------------------- registered SQL
 
 
