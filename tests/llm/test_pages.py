@@ -14,7 +14,8 @@ PAGES = "page_id long, url string, html string"
 
 def text_of(page, templates=frozenset()):
     root = template.parse(page)
-    return template.main_text(root, template.subtree_hashes(root), templates)
+    template.subtree_hashes(root)
+    return template.main_text(root, templates)[0]
 
 
 def test_main_text_of_one_page():
