@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rastermill.llm import decontaminate, lines, packing, quality, simhash
 from rastermill.llm.queries import tokenizer_path
-from rastermill.sources.shared import save
+from rastermill.sources.shared import drop_since, save, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +37,15 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     members = save(simhash.near_duplicates(docs, words=5).select("doc_id", "component_id").distinct(), "members")
     last = save(members.groupBy("component_id").agg(F.max("doc_id").alias("_last")).where("component_id <> _last").withColumnRenamed("component_id", "_group"), "groups")
     others = save(members.join(last, F.col("component_id") == F.col("_group")).where("doc_id <> _last").select(F.col("doc_id").alias("_copy")), "copies")
-    kept = docs.join(others, F.col("doc_id") == F.col("_copy"), "left_anti").select(*docs.columns)
+    kept = docs.join(others, docs["doc_id"] == others["_copy"], "left_anti")
     again = save(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")), "repeated-ids")
     if again.isEmpty():
         return kept
-    repeated = F.col("doc_id") == F.col("_again")
+    repeated = kept["doc_id"] == again["_again"]
+    rank = next(r for k in range(len(docs.columns) + 1) if (r := f"_rank{k}") not in docs.columns)
     longest = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), *[F.desc(c) for c in docs.columns if c != "doc_id"])
-    one = kept.join(again, repeated, "left_semi").withColumn("_r", F.row_number().over(longest)).where("_r = 1").select(*docs.columns)
-    return kept.join(again, repeated, "left_anti").select(*docs.columns).unionByName(one)
+    one = kept.join(again, repeated, "left_semi").withColumn(rank, F.row_number().over(longest)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(again, repeated, "left_anti").unionByName(one)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +66,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = written(spark)
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_since(spark, mark, keep=docs)  # what the stage wrote on its way, and the stage before it
     return docs
