@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import save
+from ..sources.shared import drop, save
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,13 +25,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     hops: list[DataFrame] = []
     while not now.isEmpty():
         hops.append(save(_choose(now, len(hops)), "hop"))
-        now = save(_tidy(_rename(_rename(now, hops[-1], "a"), hops[-1], "b")), "edges")
+        left = save(_tidy(_rename(_rename(now, hops[-1], "a"), hops[-1], "b")), "edges")
+        drop(now)
+        now = left
     if not hops:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    drop(now)
     end = hops.pop()
     while hops:
-        later = end.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
-        end = save(hops.pop().join(later, F.col("to") == F.col("_n"), "left").select("node", F.coalesce("_t", "to").alias("to")), "roots")
+        hop, later = hops.pop(), end.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+        whole = save(hop.join(later, F.col("to") == F.col("_n"), "left").select("node", F.coalesce("_t", "to").alias("to")), "roots")
+        drop(end, hop)
+        end = whole
     return end.withColumnRenamed("to", "root")
 
 

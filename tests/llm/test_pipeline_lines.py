@@ -19,3 +19,12 @@ def test_recurring_lines_keep_a_copy(spark):
     assert sum(line in r["text"] for r in left) == 1
     assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == [1, 2, 4, 5] and sum(r["doc_id"] is None for r in left) == 1
     assert [r["n_chars"] for r in left if r["doc_id"] == 5] == [len(docs[5][1])]
+
+
+def test_clashing_columns(spark):
+    import corpus_pipeline
+
+    rows = [(1, "one text here", 13, "a", 1, 2), (1, "one text here longer", 20, "b", 3, 4), (2, None, None, "c", 5, 6), (None, "no id", 5, "d", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _copy string, _rank0 int, _again int")
+    left = corpus_pipeline.distinct_documents(spark, df, "")
+    assert left.columns == df.columns and sorted(r["_copy"] for r in left.collect()) == ["b", "c", "d"]
