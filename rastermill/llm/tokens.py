@@ -1,4 +1,4 @@
-"""Byte-level BPE ids from a public tokenizer file, one run of non-blanks at a time."""
+"""Byte-level BPE ids from a public tokenizer file."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import numpy as np
 #: How this family of vocabularies cuts a text before merging, and its special tokens.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
+#: The last character before a single space that begins a word.
+CUT = re.compile(r"\S(?= \S)")
 
 
 def vocabulary(file_text: str) -> dict[bytes, int]:
@@ -22,19 +24,16 @@ def vocabulary(file_text: str) -> dict[bytes, int]:
 class ByteBpe:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    No token crosses a single space between two other characters, so the parts between such spaces are
-    encoded once and remembered (up to `most` of them). Texts with longer runs of blanks go as a whole; a
-    text that spells a special token goes through the tokenizers library, which knows it.
+    No token crosses a single space between two other characters, so longer texts are cut before such spaces,
+    about every `piece` characters, and their parts encoded one by one: numbers of one part at a time are held as
+    objects. A text that spells a special token goes through the tokenizers library, which knows it.
     """
 
-    def __init__(self, file_text: str, most: int = 300_000):
+    def __init__(self, file_text: str, piece: int = 100_000):
         import tiktoken
 
-        self.file_text, self.most, self.slow = file_text, most, None
-        bpe = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=vocabulary(file_text), special_tokens={})
-        self.ids = lambda text: np.array(bpe.encode_ordinary(text), "<u4").tobytes()
-        self.crowded = re.compile(r" \s|\s ").search
-        self.after_space = _Memo(lambda part: self.ids(" " + part))
+        self.file_text, self.piece, self.slow = file_text, piece, None
+        self.ids = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=vocabulary(file_text), special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         if SPECIAL in text:
@@ -43,18 +42,13 @@ class ByteBpe:
 
                 self.slow = Tokenizer.from_str(self.file_text)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.crowded(text):
-            return self.ids(text)
-        if len(self.after_space) > self.most:
-            self.after_space.clear()
-        first, *parts = text.split(" ")
-        return self.ids(first) + b"".join(map(self.after_space.__getitem__, parts))
-
-
-class _Memo(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
+        if len(text) <= self.piece:
+            return np.array(self.ids(text), "<u4").tobytes()
+        return b"".join(np.array(self.ids(part), "<u4").tobytes() for part in self.parts(text))
+
+    def parts(self, text: str):
+        at = 0
+        while m := CUT.search(text, at + self.piece):
+            yield text[at : m.end()]
+            at = m.end()
+        yield text[at:]
