@@ -244,9 +244,11 @@ def tokenizer():
 
 def test_ids_equal_the_tokenizer(tokenizer):
     with open(tokenizer_path(), encoding="utf-8") as f:
-        bpe = tokens.ByteBpe(f.read(), most=50)
+        bpe = tokens.ByteBpe(f.read(), piece=40)
     rng = random.Random(7)
     texts = ["", " ", "  a  b ", "\n\nx \n y", "don't  we'll\tgo", "a<|endoftext|>b", "ñandú 漢字 x   y", "tail ", "1 234 5,6", "  a  b"] + ["".join(rng.choice("ab1 .\n'é ") for _ in range(60)) for _ in range(300)]
+    rare = [chr(c) for c in (*range(1, 33), 0x7F, 0x85, 0xA0, 0xAD, 0x300, 0x1680, 0x2003, 0x2028, 0x200B, 0x3000, 0xFEFF, 0x1F600, 0x10FFFF)]
+    texts += ["".join(rng.choice(rare) if rng.random() < 0.3 else rng.choice("  abcZ9'sl-漢") for _ in range(rng.randrange(1, 200))) for _ in range(3000)]
     for t in texts:
         assert np.frombuffer(bpe.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
@@ -269,21 +271,39 @@ def test_packing_round_trip(spark, tokenizer, odd):
 
 def test_packer_leaves_one_short_window():
     rng = random.Random(8)
-    for most in (5, 10**6):
-        packing.MOST_OPEN, held = most, packing.MOST_OPEN
-        p = packing.Packer(64)
-        total = 0
-        for i in range(500):
-            n = rng.randrange(1, 150)
-            p.add(i, np.full(n, i, "<u4").tobytes())
-            total += n
-        p.close()
-        packing.MOST_OPEN = held
-        sizes = defaultdict(int)
-        for _, _, n, ids, _, seq, offset in p.done:
-            assert len(ids) == 4 * n and offset == sizes[seq]
-            sizes[seq] += n
-        assert sum(sizes.values()) == total and max(sizes.values()) <= 64 and sum(v < 64 for v in sizes.values()) <= 1
+    p = packing.Packer(64)
+    total = most = 0
+    for i in range(5000):
+        n = rng.randrange(1, 150)
+        p.add(i, np.full(n, i, "<u4").tobytes())
+        total += n
+        most = max(most, sum(map(len, p.open.values())))
+    assert most < 200
+    p.close()
+    sizes = defaultdict(int)
+    for _, _, n, ids, _, seq, offset in p.done:
+        assert len(ids) == 4 * n and offset == sizes[seq]
+        sizes[seq] += n
+    assert sum(sizes.values()) == total and max(sizes.values()) <= 64 and sum(v < 64 for v in sizes.values()) <= 1
+
+
+def test_placement_has_the_least_sum_of_squares():
+    rng = random.Random(14)
+    p = packing.Packer(16)
+    for _ in range(3000):
+        p.levels[1:16] = [rng.choice((0, 0, 1, 2, 5)) for _ in range(15)]
+        size = rng.randrange(1, 16)
+
+        def after(level, size=size):
+            n = p.levels[1:16].tolist()
+            if level:
+                n[level - 1] -= 1
+            if level + size < 16:
+                n[level + size - 1] += 1
+            return sum(x * x for x in n)
+
+        open_to = [0] + [level for level in range(1, 16 - size + 1) if p.levels[level]]
+        assert p.best(size) == max(open_to, key=lambda level: (-after(level), level))
 
 
 def greedy(pieces, word):
@@ -342,15 +362,51 @@ def test_quality_odd_inputs(spark, odd, none):
     assert got.count() == len(ODD) and got.where("score is null or held_out is null").count() == 0
     assert quality.score_quality(none, labels).count() == 0
     assert {r["score"] for r in quality.score_quality(odd, labels.limit(0)).collect()} == {1.0}
+    kept = {r["doc_id"] for r in quality.keep_good(odd, labels).collect()}
+    assert kept == {r["doc_id"] for r in quality.score_quality(odd, labels).where("predicted = 1").collect()}
     assert quality.keep_good(odd, labels.limit(0)).count() == len(ODD) and quality.keep_good(odd, labels).columns == odd.columns
 
 
-def test_isotonic_is_monotone_and_keeps_the_mean():
+def test_isotonic_equals_plain_pooling():
     rng = np.random.default_rng(1)
-    n = rng.integers(0, 5, 50).astype(float)
-    y = np.minimum(n, rng.integers(0, 5, 50))
-    x, v = quality.isotonic(np.arange(50.0), y, n)
-    assert (np.diff(v) >= 0).all() and (np.diff(x) >= 0).all()
+    for _ in range(30):
+        n = rng.integers(0, 5, 50).astype(float)
+        y = np.minimum(n, rng.integers(0, 5, 50))
+        x, v = quality.isotonic(np.arange(50.0), y, n)
+        assert (np.diff(v) >= 0).all() and (np.diff(x) >= 0).all()
+        some = np.flatnonzero(n)
+        got = np.interp(some, x, v)
+        assert np.isclose((got * n[some]).sum(), y.sum())
+        # the least-squares fit of a non-decreasing curve: the greatest of least means of stretches
+        want = [max(min(y[i : j + 1].sum() / n[i : j + 1].sum() for j in range(k, 50) if n[i : j + 1].sum()) for i in range(k + 1) if n[i : k + 1].sum()) for k in some]
+        assert np.allclose(got, want)
+
+
+def test_weights_equal_a_dense_solve(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stats, usable = quality.text_statistics(docs), quality.usable_labels(labels)
+    model = quality.fit_quality(stats, usable, n_features=40)
+    rows = docs.join(labels, "doc_id").where(~quality.held_out("doc_id")).select("doc_id", "text", "quality").collect()
+    x = np.array([quality.statistics(r["text"]) for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.sqrt(np.maximum(x.var(0), 1e-9)), rtol=1e-4)
+    fits = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 4 != 3 for r in rows])
+    f, y = model.features(x[fits]), np.array([float(r["quality"]) for r in rows])[fits]
+    assert f.shape == (fits.sum(), 41) and np.allclose(np.linalg.norm(f[:, :-1], axis=1) ** 2, 1, atol=0.6)
+    ridge = np.sqrt(1e-3 * len(y) / 100)
+    want, *_ = np.linalg.lstsq(np.vstack([f, ridge * np.eye(41)]), np.r_[y, np.zeros(41)], rcond=None)
+    assert np.allclose(model.weights, want, atol=1e-6)
+    few = quality.usable_labels(labels, max_rows=50)
+    assert 20 <= few.count() <= 90 and few.join(usable, ["doc_id", "y", "checks"], "left_anti").count() == 0
+
+
+def test_random_waves_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(2)
+    n, width = 20_000, 4.0
+    model = quality.QualityModel(np.zeros(quality.N_STATISTICS), np.ones(quality.N_STATISTICS), rng.normal(0, 1 / width, (quality.N_STATISTICS, n)), rng.uniform(0, 2 * np.pi, n), None, (np.zeros(1), np.zeros(1)))
+    z = rng.normal(size=(6, quality.N_STATISTICS)) / 2
+    f = model.features(z)[:, :-1]
+    apart = ((z[:, None] - z[None]) ** 2).sum(2)
+    assert np.abs(f @ f.T - np.exp(-apart / (2 * width**2))).max() < 0.04
 
 
 # ---------------------------------------------------------------- op1
