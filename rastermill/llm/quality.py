@@ -84,25 +84,31 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, x array<double>")
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, n_features: int = 320, width: float = 4.0, ridge: float = 1e-3, max_rows: int = MAX_ROWS, seed: int = 17) -> QualityModel:
-    """Fit on `text_statistics` and labels (doc_id, quality in 0 and 1).
+def usable_labels(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, y, checks) of at most about `max_rows` ids that a model may be fitted on: those of the smallest hashes.
 
-    Rows that are held out are never used. Of the others, those whose crc32 leaves 3 calibrate and the rest
-    fit. At most about `max_rows` labelled rows are used: with more, those of the smallest id hashes. Labels of an
-    id that occurs more than once are averaged; null labels and ids don't count. Without usable labels
-    the score is 1 for every text, and with one kind of label that label.
+    Labels of an id that occurs more than once are averaged; held-out ids and null labels and ids don't count.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    usable = known.where(~held_out("doc_id")).withColumn("_part", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)))
-    train = save(stats.join(usable, F.col("id") == F.col("doc_id")).select("id", "x", "y", (F.col("_part") == 3).alias("checks")), "labelled")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    usable = save(known.where(~held_out("doc_id")).select("doc_id", "y", (part == 3).alias("checks")), "usable-labels")
+    n = usable.count()
+    return usable if n <= max_rows else usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+
+
+def fit_quality(stats: DataFrame, usable: DataFrame, n_features: int = 320, width: float = 4.0, ridge: float = 1e-3, seed: int = 17) -> QualityModel:
+    """Fit on `text_statistics` of the documents that `usable_labels` tells, or of all.
+
+    Those whose crc32 leaves 3 calibrate and the rest fit. Without usable labels the score is 1 for every text,
+    and with one kind of label that label.
+    """
+    train = save(stats.join(usable, F.col("id") == F.col("doc_id")).select("id", "x", "y", "checks"), "labelled")
     n, least, most = train.agg(F.count("*"), F.min("y"), F.max("y")).first()
     rng = np.random.default_rng(seed)
     flat = QualityModel(np.zeros(N_STATISTICS), np.ones(N_STATISTICS), rng.normal(0, 1 / width, (N_STATISTICS, n_features)), rng.uniform(0, 2 * np.pi, n_features), None, (np.array([0.0, 1.0]), np.ones(2)))
     if not n or least == most:
         flat.knots = (np.array([0.0, 1.0]), np.full(2, float(least) if n else 1.0))
         return flat
-    if n > max_rows:
-        train = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
     train = train.repartition(TASKS)
     sums = _gather(train, lambda x, y, c: [np.r_[len(x), x.sum(0), (x * x).sum(0)]])
     m, s = sums[0][1 : N_STATISTICS + 1] / sums[0][0], sums[0][N_STATISTICS + 1 :] / sums[0][0]
@@ -164,7 +170,7 @@ def isotonic(at: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs`, empty and null texts too."""
     stats = save(text_statistics(docs, id_col, text_col), "statistics")
-    model = fit_quality(stats, labels)
+    model = fit_quality(stats, usable_labels(labels))
 
     def run(batches):
         for b in batches:
@@ -176,8 +182,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs`, with all columns, whose score is at least `threshold`; no row is moved."""
-    model = fit_quality(save(text_statistics(docs, id_col, text_col), "statistics"), labels)
+    """The rows of `docs`, with all columns, whose score is at least `threshold`; no row is moved.
+
+    The model is fitted on labelled documents alone. Their ids are at most about `MAX_ROWS`, 16 bytes each, so
+    they go to all tasks, which take statistics of what they tell and, later, of every document that is scored.
+    """
+    usable = usable_labels(labels)
+    told = docs.join(F.broadcast(usable.select(F.col("doc_id").alias("_known"))), F.col(id_col) == F.col("_known"), "left_semi")
+    model = fit_quality(text_statistics(told, id_col, text_col), usable)
 
     def run(batches):
         for b in batches:
