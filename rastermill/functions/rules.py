@@ -64,6 +64,37 @@ def shard_of_slot(ts: Column) -> Column:
     return F.pmod(F.floor(F.unix_seconds(ts.cast("timestamp")) / SLOT_SECONDS), F.lit(SHARDS)).cast("int")
 
 
+#: Seconds that an orphaned object is left alone, and that a claimed job belongs to its worker.
+GRACE_SECONDS, LEASE_SECONDS = 86400, 300
+
+
+def shard_prefix(shard: Column) -> Column:
+    """Keys that a shard covers: uploads, then conversions, by the first hex digit of the owner; any whole number is a shard."""
+    at = F.pmod(shard, F.lit(SHARDS))
+    kind = F.when(at < SHARDS // 2, "uploads/").otherwise("conversions/")
+    return F.concat(kind, F.substr(F.lit("0123456789abcdef"), F.pmod(at, F.lit(SHARDS // 2)).cast("int") + 1, F.lit(1)))
+
+
+def page_limit(asked: Column, default: int = 20, most: int = 100, whole: bool = True) -> Column:
+    """Rows of a page from an argument's text: the default where it isn't a positive (whole) number."""
+    n = asked.try_cast("double")
+    good = (n > 0) & ~F.isnan(n) & (F.abs(n) < float("inf")) & ((n == F.floor(n)) if whole else F.lit(True))
+    return F.when(good, F.least(n, F.lit(float(most)))).otherwise(float(default))
+
+
+def page_offset(asked: Column, whole: bool = True) -> Column:
+    n = asked.try_cast("double")
+    good = (n >= 0) & ~F.isnan(n) & (F.abs(n) < float("inf")) & ((n == F.floor(n)) if whole else F.lit(True))
+    return F.when(good, n).otherwise(0.0)
+
+
+def is_settings(text: Column) -> Column:
+    """Whether a JSON text is an object whose values are all numbers."""
+    bag = F.from_json(text, "map<string,variant>")
+    number = lambda v: F.coalesce(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), F.lit(False))
+    return F.coalesce(F.ltrim(text).startswith("{") & F.forall(F.map_values(bag), number), F.lit(False))
+
+
 def error_code(kind: Column) -> Column:
     out = F.lit("INTERNAL_ERROR")
     for name, code, _ in ERRORS:

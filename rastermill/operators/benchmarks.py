@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import roles
+from ..sources.shared import save
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,12 @@ def summary(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    now = rows(spark, sf_dir).groupBy("case_id", "variant", "engine").agg(F.avg("mean_delta_e").alias("mean_delta_e"), F.avg("boundary_error").alias("boundary_error"), F.sum("segments").alias("segments"), F.sum("bytes").alias("bytes"))
+    """Rows of each case, and a baseline: a table of its own, here of the rows of the case before. Made once, read twice."""
+    lines = roles.table(spark, sf_dir, "lineitem")
+    engine = F.concat("l_returnflag", "l_linestatus")
+    own = lines.join(roles.table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    sums = [F.avg("l_tax").alias("mean_delta_e"), F.avg("l_discount").alias("boundary_error"), F.sum(F.col("l_quantity").cast("long")).alias("segments"), F.sum(F.floor("l_extendedprice").cast("long")).alias("bytes")]
+    now = save(own.groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("variant"), engine.alias("engine")).agg(*sums), "rows")
     return now, now.withColumn("case_id", F.col("case_id") + 1)
 
 
@@ -49,3 +55,46 @@ def chain_areas(events: DataFrame) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     q = p.withColumns({"nx": F.coalesce(F.lead("px").over(w), F.first("px").over(whole)), "ny": F.coalesce(F.lead("py").over(w), F.first("py").over(whole))})
     return q.groupBy("user_id").agg(F.count("*").alias("n"), (F.round(F.sum(F.col("px") * (F.col("ny") - 19700) - F.col("nx") * (F.col("py") - 19700)) / 2, 3) + 0).alias("area"))
+
+
+def by_case(rows: DataFrame) -> DataFrame:
+    """One row for each case (a category here), variant and engine: mean error of the rows that didn't fail."""
+    good = rows.where("not failed")
+    return good.groupBy(F.col("category").alias("case_id"), "variant", "engine").agg(F.avg("mean_delta_e").alias("mean_delta_e"))
+
+
+def against(rows: DataFrame, engine: str, other: str, tolerance) -> DataFrame:
+    """Rows of one engine beside those of another for the same case and variant; `within` its error times a tolerance."""
+    mine = rows.where(F.col("engine") == engine).drop("engine")
+    theirs = rows.where(F.col("engine") == other).select("case_id", "variant", F.col("mean_delta_e").alias("other_delta_e"))
+    both = mine.join(theirs, ["case_id", "variant"])
+    return both.withColumn("within", F.round(F.col("mean_delta_e") - F.col("other_delta_e") * tolerance, 9) <= 0)
+
+
+def rounded(rows: DataFrame, digits: int = 3) -> DataFrame:
+    """All fractional columns rounded, as a baseline keeps them."""
+    return rows.select(*[F.round(c, digits).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c) for c, t in rows.dtypes])
+
+
+def with_sentinels(rows: DataFrame) -> DataFrame:
+    """Failed rows with errors that are no numbers and counts of zero: they count, and nothing can rest on them."""
+    nan, gone = F.lit(float("nan")), F.col("failed")
+    return rows.withColumns({**{c: F.when(gone, nan).otherwise(F.col(c)) for c in ("mean_delta_e", "boundary_error")}, **{c: F.when(gone, 0).otherwise(F.col(c)) for c in ("segments", "bytes")}})
+
+
+def category_times(rows: DataFrame) -> DataFrame:
+    """Means of each category and engine: of errors without failed rows, of times with them."""
+    return rows.groupBy("category", "engine").agg(F.count("*").alias("n"), F.round(F.avg(F.when(~F.col("failed"), F.col("mean_delta_e"))), 6).alias("mean_delta_e"), F.round(F.avg("trace_ms"), 4).alias("mean_ms"))
+
+
+def corpus(core: DataFrame, real: DataFrame, include_real: bool) -> DataFrame:
+    return core.unionByName(real) if include_real else core
+
+
+def markdown(summary: DataFrame, *columns: str) -> DataFrame:
+    """(place, line): a summary as lines of a Markdown table, in order of the first column."""
+    head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    cells = [F.col(c).cast("decimal(38,3)").cast("string") if t in ("double", "float") else F.col(c).cast("string") for c, t in summary.select(*columns).dtypes]
+    body = summary.select((F.row_number().over(Window.orderBy(columns[0])) + 1).cast("long").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("-")) for c in cells]), F.lit(" |")).alias("line"))
+    top = summary.sparkSession.range(2).select(F.col("id").alias("place"), F.element_at(F.array(*map(F.lit, head)), (F.col("id") + 1).cast("int")).alias("line"))
+    return top.union(body)

@@ -96,14 +96,19 @@ def palette_bins(pixels: DataFrame, size: float = 0.008, opaque: int = 128) -> D
 
 
 def nearest_colour(pixels: DataFrame, palette: DataFrame) -> DataFrame:
-    """The label of the closest palette colour of the same image, for each distinct colour; ties: the lowest.
+    """The label of the closest palette colour of the same image, for each pixel; ties: the lowest.
 
-    Distances are taken once for a colour of an image, and joined back to its pixels.
+    A palette is a few dozen colours: it goes along as one array to its image's distinct colours, each of which is
+    compared once; a colour's label goes back to its pixels with the one exchange by image and colour.
     """
     colours = with_oklab(pixels.select("image_id", "r", "g", "b").distinct())
-    p = palette.select("image_id", "label", *[F.col(c).alias(f"p_{c}") for c in "lmn"])
-    d = sum(((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in "lmn"), F.lit(0.0))
-    best = colours.join(p, "image_id").groupBy("image_id", "r", "g", "b").agg(F.min(F.struct(F.round(d, 9).alias("d"), "label")).alias("m")).select("image_id", "r", "g", "b", "m.label")
+    p = palette.groupBy("image_id").agg(F.collect_list(F.struct("l", "m", "n", "label")).alias("_palette"))
+
+    def near(q):
+        d = sum(((F.col(c) - q[c]) * (F.col(c) - q[c]) for c in "lmn"), F.lit(0.0))
+        return F.struct(F.round(d, 9).alias("d"), q["label"].alias("label"))
+
+    best = colours.join(p, "image_id").select("image_id", "r", "g", "b", F.array_min(F.transform("_palette", near))["label"].alias("label"))
     return pixels.join(best, ["image_id", "r", "g", "b"])
 
 
@@ -204,3 +209,16 @@ def upscale_mask(masks: DataFrame, factor: int) -> DataFrame:
         last = F.when(F.col(d) == F.col(f"_{d}"), (F.col(d) + 1) * factor - 1).otherwise((F.col(d) + 1) * factor + factor // 2 - 1)
         m = m.withColumn(d, F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     return m.select("image_id", "x", "y", "mask")
+
+
+def purest(pixels: DataFrame, by, share: float = 0.4, label: str = "region") -> DataFrame:
+    """Mean colour of the first `share` of each label's pixels in an order, one at least; places break ties."""
+    own = Window.partitionBy("image_id", label)
+    ranked = pixels.withColumns({"_k": F.row_number().over(own.orderBy(by, "y", "x")), "_n": F.count("*").over(own)})
+    return ranked.where(F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).groupBy("image_id", label).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "rgb"])
+
+
+def label_candidates(labels: DataFrame, label: str = "region") -> DataFrame:
+    """`candidates`: a pixel's own label and those of its side neighbours, each once, in this order."""
+    beside = [side(label).over(w()) for w in (_row, _column) for side in (F.lag, F.lead)]
+    return labels.withColumn("candidates", F.array_distinct(F.array_compact(F.array(F.col(label), *beside))))

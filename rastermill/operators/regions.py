@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import save
+
 
 def dense(labels: DataFrame) -> DataFrame:
     """(image_id, width, labels): one row for an image, labels in row-major order."""
@@ -195,16 +197,33 @@ def trace(labels: DataFrame, min_area: int = 2) -> DataFrame:
     return dense(labels).mapInArrow(run, "image_id long, n_regions int, n_loops int, svg string")
 
 
+#: Numbers (labels times axes) of centroids that go to every task: 16 MB.
+MOST_CENTROIDS = 2_000_000
+
+
 def nearest_centroid(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, distance): the label mean that is closest to each vector; ties: the lowest label.
 
-    Means are one number for each label and axis; they are joined by axis and summed, so no vector is
-    gathered with all others.
+    Means are partial sums for each label and axis. Their number is counted: blocks of at most about
+    `MOST_CENTROIDS` numbers go to the vectors, which are read once for a block and never move.
     """
-    parts = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    means = parts.groupBy(F.col("label").alias("centre"), F.col("i").alias("axis")).agg(F.avg("v").alias("c"))
-    d = parts.join(means, F.col("i") == F.col("axis")).groupBy("vec_id", "centre").agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d"))
-    return d.groupBy("vec_id").agg(F.min_by("centre", F.struct(F.round("d", 9), "centre")).alias("label"), F.round(F.min("d"), 5).alias("distance"))
+    axis = vectors.select("label", F.posexplode("embedding").alias("i", "v"))
+    means = save(axis.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("c")), "means")
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("at"))
+
+    def apart(v, c):
+        return F.aggregate(F.zip_with(v, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    blocks, found = max(1, -(-means.count() // MOST_CENTROIDS)), None
+    for k in range(blocks):
+        own = centres.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("at", "label")).alias("all"))
+        near = F.transform("all", lambda c: F.struct(F.round(apart(F.col("v"), c["at"]), 9).alias("r"), c["label"].alias("label"), apart(F.col("v"), c["at"]).alias("d")))
+        part = v.join(F.broadcast(own)).select("vec_id", F.array_min(near).alias("m"))
+        found = part if found is None else found.union(part)
+    if blocks > 1:
+        found = found.groupBy("vec_id").agg(F.min("m").alias("m"))
+    return found.select("vec_id", "m.label", F.round("m.d", 5).alias("distance"))
 
 
 def varying_groups(varying: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 ACTIVE = ("queued", "processing")
 
 
 def job_pages(jobs: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Of each user's jobs, newest first, the rows of one page, with the total and whether more follow."""
+    """Of each user's jobs, newest first, the rows of one page, with the total and whether more follow.
+
+    Ranks are cut off at the page inside the window's sort; totals are a count of their own, so no user's jobs
+    are held for it.
+    """
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("job_id"))
-    ranked = jobs.withColumns({"place": F.row_number().over(newest), "total": F.count("*").over(Window.partitionBy("user_id"))})
-    return ranked.where((F.col("place") > offset) & (F.col("place") <= offset + limit)).withColumn("has_more", F.col("total") > offset + limit)
+    page = jobs.withColumn("place", F.row_number().over(newest)).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    total = jobs.groupBy("user_id").agg(F.count("*").alias("total"))
+    return page.join(total, "user_id").withColumn("has_more", F.col("total") > offset + limit)
 
 
 def history(jobs: DataFrame, results: DataFrame, limit: int = 20) -> DataFrame:
-    """A page of jobs with the lists of their own results; jobs are limited first, then joined."""
+    """A page of jobs with the lists of their own results; only results of those jobs are gathered."""
     page = job_pages(jobs, limit)
-    own = results.select("job_id", "user_id", "line").groupBy("job_id", "user_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return page.join(own, ["job_id", "user_id"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
+    own = page.select("job_id", "user_id", "place", "total", "has_more").join(results.select("job_id", "user_id", "line"), ["job_id", "user_id"], "left")
+    return own.groupBy("job_id", "user_id", "place", "total", "has_more").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def without_row(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -115,3 +123,91 @@ def delete_cascade(uploads: DataFrame, jobs: DataFrame, results: DataFrame, ledg
     lost = jobs.join(gone.select("upload_id"), "upload_id", "left_semi").select("job_id")
     forgot = ledger.join(lost.withColumn("_lost", F.lit(True)), "job_id", "left").withColumn("job_id", F.when(F.col("_lost").isNull(), F.col("job_id"))).drop("_lost")
     return uploads.join(gone, "upload_id", "left_anti"), jobs.join(gone, "upload_id", "left_anti"), results.join(lost, "job_id", "left_anti"), forgot.select(*ledger.columns)
+
+
+def find(table: DataFrame, **equal) -> DataFrame:
+    """Rows whose columns, as text, equal what is asked for: an id that can't be one finds nothing, and is no error."""
+    for name, value in equal.items():
+        table = table.where(F.col(name).cast("string") == F.lit(str(value)))
+    return table
+
+
+def lookup(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`asked` (a column `asked` of texts) with the rows that they name, or nulls."""
+    return asked.join(table.withColumn("_key", F.col(key).cast("string")), F.col("asked") == F.col("_key"), "left").drop("_key")
+
+
+def download_access(requests: DataFrame, results: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Requests (caller, key) with a status: 404 without such a result, 403 if it is another user's, 410 if its job isn't completed."""
+    held = requests.join(results.select("key", F.col("user_id").alias("_owner"), "job_id"), "key", "left").join(jobs.select("job_id", F.col("status").alias("_status")), "job_id", "left")
+    status = F.when(F.col("_owner").isNull(), 404).when(F.col("_owner") != F.col("caller"), 403).when(F.coalesce("_status", F.lit("")) != "completed", 410).otherwise(200)
+    return held.select(*requests.columns, "job_id", status.alias("http_status"))
+
+
+def sweep(objects: DataFrame, rows: DataFrame, now, shard, grace_seconds: int = rules.GRACE_SECONDS) -> DataFrame:
+    """Objects (key, uploaded) of one shard that are older than the grace and that no row has."""
+    mine = objects.where(F.startswith("key", rules.shard_prefix(shard)) & (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("uploaded").cast("timestamp")) > grace_seconds))
+    return without_row(mine, rows, "key")
+
+
+def stale_batch(jobs: DataFrame, now, batch: int = 50) -> DataFrame:
+    """Of each kind of stale job the oldest ones: two sorts that stop at a batch, not a window over all."""
+    found = stale_jobs(jobs, now)
+    first = [found.where(F.col("status") == s).orderBy("created_at", "job_id").limit(batch) for s in ACTIVE]
+    return first[0].unionByName(first[1])
+
+
+def active_job_breaches(jobs: DataFrame, profiles: DataFrame, limits: DataFrame) -> DataFrame:
+    """Users who may not start another job now: as many active ones as their plan allows, or more."""
+    active = jobs.where(F.col("status").isin(*ACTIVE)).groupBy("user_id").agg(F.count("*").alias("n_active"))
+    known = active.join(profiles.select("user_id", "plan"), "user_id", "left").withColumn("plan", F.coalesce("plan", F.lit("free")))
+    over = known.join(F.broadcast(limits.select("plan", "max_active_jobs")), "plan").where(F.col("n_active") >= F.col("max_active_jobs"))
+    return over.select("user_id", "plan", "n_active", "max_active_jobs", F.lit(30).alias("retry_after"))
+
+
+def public_ledger(entries: DataFrame, limit: int = 20) -> DataFrame:
+    """Newest entries of each user, as they may be shown: without grant keys; the id breaks ties."""
+    newest = Window.partitionBy("user_id").orderBy(F.desc("made_at"), F.desc("request_id"))
+    return entries.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit).select("user_id", "place", "request_id", "type", "amount", "job_id", "made_at")
+
+
+def decisions(deliveries: DataFrame, most: int = rules.MAX_ATTEMPTS) -> DataFrame:
+    """What becomes of each queue delivery (job_id, delivery_id, made_at, outcome), in order of time.
+
+    `attempt` counts a job's deliveries. Until it is done, success acknowledges, a permanent error or the last
+    attempt fails the job (`fail`: acknowledged and refunded, `dead` where only attempts ran out), anything else
+    is tried again after a delay that doubles. Later deliveries of a done job are acknowledged.
+    """
+    w = Window.partitionBy("job_id").orderBy("made_at", "delivery_id")
+    d = deliveries.withColumn("attempt", F.row_number().over(w))
+    ends = (F.col("outcome") != "transient") | (F.col("attempt") >= most)
+    d = d.withColumn("_done", F.coalesce(F.max(ends.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1)
+    action = F.when(F.col("_done") | (F.col("outcome") == "success"), "ack").when(ends, "fail").otherwise("retry")
+    d = d.withColumn("action", action).withColumn("delay_seconds", F.when(F.col("action") == "retry", rules.retry_seconds(F.col("attempt"))))
+    return d.withColumn("dead", (F.col("action") == "fail") & (F.col("outcome") == "transient")).drop("_done")
+
+
+def lease_claims(claims: DataFrame, lease_seconds: int = rules.LEASE_SECONDS) -> DataFrame:
+    """(job_id, delivery_id, decision, wait): claims of jobs (job_id, delivery_id, made_at) in order of time.
+
+    A job without a lease, or whose lease is over, is claimed (`claim`, `takeover`) for a lease from then on; while
+    it is held a delivery is told to come back (`held`) when it ends, and doesn't lengthen it. Each decision rests on
+    the one before, so a job's claims are read in order with its lease carried along; none are gathered.
+    """
+
+    def run(batches):
+        job, until = None, None
+        for b in batches:
+            out, waits = [], []
+            for j, at in zip(b.column("job_id").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if j != job:
+                    job, until = j, None
+                held = until is not None and until > at
+                out.append("held" if held else "claim" if until is None else "takeover")
+                waits.append(min(-(-(until - at) // 1_000_000) + 5, 900) if held else None)
+                if not held:
+                    until = at + lease_seconds * 1_000_000
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("delivery_id"), pa.array(out, pa.string()), pa.array(waits, pa.int64())], ["job_id", "delivery_id", "decision", "wait"])
+
+    at = claims.select(F.col("job_id").cast("long").alias("job_id"), F.col("delivery_id").cast("long").alias("delivery_id"), F.unix_micros(F.col("made_at").cast("timestamp")).alias("at")).where("job_id is not null and at is not null")
+    return at.repartition("job_id").sortWithinPartitions("job_id", "at", "delivery_id").mapInArrow(run, "job_id long, delivery_id long, decision string, wait long")

@@ -1 +1 @@
-from . import queries, shapes  # noqa: F401  (both register their queries)
+from . import queries, requests, shapes  # noqa: F401  (they register their queries)

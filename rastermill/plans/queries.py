@@ -105,12 +105,12 @@ def existing_keys(spark, sf_dir):
     return service.with_row(roles.table(spark, sf_dir, "documents").select("doc_id"), roles.table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query(f"""with j as (select * from {_JOBS} where status = 'completed' or user_id % 5 <> 0), u as (select upload_id, max(created_at) as newest, min(created_at) as oldest, count(*) as n_jobs from j group by upload_id),
+@query(f"""with j as (select * replace (upload_id * 100 + month(created_at) as upload_id) from {_JOBS}), u as (select upload_id, max(created_at) as newest, min(created_at) as oldest, count(*) as n_jobs from j group by upload_id),
 f as (select * from u where newest < timestamp '2100-01-01' and upload_id not in (select upload_id from j where status in ('queued', 'processing')) order by oldest, upload_id limit 50)
 select f.upload_id, n_jobs, coalesce((select count(*) from {_RESULTS} r join j on r.job_id = j.job_id where j.upload_id = f.upload_id), 0) as n_results from f""")
 def retention_candidates(spark, sf_dir):
-    """The oldest 50 uploads whose jobs are all finished (active jobs of every fifth user left out of the table)."""
-    jobs = roles.jobs(spark, sf_dir).where("status = 'completed' or user_id % 5 <> 0")
+    """The oldest 50 uploads whose jobs are all finished; an upload is a customer's of one month of the year."""
+    jobs = roles.jobs(spark, sf_dir).withColumn("upload_id", F.col("upload_id") * 100 + F.month("created_at"))
     return service.retention_candidates(jobs, roles.conversions(spark, sf_dir), F.lit("2100-01-01").cast("timestamp_ntz"))
 
 
@@ -509,7 +509,7 @@ def stream_ledger(spark, sf_dir):
     return stream.run(spark, sf_dir)
 
 
-@query("""with d as (select event_id % 397 as job_id, event_id, ts, case event_type when 'purchase' then 'success' when 'error' then 'permanent' else 'transient' end as outcome from events),
+@query("""with d as (select event_id // 8 as job_id, event_id, ts, case event_type when 'purchase' then 'success' when 'error' then 'permanent' else 'transient' end as outcome from events),
 k as (select *, row_number() over (partition by job_id order by ts, event_id) as k from d), f as (select job_id, min(case when outcome <> 'transient' or k >= 3 then k end) as last, count(*) as n from k group by job_id)
 select f.job_id, case when last is null then 'queued' when k.outcome = 'success' then 'completed' else 'failed' end as status, cast(coalesce(last, n) as int) as attempts, case when last is not null and k.outcome <> 'success' then 1 else 0 end as refunds from f left join k on f.job_id = k.job_id and f.last = k.k""")
 def stream_lifecycle(spark, sf_dir):

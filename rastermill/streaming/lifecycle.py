@@ -34,9 +34,9 @@ def decide(status: str, attempts: int, outcome: str) -> tuple[str, int, str, boo
 
 
 def deliveries(events: DataFrame) -> DataFrame:
-    """Queue deliveries from events: purchases succeed, errors are permanent, the rest may be tried again."""
+    """Queue deliveries from events, eight for a job: purchases succeed, errors are permanent, the rest may be tried again."""
     outcome = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "permanent").otherwise("transient")
-    return events.select((F.col("event_id") % 397).alias("job_id"), F.col("event_id").alias("delivery_id"), F.col("ts").alias("made_at"), outcome.alias("outcome"))
+    return events.select(F.floor(F.col("event_id") / 8).alias("job_id"), F.col("event_id").alias("delivery_id"), F.col("ts").alias("made_at"), outcome.alias("outcome"))
 
 
 def step(key, frames, state):
