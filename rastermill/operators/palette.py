@@ -64,7 +64,7 @@ def extract(bins: DataFrame, most: int = 48, reach: float = 0.05) -> DataFrame:
         for t in batches:
             rows = []
             for i in range(t.num_rows):
-                w, *s, q = (np.array(t.column(k)[i].as_py(), float) for k in ("w", *sums, "sum_sq"))
+                w, *s, q = (t.column(k)[i].values.to_numpy() for k in ("w", *sums, "sum_sq"))
                 for label, g in enumerate(cluster(w, np.stack(s, axis=1), q, most, reach)):
                     rows.append((t.column("image_id")[i].as_py(), label, g[0], *(g[1:4] / g[0]), *np.floor(g[4:7] / g[0] + 0.5)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9

@@ -86,7 +86,7 @@ def apply(pixels: DataFrame, kernel) -> DataFrame:
     def run(batches):
         for t in batches:
             for i in range(t.num_rows):
-                image = np.stack([np.array(t.column(c)[i].as_py()) for c in "rgba"], axis=1).reshape(-1, t.column("width")[i].as_py(), 4)
+                image = np.stack([t.column(c)[i].values.to_numpy() for c in "rgba"], axis=1).reshape(-1, t.column("width")[i].as_py(), 4)
                 out = kernel(image)
                 h, w, _ = out.shape
                 y, x = np.divmod(np.arange(h * w), w)

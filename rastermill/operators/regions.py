@@ -24,6 +24,12 @@ def dense(labels: DataFrame) -> DataFrame:
     return labels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), cells.alias("cells")).select("image_id", "width", F.col("cells.label").alias("labels"))
 
 
+def grids(batch: pa.RecordBatch):
+    """The label arrays of a batch of `dense` rows, without making objects of their pixels."""
+    for w, v in zip(batch.column("width").to_pylist(), batch.column("labels"), strict=True):
+        yield v.values.to_numpy().reshape(-1, w)
+
+
 def components(labels: DataFrame) -> DataFrame:
     """(image_id, x, y, label, root): `root` is the first pixel, in row-major order, of the pixel's region.
 
@@ -32,7 +38,7 @@ def components(labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            roots = [component_roots(np.array(v).reshape(-1, w)).ravel().tolist() for w, v in zip(b.column("width").to_pylist(), b.column("labels").to_pylist(), strict=True)]
+            roots = [component_roots(grid).ravel() for grid in grids(b)]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("width"), b.column("labels"), pa.array(roots, pa.list_(pa.int64()))], ["image_id", "width", "labels", "roots"])
 
     done = dense(labels).mapInArrow(run, "image_id long, width int, labels array<long>, roots array<long>")
@@ -178,9 +184,15 @@ def svg(grid: np.ndarray, colour=lambda label: f"#{min(255, max(0, int(label) *
     h, w = grid.shape
     roots = component_roots(grid)
     ids, n = np.unique(roots, return_counts=True)
+    at = np.argsort(roots.ravel(), kind="stable")
+    ends = np.cumsum(n)
     paths, total = [], 0
     for k in np.lexsort([ids, -n]):
-        loops = outlines(roots == ids[k])
+        y, x = np.divmod(at[ends[k] - n[k] : ends[k]], w)
+        top, left = int(y.min()), int(x.min())
+        box = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1), bool)  # a region costs its own box
+        box[y - top, x - left] = True
+        loops = [[(cx + left, cy + top) for cx, cy in loop] for loop in outlines(box)]
         total += len(loops)
         paths.append(f'<path fill="{colour(grid.flat[ids[k]])}" fill-rule="evenodd" d="{path_text(loops)}"/>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {w} {h}">{"".join(paths)}</svg>', len(ids), total
@@ -191,7 +203,7 @@ def trace(labels: DataFrame, min_area: int = 2) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            done = [svg(merge_small(np.array(v).reshape(-1, w), min_area)) for w, v in zip(b.column("width").to_pylist(), b.column("labels").to_pylist(), strict=True)]
+            done = [svg(merge_small(grid, min_area)) for grid in grids(b)]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32()), pa.array([d[0] for d in done], pa.string())], ["image_id", "n_regions", "n_loops", "svg"])
 
     return dense(labels).mapInArrow(run, "image_id long, n_regions int, n_loops int, svg string")
