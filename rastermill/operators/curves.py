@@ -96,23 +96,50 @@ def chains(regions: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:
 def straight_reach(points: np.ndarray, off: float) -> np.ndarray:
     """For each point the last one that a straight side from it may end at, with all between at most `off` from it.
 
-    Every point between leaves a cone of directions; a side must end inside the cone of all before its end.
+    Every point between leaves a cone of directions; a side must end inside the cone of all before its end. Cones
+    are narrowed over a stretch of points at once, longer ones where a side goes on.
     """
-    xs, ys = points[:, 0].tolist(), points[:, 1].tolist()
-    n = len(xs)
-    out = np.empty(n, np.int64)
-    for i in range(n):
-        x0, y0 = xs[i], ys[i]
-        base, low, high, last = None, -pi, pi, min(i + 1, n - 1)
+    p = points.astype(float)
+    n = len(p)
+    out = np.full(n, n - 1)
+    if n <= 48:
+        return _short_reach(p.tolist(), off)
+    for i in range(n - 1):
+        low, high, base, last, at, size = -pi, pi, None, i + 1, i + 1, 32
+        while at < n:
+            d = p[at : at + size] - p[i]
+            r = np.hypot(d[:, 0], d[:, 1])
+            turn = np.arctan2(d[:, 1], d[:, 0])
+            base = turn[0] if base is None else base
+            turn = (turn - base + pi) % (2 * pi) - pi
+            width = np.arcsin(np.minimum(1.0, off / np.maximum(r, 1e-9)))
+            lows = np.maximum.accumulate(np.r_[low, turn - width])
+            highs = np.minimum.accumulate(np.r_[high, turn + width])
+            open_till = int(np.argmax(np.r_[(lows[1:] > highs[1:]) | (r == 0), True]))  # the first point that closes the cone
+            upto = min(open_till + 1, len(turn))
+            fits = np.flatnonzero((turn[:upto] >= lows[:upto] - 1e-12) & (turn[:upto] <= highs[:upto] + 1e-12) & (r[:upto] > 0))
+            if len(fits):
+                last = at + int(fits[-1])
+            if open_till < len(turn):
+                break
+            low, high, at, size = lows[-1], highs[-1], at + size, size * 2
+        out[i] = last
+    return out
+
+
+def _short_reach(p: list[list[float]], off: float) -> np.ndarray:
+    """The same for few points, one by one."""
+    n = len(p)
+    out = np.full(n, n - 1)
+    for i, (x, y) in enumerate(p[:-1]):
+        low, high, last = -pi, pi, i + 1
+        base = atan2(p[i + 1][1] - y, p[i + 1][0] - x)
         for j in range(i + 1, n):
-            dx, dy = xs[j] - x0, ys[j] - y0
+            dx, dy = p[j][0] - x, p[j][1] - y
             r = hypot(dx, dy)
             if r == 0:
                 break
-            turn = atan2(dy, dx)
-            if base is None:
-                base = turn
-            turn = (turn - base + pi) % (2 * pi) - pi
+            turn = (atan2(dy, dx) - base + pi) % (2 * pi) - pi
             if low - 1e-12 <= turn <= high + 1e-12:
                 last = j
             width = asin(min(1.0, off / r))
@@ -224,8 +251,9 @@ def sharpness(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
     return (1 - 1 / away if away > 1 else 0.0) / 0.75
 
 
-def smoothed(vertices: np.ndarray, closed: bool, corner: float) -> tuple[np.ndarray, list]:
-    """(start, segments): a curve around each soft vertex from one side's middle to the next's, lines to corners."""
+def smoothed(vertices: np.ndarray, closed: bool, corner: float, sharp: np.ndarray) -> tuple[np.ndarray, list]:
+    """(start, segments): a curve around each soft vertex from one side's middle to the next's, lines to corners and
+    to vertices that are `sharp`."""
     m = len(vertices)
     if closed and m < 3 or not closed and m == 2:
         return vertices[0], [("L", p) for p in vertices[1:]] + ([("L", vertices[0])] if closed else [])
@@ -236,7 +264,7 @@ def smoothed(vertices: np.ndarray, closed: bool, corner: float) -> tuple[np.ndar
         a = (vertices[k - 1] + b) / 2 if closed or k > 1 else vertices[0]
         c = (b + vertices[(k + 1) % m]) / 2 if closed or k < m - 2 else vertices[-1]
         s = sharpness(vertices[k - 1], b, vertices[(k + 1) % m])
-        if s >= corner:
+        if s >= corner or sharp[k]:
             out += [("L", b), ("L", c)]
         else:
             s = min(max(s, 0.55), 1.0)
@@ -322,6 +350,25 @@ def merged_lines(start: np.ndarray, segments: list) -> list:
     return out
 
 
+def square_corners(points: np.ndarray, corners: np.ndarray, closed: bool, least: int = 3) -> np.ndarray:
+    """Which corners of a polygon are true right angles: straight runs of at least so many sides meet in them."""
+    steps = np.diff(np.vstack([points, points[:1]]) if closed else points, axis=0)
+    n = len(steps)
+
+    def run(at: int, way: int) -> tuple[int, np.ndarray]:
+        first, k = steps[at % n], 1
+        while k < least and (closed or 0 <= at + way * k < n) and (steps[(at + way * k) % n] == first).all():
+            k += 1
+        return k, first
+
+    out = np.zeros(len(corners), bool)
+    for i, c in enumerate(corners.tolist()):
+        if closed or 0 < c < n:
+            (before, a), (after, b) = run(c - 1, -1), run(c, 1)
+            out[i] = before >= least and after >= least and a @ b == 0
+    return out
+
+
 def backwards(start: np.ndarray, segments: list) -> tuple[np.ndarray, list]:
     """The same path from its end to its start, as the region on the other side draws it."""
     ends = [start, *[s[-1] for s in segments]]
@@ -331,13 +378,14 @@ def backwards(start: np.ndarray, segments: list) -> tuple[np.ndarray, list]:
 def fit_chain(points: np.ndarray, closed: bool, fit: Fit = Fit()) -> tuple[np.ndarray, list]:
     """(start, segments) of a chain: polygon, vertices, curves, merged. Open chains keep both ends."""
     points = np.asarray(points)
-    if len(points) < 3:
+    if len(points) < 3 or not closed and (np.diff(points, axis=0) == points[1] - points[0]).all():
+        points = points[[0, -1]] if not closed else points
         return points[0].astype(float), [("L", p.astype(float)) for p in points[1:]]
     corners = closed_polygon(points, fit.reach) if closed else np.array(polygon(points, fit.reach))
     vertices = adjusted(points, corners, closed)
     if fit.snap:
         vertices = np.rint(vertices)
-    start, segments = smoothed(vertices, closed, fit.corner)
+    start, segments = smoothed(vertices, closed, fit.corner, square_corners(points, corners, closed))
     return start, merged_lines(start, merged_curves(start, segments, fit.merge))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curves, markup
 from ..sources import roles
+from ..sources.shared import save
 from .queries import _CRACKS, _PIXELS, _labels, query
 from .shapes import _ROOTS
 
@@ -48,6 +50,33 @@ def trace_stacked(spark, sf_dir):
     return markup.path_structure(drawn, "image_id", "svg").select("image_id", "paths")
 
 
+#: Pixels a side of the drawn pictures.
+_SIDE = 256
+_DRAWN = f"""(with s as (select s_suppkey as image_id, s_nationkey % 5 as kind, cast(floor(abs(s_acctbal)) as int) as k from supplier), p as (select * from s, range({_SIDE}) a(x), range({_SIDE}) b(y)),
+ q as (select *, 2 * x + 1 - {_SIDE} as dx, 2 * y + 1 - {_SIDE} as dy, greatest(16, k % 64) as cell from p),
+ v as (select *, case kind when 0 then (dx * dx + dy * dy <= (k % {_SIDE} + {_SIDE // 4}) * (k % {_SIDE} + {_SIDE // 4}))::int when 1 then (dx > 0)::int + 2 * (dy > 0)::int + case when abs(dx) * 4 > abs(dy) * 7 then 0 else 2 end when 2 then (x + y) // cell % 2 when 3 then (x // cell + y // cell) % 2 else x // 8 end as level from q)
+ select image_id, x, y, cast((level * 97 + k) % 256 as int) as r, cast((level * 61 + k) % 256 as int) as g, cast((level * 31 + k) % 256 as int) as b, 255 as a from v)"""
+
+
+@query(f"select image_id, count(*) as n, count(distinct r * 65536 + g * 256 + b) as colours, cast(sum(r) as bigint) as red, cast(sum((r + g + b) * (x + 1)) as bigint) as across, count(*) filter (r <> before) as edges from (select *, lag(r) over (partition by image_id, y order by x) as before from {_DRAWN}) group by 1")
+def drawing_statistics(spark, sf_dir):
+    """Colours and edges of pictures of 256 x 256 pixels."""
+    p = roles.drawings(spark, sf_dir, _SIDE)
+    p = p.withColumn("before", F.lag("r").over(Window.partitionBy("image_id", "y").orderBy("x")))
+    return p.groupBy("image_id").agg(
+        F.count("*").alias("n"), F.countDistinct(F.col("r") * 65536 + F.col("g") * 256 + F.col("b")).alias("colours"), F.sum("r").alias("red"), F.sum((F.col("r") + F.col("g") + F.col("b")) * (F.col("x") + 1)).cast("long").alias("across"), F.count_if(F.col("r") != F.col("before")).alias("edges"),
+    )
+
+
+@query(f"select image_id, count(*) filter (right_of <> r or x = 0) + count(*) filter (x = {_SIDE} - 1) + count(*) filter (below <> r or y = 0) + count(*) filter (y = {_SIDE} - 1) as sides, true as close from (select *, lag(r) over (partition by image_id, y order by x) as right_of, lag(r) over (partition by image_id, x order by y) as below from {_DRAWN}) group by 1")
+def drawing_chains(spark, sf_dir):
+    """Pictures of 256 x 256 pixels as fitted chains: every side is in one, and paths stay within a pixel of them."""
+    labels = roles.drawings(spark, sf_dir, _SIDE).select("image_id", "x", "y", F.col("r").alias("label"))
+    f = curves.fitted_chains(save(curves.region_chains(labels), "chains"))
+    sides = F.size("xs") - F.when(F.col("closed"), 0).otherwise(1)
+    return f.groupBy("image_id").agg(F.sum(sides).cast("long").alias("sides"), (F.max("off") <= 1).alias("close"))
+
+
 @query()
 def trace_cutout(spark, sf_dir):
     """SVG text of images with every hole cut out."""

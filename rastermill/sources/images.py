@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -86,3 +90,126 @@ def decodable(sized: DataFrame) -> DataFrame:
     too_large = (F.col("width") > 12000) | (F.col("height") > 12000) | (F.col("width") * F.col("height") > 4_000_000)
     padded = (F.col("mime") != "image/png") & (F.col("length") > (2 << 20) + 3 * F.col("width") * F.col("height"))
     return sized.withColumn("refusal", F.when(F.col("mime").isNull(), "unsupported").when(F.col("width").isNull(), "unreadable").when(too_large, "dimensions").when(padded, "padding"))
+
+
+def decoded(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, width, height, rgba) of the PNG and JPEG files of a folder, decoded by Spark's own image reader.
+
+    `rgba` holds four bytes a pixel, row by row. Files that can't be read have no row. The reader hands rows from
+    the top, channels as blue, green, red and alpha.
+    """
+    found = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for n, data in zip(b.column("channels").to_pylist(), b.column("data").to_pylist(), strict=True):
+                p = np.frombuffer(data, np.uint8).reshape(-1, n)
+                colour = p[:, [2, 1, 0]] if n >= 3 else np.repeat(p[:, :1], 3, axis=1)
+                alpha = p[:, 3:4] if n == 4 else np.full((len(p), 1), 255, np.uint8)
+                out.append(np.hstack([colour, alpha]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("width"), b.column("height"), pa.array(out, pa.binary())], ["path", "width", "height", "rgba"])
+
+    cells = found.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    return cells.mapInArrow(run, "path string, width int, height int, rgba binary")
+
+
+def pixels_of(images: DataFrame, id_col: str = "image_id", most: int | None = None) -> DataFrame:
+    """(image_id, x, y, r, g, b, a) of `decoded` rows with an id; shrunk by a whole factor to `most` pixels at most.
+
+    A block's colour is the mean of its pixels weighted by alpha, its alpha a plain mean; halves go up. Images
+    leave in batches of rows of pixels, so a large one is never a batch of objects.
+    """
+
+    def run(batches):
+        for b in batches:
+            for image, w, h, data in zip(*(b.column(c).to_pylist() for c in ("i", "width", "height", "rgba")), strict=True):
+                p = shrunk(np.frombuffer(data, np.uint8).reshape(h, w, 4), most)
+                rows, width = p.shape[:2]
+                for top in range(0, rows, max(1, 65536 // width)):
+                    part = p[top : top + max(1, 65536 // width)]
+                    y, x = np.divmod(np.arange(part.shape[0] * width, dtype=np.int32), width)
+                    flat = part.reshape(-1, 4).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), image)), pa.array(x), pa.array(y + np.int32(top)), *[pa.array(flat[:, k]) for k in range(4)]], ["image_id", "x", "y", *"rgba"])
+
+    return images.select(F.col(id_col).cast("long").alias("i"), "width", "height", "rgba").mapInArrow(run, "image_id long, x int, y int, r int, g int, b int, a int")
+
+
+def shrunk(image: np.ndarray, most: int | None) -> np.ndarray:
+    """An image (height, width, 4) as it is, or in blocks of the least whole size that leaves at most `most` of them."""
+    h, w, _ = image.shape
+    k = 1
+    while most is not None and -(-h // k) * -(-w // k) > most:
+        k += 1
+    if k == 1:
+        return image
+    p = image.astype(np.int64)
+    p[..., :3] *= p[..., 3:]
+    for axis in (0, 1):
+        p = np.add.reduceat(p, np.arange(0, p.shape[axis], k), axis=axis)
+    sides = [np.diff(np.r_[np.arange(0, n, k), n]) for n in (h, w)]
+    count = (sides[0][:, None] * sides[1])[..., None]
+    alpha = p[..., 3:]
+    colour = np.where(alpha > 0, (2 * p[..., :3] + alpha) // np.maximum(1, 2 * alpha), 0)
+    return np.concatenate([colour, (2 * alpha + count) // (2 * count)], axis=2).astype(np.uint8)
+
+
+def png(image: np.ndarray) -> bytes:
+    """A PNG file of 8-bit RGBA from an array (height, width, 4)."""
+    h, w, _ = image.shape
+    rows = np.hstack([np.zeros((h, 1), np.uint8), np.ascontiguousarray(image, np.uint8).reshape(h, 4 * w)]).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def jpeg_segments(b: bytes):
+    """(kind, start, end) of each part of a JPEG up to and with its scans; ends early where it is broken."""
+    at = 2
+    while at + 3 < len(b) and b[at] == 0xFF:
+        while b[at + 1] == 0xFF and at + 2 < len(b):  # padding between parts
+            at += 1
+        kind = b[at + 1]
+        if kind == 0xDA:
+            yield kind, at, len(b)
+            return
+        alone = kind in (0x01, 0xD8, 0xD9) or 0xD0 <= kind <= 0xD7
+        end = at + 2 if alone else at + 2 + int.from_bytes(b[at + 2 : at + 4], "big")
+        if not alone and (end > len(b) or end < at + 4):
+            return
+        yield kind, at, end
+        at = end
+
+
+def without_metadata(b: bytes | None) -> bytes | None:
+    """A JPEG without comments and application data, but for JFIF, the first Exif block and Adobe's colour mark.
+
+    What isn't a whole JPEG, or has nothing to drop, comes back as it is.
+    """
+    if b is None or b[:2] != b"\xff\xd8":
+        return b
+    kept, exif = [b[:2]], False
+    parts = list(jpeg_segments(b))
+    if not parts or parts[-1][0] != 0xDA:
+        return b
+    for kind, start, end in parts:
+        first_exif = kind == 0xE1 and not exif and b[start + 4 : start + 8] == b"Exif" and end - start >= 10
+        exif = exif or first_exif
+        if kind != 0xFE and (kind not in range(0xE1, 0xF0) or kind == 0xEE or first_exif):
+            kept.append(b[start:end])
+    return b"".join(kept)
+
+
+@F.arrow_udf(BinaryType())
+def strip_metadata(content: pa.Array) -> pa.Array:
+    return pa.array([without_metadata(b) for b in content.to_pylist()], pa.binary())
+
+
+def write_objects(objects: DataFrame, path: str, *keys: str) -> None:
+    """Write rows under folders named by their keys; a second write of a key replaces what was there, and no other."""
+    objects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Delete a stored object or folder; nothing happens if it isn't there. Says whether it was."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

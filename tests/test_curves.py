@@ -79,6 +79,15 @@ def test_polygon_has_the_fewest_sides(seed):
     assert np.isclose(penalty(got), best)
 
 
+def test_long_and_short_chains_reach_alike():
+    for seed in range(30):
+        points = np.vstack([stairs(seed), stairs(seed + 100)[1:] + stairs(seed)[-1], stairs(seed + 200)[1:] + stairs(seed)[-1] + stairs(seed + 100)[-1]])
+        long = np.vstack([points + k * (points[-1] - points[0]) for k in range(4)])
+        long = long[np.r_[True, (np.diff(long, axis=0) != 0).any(axis=1)]]
+        assert len(long) > 48 or len(points) < 16
+        assert (curves.straight_reach(long, 0.9) == curves._short_reach(long.astype(float).tolist(), 0.9)).all()
+
+
 def test_penalty_and_lines_equal_plain_sums():
     points = stairs(3).astype(float)
     n = len(points)
