@@ -6,6 +6,7 @@ import html as entities
 import re
 import sys
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ QUOTED = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
+#: Templates of all hosts (16 MB) that go to every task; with more, each page is joined with those that it has.
+MOST_TEMPLATES = 2_000_000
 DIGITS = re.compile(r"[0-9]+")
 
 
@@ -219,8 +222,9 @@ def mark(root: Node) -> None:
             todo += around
 
 
-def fingerprint(root: Node) -> None:
-    """Hash every element's subtree, and the shape of those that stand beside the main text.
+def fingerprint(root: Node, host: str = "") -> None:
+    """Hash every element's subtree, and the shape of those that stand beside the main text, for one host: equal
+    subtrees of other hosts have other hashes, so that a hash alone is what is counted.
 
     Exact: names and texts. A subtree `may` be a template unless it is or holds a main element, or is a heading or a
     part of a list or table in one, which mean nothing by themselves. `main` is a hash of the text, without
@@ -232,7 +236,7 @@ def fingerprint(root: Node) -> None:
     elements where there are any, else outside the smallest element with half of the page's text, or made of
     links; and not with the page's heading.
     """
-    marked = root.holds
+    marked, seed = root.holds, xxhash.xxh64(host.encode("utf-8", "surrogatepass")).intdigest()
     path = [] if marked else _region(root)
     region, around_region = path[-1] if path else None, set(map(id, path))
 
@@ -241,7 +245,7 @@ def fingerprint(root: Node) -> None:
         within_text = within_text or main or node is region
         if main:
             around, texts, inside = texts, [], []
-        h, holds, within = xxhash.xxh64(f"{node.tag}|{node.names}"), main, inside is not None
+        h, holds, within = xxhash.xxh64(f"{node.tag}|{node.names}", seed=seed), main, inside is not None
         kinds = set()
         for x in node.items:
             if isinstance(x, str):
@@ -259,7 +263,7 @@ def fingerprint(root: Node) -> None:
         node.may = None if holds else not (within and node.tag in PARTS) and node.tag in BLOCKS and node.tag not in ("html", "body", "br", "hr")
         if not holds and not (marked and within_text) and node.tag in BLOCKS:
             own = f"{node.tag}|{DIGITS.sub('0', node.names)}|{node.prose > 0}|{node.linked > 0}|{sorted(kinds)}"
-            node.shape = xxhash.xxh64(own, seed=1).intdigest() - (1 << 63)
+            node.shape = xxhash.xxh64(own, seed=seed ^ 1).intdigest() - (1 << 63)
             beside = not within_text or node is not region and node.linked > node.prose
             if beside and node.tag in BOXES and node.prose + node.linked and (marked or id(node) not in around_region and node.heads < 2):
                 node.share = node.prose / max(1, root.prose)
@@ -286,7 +290,7 @@ def _region(root: Node) -> list[Node]:
         path.append(below)
 
 
-def subtree_hashes(root: Node) -> tuple[set[tuple[int, int | None]], dict[int, float]]:
+def subtree_hashes(root: Node, host: str = "") -> tuple[set[tuple[int, int | None]], dict[int, float]]:
     """What is counted of a page: (hash, main element around) of exact subtrees, and shares of shapes."""
     exact, shapes = set(), {}
 
@@ -300,7 +304,7 @@ def subtree_hashes(root: Node) -> tuple[set[tuple[int, int | None]], dict[int, f
                 walk(x)
 
     mark(root)
-    fingerprint(root)
+    fingerprint(root, host)
     walk(root)
     return exact, shapes
 
@@ -377,6 +381,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     * by shape alone, for boxes beside the main text: menus, adverts and footers made for each page. On
       average they must be at most `max_share` of the text of the pages that have them.
 
+    The hashes of templates are counted: up to `MOST_TEMPLATES` of them go to the pages, which then never move.
+
     What a host has too few pages to tell is left out by the element's meaning, or by a word of its class, id or
     role (`n_listed`; nothing is without `by_name`). Where a page marks its main element, only that is read. Character references are
     decoded, white space in a block becomes one space, blocks are joined by \\n.
@@ -391,36 +397,62 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         for b in batches:
             rows = []
             for page, name, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                exact, shapes = subtree_hashes(parse(text))
-                rows += [(page, name, h, main, None) for h, main in exact]
-                rows += [(page, name, h, None, share) for h, share in shapes.items()]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "host", "h", "main", "share"])
-
-    subtrees = save(src.select("page_id", host, "html").mapInArrow(hash_all, "page_id long, host string, h long, main long, share double"), "subtrees")
-    often = save(subtrees.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select(F.col("host").alias("_host"), F.col("h").alias("_h")), "frequent")
-    seen = save(subtrees.join(often, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).select("page_id", "host", "h", "main", "share"), "frequent-places")
+                exact, shapes = subtree_hashes(parse(text), name)
+                rows += [(page, h, main, None) for h, main in exact]
+                rows += [(page, h, None, share) for h, share in shapes.items()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float32()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "h", "main", "share"])
+
+    subtrees = save(src.select("page_id", host, "html").mapInArrow(hash_all, "page_id long, h long, main long, share float"), "subtrees")
+    often = save(subtrees.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select(F.col("h").alias("_h")), "frequent")
+    seen = save(subtrees.join(often, F.col("h") == F.col("_h")).select("page_id", "h", "main", "share"), "frequent-places")
     # Two plain distinct counts: each place, page and main element is first made one row.
-    of_page = seen.groupBy("host", "h", "page_id").agg(F.count_if(F.col("main").isNull()).alias("m"), F.max("share").alias("share"))
-    pages_of = of_page.groupBy("host", "h").agg(F.count("*").alias("pages"), F.count_if(F.col("m") > 0).alias("outside"), F.avg("share").alias("share"))
-    mains_of = seen.where("main is not null").select("host", "h", "main").distinct().groupBy("host", "h").agg(F.count("*").alias("mains"))
+    of_page = seen.groupBy("h", "page_id").agg(F.count_if(F.col("main").isNull()).alias("m"), F.max("share").alias("share"))
+    pages_of = of_page.groupBy("h").agg(F.count("*").alias("pages"), F.count_if(F.col("m") > 0).alias("outside"), F.avg("share").alias("share"))
+    mains_of = seen.where("main is not null").select("h", "main").distinct().groupBy("h").agg(F.count("*").alias("mains"))
     enough = (F.col("pages") >= min_pages) & (F.col("outside") + F.coalesce("mains", F.lit(0)) >= min_pages) & F.coalesce(F.col("share") <= max_share, F.lit(True))
-    templates = save(pages_of.join(mains_of, ["host", "h"], "left").where(enough).select(F.col("host").alias("_host"), F.col("h").alias("_h")), "templates")
-    hits = seen.join(templates, (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h"))).groupBy("page_id").agg(F.collect_set("h").alias("hits")).withColumnRenamed("page_id", "_page")
-    known = src.join(save(hits, "template-hits"), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", "html", "hits")
+    templates = save(pages_of.join(mains_of, "h", "left").where(enough).select(F.col("h").alias("_h")), "templates")
+    if templates.count() <= MOST_TEMPLATES:
+        known, hits_of = src.select("page_id", "url", host, "html"), _held(templates)
+    else:
+        hits = seen.join(templates, F.col("h") == F.col("_h")).groupBy("page_id").agg(F.collect_set("h").alias("hits")).withColumnRenamed("page_id", "_page")
+        known = src.join(save(hits, "template-hits"), F.col("page_id") == F.col("_page"), "left").select("page_id", "url", host, "html", "hits")
+        hits_of = None
 
     def extract(batches):
+        held = np.frombuffer(hits_of.value, np.int64) if hits_of is not None else None
         for b in batches:
             found = []
-            for page, hits in zip(b.column("html").to_pylist(), b.column("hits").to_pylist(), strict=True):
+            given = b.column("hits").to_pylist() if held is None else [None] * b.num_rows
+            for page, name, hits in zip(b.column("html").to_pylist(), b.column("host").to_pylist(), given, strict=True):
                 root = parse(page)
                 mark(root)
-                if hits:
-                    fingerprint(root)
+                if held is not None and len(held) or hits:
+                    fingerprint(root, name)
+                if held is not None and len(held):
+                    own = np.array(_counted(root), np.int64)
+                    hits = own[held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own].tolist()
                 found.append(main_text(root, frozenset(hits or ()), by_name))
             texts, counted, listed = zip(*found, strict=True) if found else ([], [], [])
             numbers = [pa.array(x, pa.int64()) for x in (list(map(len, texts)), counted, listed)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), *numbers], ["page_id", "url", "text", "n_chars", "n_templates", "n_listed"])
 
     return known.mapInArrow(extract, "page_id long, url string, text string, n_chars long, n_templates long, n_listed long")
+
+
+def _held(templates: DataFrame):
+    """The hashes of templates, sorted, eight bytes each, for all tasks."""
+    found = templates.toArrow().column("_h").to_numpy()
+    return templates.sparkSession.sparkContext.broadcast(np.sort(found.astype(np.int64)).tobytes())
+
+
+def _counted(node: Node) -> list[int]:
+    """All hashes of a page that may be templates."""
+    out = [node.h] if node.may else []
+    if node.share is not None:
+        out.append(node.shape)
+    for x in node.items:
+        if not isinstance(x, str):
+            out += _counted(x)
+    return out

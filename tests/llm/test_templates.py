@@ -53,7 +53,9 @@ def random_tree(rng, pool, depth=3):
     return tag, rng.choice(["", "", "box", "k1"]), kids
 
 
-def test_exact_subtrees_equal_plain_counts(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_exact_subtrees_equal_plain_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(template, "MOST_TEMPLATES", most)
     rng = random.Random(1)
     pool = [f"text {i}" for i in range(6)]
     sites = {i: (rng.choice("ab"), ("body", "", [random_tree(rng, pool) for _ in range(rng.randrange(1, 4))])) for i in range(60)}
@@ -73,8 +75,10 @@ def shape(node):
     return node[0], node[1], texts, links, tuple(sorted({shape(x) for x in node[2] if not isinstance(x, str) and x[0] != "a"}))
 
 
-def test_shapes_equal_plain_counts_on_random_sites(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_shapes_equal_plain_counts_on_random_sites(spark, monkeypatch, most):
     """Menus, adverts and footers of changing text around an article: all of them, and only them, by counting alone."""
+    monkeypatch.setattr(template, "MOST_TEMPLATES", most)
     rng = random.Random(2)
     n = 0
 
