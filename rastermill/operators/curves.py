@@ -445,7 +445,8 @@ def region_chains(labels: DataFrame, min_area: int = 1) -> DataFrame:
 def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2) -> DataFrame:
     """`region_chains` with `path` (data without the first move), `back` (the other way round), the start and end,
     `segments`, `curves`, `off`, the largest distance from the pixel sides, and `shoe` (`shoelace`). A chain is a unit of work."""
-    spread = found.repartition(F.col("image_id"), F.col("chain"))
+    # a fixed number of tasks, as for `dense`: fitting is not in proportion to bytes
+    spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "chain")
 
     def run(batches):
         for b in batches:
