@@ -69,9 +69,9 @@ def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             of = up
 
 
-def merge_small(grid: np.ndarray, min_area: int) -> np.ndarray:
+def merge_small(grid: np.ndarray, min_area: int, apart=lambda p, q: abs(p - q)) -> np.ndarray:
     """Labels where each region below `min_area`, the smallest first, has joined the neighbour with the
-    longest common border; of equals the one of the closest label, then the first."""
+    longest common border; of equals the one whose label is least `apart`, then the first."""
     roots = component_roots(grid)
     ids, areas = np.unique(roots, return_counts=True)
     area = dict(zip(ids.tolist(), areas.tolist(), strict=True))
@@ -98,7 +98,7 @@ def merge_small(grid: np.ndarray, min_area: int) -> np.ndarray:
         if area.get(region) != n or not beside[region]:
             continue
         near = beside[region]
-        best = min(near, key=lambda k: (-near[k], abs(int(label[k]) - int(label[region])), k))
+        best = min(near, key=lambda k: (-near[k], apart(int(label[k]), int(label[region])), k))
         new = label[best]
         same = [k for k in near if k != best and label[k] == new]
         at = unite(region, best, new)
@@ -115,6 +115,23 @@ def merge_small(grid: np.ndarray, min_area: int) -> np.ndarray:
     return np.array([label[end(i)] for i in ids.tolist()])[np.searchsorted(ids, roots)].astype(grid.dtype)
 
 
+def within_budget(grid: np.ndarray, min_area: int, most: int = 6000, hard: int = 40000, apart=lambda p, q: abs(p - q)) -> np.ndarray:
+    """`merge_small`, again with twice the least area while there are more than `most` regions.
+
+    The least area stops growing at a fiftieth of the image. On fine patterns one round can join everything: a
+    round that leaves under a quarter of `most` is taken back, if at most `hard` regions were there before it.
+    """
+    grid = merge_small(grid, min_area, apart)
+    n = len(np.unique(component_roots(grid)))
+    while n > most and min_area < grid.size / 50:
+        min_area *= 2
+        before, n_before, grid = grid, n, merge_small(grid, min_area, apart)
+        n = len(np.unique(component_roots(grid)))
+        if n < most / 4 and n_before <= hard:
+            return before
+    return grid
+
+
 def _borders(roots: np.ndarray) -> dict[tuple[int, int], int]:
     pairs = np.concatenate([np.stack([roots[:, :-1].ravel(), roots[:, 1:].ravel()], 1), np.stack([roots[:-1].ravel(), roots[1:].ravel()], 1)])
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
