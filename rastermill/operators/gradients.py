@@ -6,7 +6,9 @@ of whole numbers stay whole: their order doesn't matter.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,25 @@ def linear_ramps(pixels: DataFrame, margin: int = 1, label: str = "region") -> D
     Pixels come with `distance`; those at most `margin` from an edge don't count. Colours are 0 to 1. Where
     the pixels don't span a plane the fit is flat.
     """
+    return ramps_of(ramp_sums(pixels, margin, label), label)
+
+
+#: Sums that a plane through three channels needs; they add up when regions merge.
+SUMS = ("n", "sx", "sy", "sxx", "sxy", "syy", *(k for c in CHANNELS for k in (f"s{c}", f"sx{c}", f"sy{c}", f"s{c}{c}")))
+
+
+def ramp_sums(pixels: DataFrame, margin: int = 1, label: str = "region") -> DataFrame:
+    """`SUMS` over the inner pixels of each region."""
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
     sums = {"sx": x, "sy": y, "sxx": x * x, "sxy": x * y, "syy": y * y}
     for c in CHANNELS:
         v = F.col(c).cast("long")
         sums |= {f"s{c}": v, f"sx{c}": v * x, f"sy{c}": v * y, f"s{c}{c}": v * v}
-    s = pixels.where(F.col("distance") > margin).groupBy("image_id", label).agg(F.count("*").alias("n"), *[F.sum(e).cast("double").alias(k) for k, e in sums.items()])
+    return pixels.where(F.col("distance") > margin).groupBy("image_id", label).agg(F.count("*").alias("n"), *[F.sum(e).cast("double").alias(k) for k, e in sums.items()])
+
+
+def ramps_of(s: DataFrame, label: str = "region") -> DataFrame:
+    """The planes of `linear_ramps` from rows of `SUMS`."""
 
     def spread(both, one, other):
         return F.col(both) - F.col(one) * F.col(other) / F.col("n")
@@ -69,6 +84,66 @@ def linear_ramps(pixels: DataFrame, margin: int = 1, label: str = "region") -> D
     return s.withColumn("ramp", steep * 4 * F.sqrt(F.greatest(F.lit(0.0), along))).select("image_id", label, "n", "cx", "cy", "rms", "ramp", "ux", "uy", *slopes)
 
 
+def plane(sums: np.ndarray) -> tuple[float, float]:
+    """(rms, ramp) of one row of `SUMS`, as in `linear_ramps`."""
+    n, sx, sy, sxx, sxy, syy = sums[:6]
+    cxx, cxy, cyy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
+    v, xv, yv, vv = sums[6:].reshape(3, 4).T
+    cxv, cyv, cvv = xv - sx * v / n, yv - sy * v / n, vv - v * v / n
+    det = cxx * cyy - cxy * cxy
+    a, b = ((cxv * cyy - cyv * cxy) / det, (cyv * cxx - cxv * cxy) / det) if det > 1e-9 else (np.zeros(3), np.zeros(3))
+    error = np.maximum(0, cvv - a * cxv - b * cyv).sum()
+    turn = np.arctan2(2 * (a @ b), a @ a - b @ b) / 2
+    ux, uy = np.cos(turn), np.sin(turn)
+    along = max(0.0, (cxx * ux * ux + 2 * cxy * ux * uy + cyy * uy * uy) / n)
+    return float(np.sqrt(error / (3 * n)) / 255), float(np.linalg.norm((a * ux + b * uy) / 255) * 4 * np.sqrt(along))
+
+
+def merged(sums: np.ndarray, pairs, rms: float, grow: float = 1.6, slack: float = 0.006) -> list[int]:
+    """For each region the first one of its group. `pairs` come longest border first; two groups become one if
+    one plane fits both within `rms`, and within `grow` times the worse of their own planes plus `slack`."""
+    of, total = list(range(len(sums))), sums.astype(float).copy()
+
+    def first(i: int) -> int:
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    for p, q in pairs:
+        p, q = sorted((first(p), first(q)))
+        both = total[p] + total[q]
+        fit = round(plane(both)[0], 9)
+        if p != q and fit <= rms and fit <= round(max(plane(total[p])[0], plane(total[q])[0]) * grow + slack, 9):
+            of[q], total[p] = p, both
+    return [first(i) for i in range(len(sums))]
+
+
+def merged_ramps(sums: DataFrame, pairs: DataFrame, least: int = 16, ramp: float = 0.02, rms: float = 0.02, label: str = "region") -> DataFrame:
+    """(image_id, region, grp, n): regions that have a ramp, and the smallest of those that share one with each.
+
+    `sums` is `ramp_sums`, `pairs` (image_id, low, high, border). Regions are rows of sums, so an image's regions
+    are one unit of work, not its pixels. Of equal borders the pair of the smaller regions merges first.
+    """
+    rows = sums.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("long").alias("id"), F.array(*[F.col(k).cast("double") for k in SUMS]).alias("s")))).alias("r"))
+    met = pairs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("border")).alias("o"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")))).alias("p"))
+    images = rows.join(met, "image_id", "left").select(F.col("image_id").cast("long").alias("image_id"), F.col("r.id").alias("ids"), F.flatten("r.s").alias("s"), F.coalesce("p.low", F.array().cast("array<long>")).alias("low"), F.coalesce("p.high", F.array().cast("array<long>")).alias("high"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, s, low, high = (b.column(k)[i].values.to_numpy() for k in ("ids", "s", "low", "high"))
+                s = s.reshape(len(ids), -1)
+                fits = [plane(row) for row in s]
+                able = [k for k, (off, steep) in enumerate(fits) if s[k, 0] >= least and steep >= ramp and off <= rms]
+                ids, s = ids[able], s[able]
+                known = np.isin(low, ids) & np.isin(high, ids)
+                group = merged(s, zip(np.searchsorted(ids, low[known]).tolist(), np.searchsorted(ids, high[known]).tolist(), strict=True), rms)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), b.column("image_id")[i].as_py(), np.int64)), pa.array(ids), pa.array(ids[group]), pa.array(s[:, 0].astype(np.int64))], ["image_id", label, "grp", "n"])
+
+    return images.mapInArrow(run, f"image_id long, {label} long, grp long, n long")
+
+
 def has_ramp(least: int = 16, ramp: float = 0.02, rms: float = 0.02) -> Column:
     """Whether a row of `linear_ramps` is worth a gradient."""
     return (F.col("n") >= least) & (F.col("ramp") >= ramp) & (F.col("rms") <= rms)
