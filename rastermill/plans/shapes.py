@@ -67,13 +67,13 @@ _WHOLE = _RAMPS.replace(_DISTANCES, f"(select * replace (0 as region) from {_DIS
 _TOUCH = f"(select distinct p.image_id from {_TILES} p join {_TILES} q on p.image_id = q.image_id and abs(p.x - q.x) + abs(p.y - q.y) = 1 where p.region = 0 and q.region = 1)"
 
 
-@query(f"""with f as materialized (select image_id, region, n, rms from {_RAMPS} where n >= 4 and ramp >= 0.02 and rms <= 0.5), b as (select image_id, max(rms) as worse from f group by 1 having count(*) = 2),
-one as (select b.image_id from b join {_WHOLE} w on b.image_id = w.image_id where b.image_id in (select image_id from {_TOUCH}) and round(rms, 9) <= 0.5 and round(rms, 9) <= round(worse * 1.6::double + 0.006::double, 9))
+@query(f"""with f as materialized (select image_id, region, n, rms from {_RAMPS} where n >= 4 and ramp >= 0.02 and rms <= 0.26), b as (select image_id, max(rms) as worse from f group by 1 having count(*) = 2),
+one as (select b.image_id from b join {_WHOLE} w on b.image_id = w.image_id where b.image_id in (select image_id from {_TOUCH}) and round(rms, 9) <= 0.26 and round(rms, 9) <= round(worse * 1.6::double + 0.006::double, 9))
 select image_id, region, cast(case when image_id in (select image_id from one) then 0 else region end as bigint) as grp, n from f""")
 def gradient_groups(spark, sf_dir):
     """Neighbouring regions that one ramp fits about as well as one each, with loose limits."""
     tiles = _tiles(spark, sf_dir)
-    return gradients.merged_ramps(gradients.ramp_sums(_placed(spark, sf_dir)), images.neighbour_pairs(tiles), least=4, ramp=0.02, rms=0.5)
+    return gradients.merged_ramps(gradients.ramp_sums(_placed(spark, sf_dir)), images.neighbour_pairs(tiles), least=4, ramp=0.02, rms=0.26)
 
 
 _RADIAL_SUMS = ", ".join(f"sum({c} / 255.0::double) filter (distance > 1) as s{c}, sum({c} / 255.0::double * d) filter (distance > 1) as sd{c}, sum({c} / 255.0::double * {c} / 255.0::double) filter (distance > 1) as s{c}{c}" for c in "rgb")
