@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -38,3 +41,27 @@ def test_entry_gives_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+ALONE = """
+import __spark_entry__ as entry
+from pyspark.sql import SparkSession
+known = entry.queries()
+assert not [k for k in known if k.startswith("op") and "_" in k and k[2].isdigit()] and "pipeline" not in known, sorted(known)
+assert set(entry.oracle_sql()) <= set(known)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("queries", len(known), "rows", known["stored_bytes_by_user"](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+@pytest.mark.parametrize("gone", [("rastermill/llm", "tests/llm"), ("rastermill/llm", "tests/llm", "corpus_pipeline.py")])
+def test_works_without_the_text_operators(tmp_path, gone):
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(top, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
+    for name in gone:
+        at = tmp_path / "repo" / name
+        shutil.rmtree(at) if at.is_dir() else at.unlink(missing_ok=True)
+    done = subprocess.run([sys.executable, "-c", ALONE], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    _, n, _, rows = done.stdout.split()
+    assert int(n) >= 114 and int(rows) > 0
