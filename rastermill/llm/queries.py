@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, lines, packing, quality, simhash, template, urls, warc, wordpiece
+from . import decontaminate, divergence, embeddings, interaction, lines, packing, quality, simhash, template, urls, warc, wordpiece
 
 #: (host, path, verdict) of the rules that op8 applies.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -64,7 +64,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc_derivatives, op4_packing, op5_simhash, op6_token_counts, op7_main_text, op8_url_verdicts, op9_embedding_neardup, op10_line_dedup)}
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc_derivatives, op4_packing, op5_simhash, op6_token_counts, op7_main_text, op8_url_verdicts, op9_embedding_neardup, op10_line_dedup, op12_interaction, op13_divergence)}
 
 
 #: What the SQL of op3 can follow: closed markup and the references that the given pages hold. The operator does more.
@@ -171,4 +179,56 @@ with l as (
 select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256 from m group by doc_id
 """
 
-ORACLES = {"op3_warc_derivatives": _warc_sql(), "op8_url_verdicts": _urls_sql(), "op9_embedding_neardup": _VECTORS_SQL, "op10_line_dedup": _LINES_SQL}
+#: Every order played through, step by step, from the documents' failures: no coalition, no potential.
+_INTERACTION_SQL = f"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents
+), w as (
+  select *, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda x: x <> '') as words from d
+), first as (select text, min(doc_id) as lead from d group by text), l as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id
+), f as (
+  select rid, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (case when len(words) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end)
+    || (case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 'C' else '' end)
+    || (case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end) || (case when w.doc_id > lead then 'E' else '' end) as fails
+  from w join first using (text) left join l on w.doc_id = l.doc_id
+), c as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails), o as (
+  select '' as filter_order union all select filter_order || x from o, (select unnest(['A', 'B', 'C', 'D', 'E']) as x) where not contains(filter_order, x)
+), s as (
+  select filter_order, step, filter_order[step] as own, filter_order[1:step - 1] as before from o, (select unnest(range(1, 6)) as step) where length(filter_order) = 5
+), r as (
+  select part, filter_order, step, own,
+    sum(case when translate(fails, before || own, '') = fails then n else 0 end) as kept,
+    sum(case when contains(fails, own) and translate(fails, before, '') = fails then n else 0 end) as removed,
+    sum(case when contains(fails, own) and translate(fails, before, '') <> fails then n else 0 end) as redundant,
+    sum(case when fails = own then n else 0 end) as unique_fails,
+    sum(case when contains(fails, own) and translate(fails, before, '') = fails then good else 0 end) as good_lost,
+    sum(case when contains(fails, own) and translate(fails, before, '') = fails then toxic else 0 end) as toxic_lost
+  from c, s group by part, filter_order, step, own
+)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley
+from r
+"""
+
+_DIVERGENCE_SQL = f"""
+with d as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{lines.UPPER}', '{lines.LOWER}') as text from documents
+), w as (
+  select lang, source, rid, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d
+), k as (select lang, term from w group by lang, term having count(distinct rid) >= 30), g as (select distinct lang, source from d),
+sizes as (select lang, (select count(*) from k where k.lang = l.lang) as v from (select distinct lang from g) l),
+c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by lang, source, term),
+grid as (select lang, source, term, coalesce(n, 0)::hugeint as n from g join k using (lang) left join c using (lang, source, term)),
+p as (select lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * v) as p from grid join sizes using (lang)),
+lt as (select lang, term, sum(n)::hugeint as n from c group by lang, term),
+q as (select lang, term, 1 + (1000000000 * (n + 5)) // ((sum(n) over (partition by lang))::hugeint + 5 * v) as q from lt join sizes using (lang)),
+near as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join near n on n.lang = a.lang and n.source = a.source and n.item = b.source),
+words as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from words))
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 50
+"""
+
+ORACLES = {"op3_warc_derivatives": _warc_sql(), "op8_url_verdicts": _urls_sql(), "op9_embedding_neardup": _VECTORS_SQL, "op10_line_dedup": _LINES_SQL, "op12_interaction": _INTERACTION_SQL, "op13_divergence": _DIVERGENCE_SQL}
