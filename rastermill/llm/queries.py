@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embeddings, interaction, lines, packing, quality, simhash, template, urls, warc, wordpiece
+from . import decontaminate, divergence, embeddings, interaction, langid, lines, packing, quality, simhash, template, urls, warc, wordpiece
 
 #: (host, path, verdict) of the rules that op8 applies.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(_table(spark, sf_dir, "documents"))
+
+
 def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -72,7 +76,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc_derivatives, op4_packing, op5_simhash, op6_token_counts, op7_main_text, op8_url_verdicts, op9_embedding_neardup, op10_line_dedup, op12_interaction, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc_derivatives, op4_packing, op5_simhash, op6_token_counts, op7_main_text, op8_url_verdicts, op9_embedding_neardup, op10_line_dedup, op11_language, op12_interaction, op13_divergence)}
 
 
 #: What the SQL of op3 can follow: closed markup and the references that the given pages hold. The operator does more.

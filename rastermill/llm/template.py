@@ -35,6 +35,7 @@ P_ENDS = BLOCKS - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot",
 P_HOLDERS = ("article", "main", "section", "div", "td", "th", "li", "body", "button")
 
 START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?])")
+COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 QUOTED = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -77,10 +78,10 @@ def parse(page: str) -> Node:
             return tree.root
         tag, at = m[2], m.end()
         if tag is None and m[0] == "<!--":
-            end = page.find("-->", at)
-            if end < 0:
+            ended = COMMENT_END.search(page, at)
+            if not ended:
                 return tree.root
-            at = end + 3
+            at = ended.end()
             continue
         end = page.find(">", at)
         if end < 0:  # no tag ends from here on
@@ -172,7 +173,8 @@ def mark(root: Node) -> None:
 
     `chrome` is by name, or by a word of class, id or role. A main element is never judged by its words. An
     element that holds one is only if another main element stands beside it: it is a layout around the text
-    then no longer, but a list of teasers or comments.
+    then no longer, but a list of teasers or comments. Nor can names leave less than a twentieth of the page's
+    text: then forms and elements known by a word alone, the first with a quarter of the text, are layouts too.
     """
 
     def measure(node: Node, link: bool) -> bool:
@@ -185,8 +187,7 @@ def mark(root: Node) -> None:
                 else:
                     node.prose += n
             elif x.tag not in UNSEEN:
-                if measure(x, link or x.tag == "a") and x.tag not in CHROME:
-                    found = True
+                found = measure(x, link or x.tag == "a") or found
                 node.prose += x.prose
                 node.linked += x.linked
                 node.heads = max(node.heads, x.heads, 2 if x.tag == "h1" else x.tag in HEADINGS)
@@ -198,11 +199,11 @@ def mark(root: Node) -> None:
         for x in node.items:
             if isinstance(x, str):
                 continue
-            if x.tag in CHROME:
+            if x.tag in UNSEEN:
                 x.chrome = True
             elif is_main(x):
                 clean = walk(x, around, True) or clean or x.tag == "article" or not x.holds
-            elif not is_marked(x, inside):
+            elif x.tag not in CHROME and not is_marked(x, inside) or id(x) in layouts:
                 clean = walk(x, around, inside) or clean
             elif x.holds:
                 around.append((x, inside))
@@ -210,16 +211,49 @@ def mark(root: Node) -> None:
                 x.chrome = True
         return clean
 
+    def clear(node: Node) -> None:
+        for x in node.items:
+            if not isinstance(x, str):
+                x.chrome = False
+                clear(x)
+
+    def judge() -> None:
+        todo = [(root, False)]
+        while todo:
+            around: list[tuple[Node, bool]] = []
+            node, inside = todo.pop()
+            if walk(node, around, inside):
+                for x, _ in around:
+                    x.chrome = True
+            else:
+                todo += around
+
+    def kept(node: Node, inside: bool, link: bool) -> int:
+        n = 0
+        for x in node.items:
+            if isinstance(x, str):
+                n += len(x) if inside and not link and x.strip() else 0
+            elif not x.chrome:
+                n += kept(x, inside or is_main(x), link or x.tag == "a")
+        return n
+
+    def first(node: Node) -> Node | None:
+        for x in node.items:
+            if isinstance(x, str) or x.tag in UNSEEN or 4 * x.prose < root.prose:
+                continue
+            if x.chrome and (x.tag == "form" or x.tag not in CHROME):
+                return x
+            if not x.chrome and (found := first(x)):
+                return found
+        return None
+
+    layouts: set[int] = set()
     measure(root, False)
-    todo = [(root, False)]
-    while todo:
-        around: list[tuple[Node, bool]] = []
-        node, inside = todo.pop()
-        if walk(node, around, inside):
-            for x, _ in around:
-                x.chrome = True
-        else:
-            todo += around
+    judge()
+    while root.prose and 20 * kept(root, not root.holds, False) < root.prose and (found := first(root)):
+        layouts.add(id(found))
+        clear(root)
+        judge()
 
 
 def fingerprint(root: Node, host: str = "") -> None:

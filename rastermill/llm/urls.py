@@ -34,11 +34,11 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
-#: What may name an alias, and what never counts: comments, scripts, styles and templates.
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])|\Z)", re.S | re.I)
+#: Fixed values (none looks twice for an end that isn't there): what may name an alias, and what never counts: comments, scripts, styles and templates.
+SKIPPED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|noscript|textarea|title)(?=[\s/>])[^>]*+(?:>.*?(?:</\1(?=[\s/>])|\Z)|\Z)", re.S | re.I)
 ELEMENT = re.compile(r"<(link|meta|base)(?=[\s/])((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)", re.I)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-REFRESH = re.compile(r"\burl\s*=\s*[\"']?\s*([^\"'\s;]+)", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+REFRESH = re.compile(r"\burl\s*+=\s*+[\"']?\s*+([^\"'\s;]+)", re.I)
 
 
 def linked(page: str, url: str) -> list[str]:

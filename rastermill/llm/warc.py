@@ -12,9 +12,12 @@ from pyspark.sql.types import StringType
 
 #: What is cut from markup, in this order, and what stands in its place. What has no end goes to the end.
 MARKUP = [
-    (r"(?s)<!--.*?(?:-->|\z)", " "),
-    (r"(?is)<script(?=[\s/>])[^>]*>.*?(?:</script(?=[\s/>])[^>]*>|\z)", " "),
-    (r"(?is)<style(?=[\s/>])[^>]*>.*?(?:</style(?=[\s/>])[^>]*>|\z)", " "),
+    (r"(?s)<!--(?:-?>|.*?(?:--!?>|\z))", " "),
+    (r"(?is)<script(?=[\s/>])[^>]*+(?:>.*?(?:</script(?=[\s/>])[^>]*+(?:>|\z)|\z)|\z)", " "),
+    (r"(?is)<style(?=[\s/>])[^>]*+(?:>.*?(?:</style(?=[\s/>])[^>]*+(?:>|\z)|\z)|\z)", " "),
+]
+#: The same of single tags. Each of them is asked only where a > follows, so none looks for one in vain.
+TAGS = [
     (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(\s[^>]*)?/?>", "\n"),
     (r"(?s)<[^>]*>", ""),
 ]
@@ -39,9 +42,17 @@ def decode(texts: pa.Array) -> pa.Array:
 
 
 def plain_text(html: Column) -> Column:
-    """Markup removed, references decoded, blanks squeezed, empty lines dropped."""
+    """Markup removed, references decoded, blanks squeezed, empty lines dropped; time grows with the length alone.
+
+    A < that no > follows is text. A script or style whose tag has no end goes to the end.
+    """
     for pattern, to in MARKUP:
         html = F.regexp_replace(html, pattern, to)
+    rest = F.substring_index(html, ">", -1)
+    tagged = F.substr(html, F.lit(1), F.char_length(html) - F.char_length(rest))
+    for pattern, to in TAGS:
+        tagged = F.regexp_replace(tagged, pattern, to)
+    html = F.concat(tagged, rest)
     html = F.regexp_replace(F.regexp_replace(decode(html), r"[ \t\r\f\x0b]+", " "), r" ?\n[ \n]*", "\n")
     return F.btrim(html, F.lit(" \n"))
 

@@ -1,6 +1,7 @@
 """The plain-text conversion of WARC records against the standard library's table of references."""
 
 import html
+import time
 
 from rastermill.llm import warc
 
@@ -22,3 +23,13 @@ def test_open_scripts_and_styles_are_cut_to_the_end(spark):
     assert [r["p"] for r in pages.select("i", warc.plain_text(pages["t"]).alias("p")).orderBy("i").collect()] == ["x", "x", "x", "x", "x\ny", "x"]
     block = warc.derive(warc.responses_of_pages(spark.createDataFrame([(1, "http://a/", "caf&eacute;<script>b")], "page_id long, url string, html string"))).where("warc_type = 'conversion'").first()
     assert block["block"] == "caf\xe9" and block["content_length"] == 5
+
+
+def test_hostile_pages_take_linear_time(spark):
+    texts = ["<" * 1_000_000, "<script " * 100_000, "<style" * 150_000, "<script>" + "</script " * 100_000, "<!--" * 250_000, "<p " * 300_000 + ">", "<!-->a<!--->b<!-- x --!>c", "1 < 2 <b>x</b> < 3"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).cache()
+    pages.count()
+    began = time.time()
+    got = [r["p"] for r in pages.select("i", warc.plain_text(pages["t"]).alias("p")).orderBy("i").collect()]
+    assert time.time() - began < 12
+    assert got == [texts[0], "", texts[2], "", "", "", "a b c", "1 x < 3"]

@@ -1,6 +1,7 @@
 """Canonical and refresh links of every form, against the standard library and plain reachability."""
 
 import random
+import time
 from urllib.parse import urljoin
 
 from rastermill.llm import urls
@@ -26,6 +27,15 @@ def test_what_is_a_link():
     assert urls.linked("<link \"" * 50_000 + "<link rel=canonical href=/x>", page) in ([], ["http://q.org/x"])
 
 
+def test_hostile_pages_take_linear_time():
+    end = "<link rel=canonical href=/x>"
+    for page, found in (("<link " + "a" * 1_000_000 + ">" + end, 1), ("<script " * 100_000, 0), ("<" * 1_000_000 + end, None), ("<link '" * 100_001 + end, None), ("<meta http-equiv=refresh content='5;url=" + " " * 300_000 + ";'>" + end, 1), ("<link " + "a " * 500_000 + ">" + end, 1), ("<link a" + " " * 500_000 + "b>" + end, 1)):
+        began = time.time()
+        got = urls.linked(page, "http://q.org/d/p")
+        assert time.time() - began < 2, page[:20]
+        assert found is None or got == ["http://q.org/x"] * found
+
+
 def plain_verdicts(rows, moved):
     """Rules and reachability by hand: links of random graphs, followed from each page."""
     rules = sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))

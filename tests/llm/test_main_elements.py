@@ -17,6 +17,27 @@ def test_wrappers_of_a_main_element_stay(wrapper):
     assert text_of(f"<body><main><{wrapper}><article><p>The text.</p></article></div></main>") == "The text."
 
 
+@pytest.mark.parametrize("wrapper", ['form id="aspnetForm"', "form", 'div class="widget"', 'div class="article-related"', "header", "aside"])
+def test_wrappers_of_a_whole_page(wrapper):
+    tag = wrapper.split()[0]
+    assert text_of(f"<body><{wrapper}><div class=menu>Home</div><article><p>The text.</p></article><footer>Terms</footer></{tag}></body>") == "The text."
+    if tag in ("form", "div"):
+        assert text_of(f"<body><{wrapper}><nav>Home</nav><div class=x><p>The text of the page.</p></div><div class=ad-box>Buy</div></{tag}><footer>Terms</footer></body>") == "The text of the page."
+        assert text_of(f"<body><article><{wrapper}><p>The text.</p></{tag}></article></body>") == "The text."
+        assert text_of(f"<body><p>The text of the page, which is longer.</p><{wrapper}><p>Other things.</p></{tag}></body>") == "The text of the page, which is longer."
+
+
+def test_comments_after_the_only_text_stay_out():
+    assert text_of('<body><div class="widget"><p>What the page says.</p></div><div class="comments"><p>Well said, and more of it, at length.</p></div></body>') == "What the page says."
+    assert text_of('<body><header>Name</header><nav>Home</nav><footer>Terms of use</footer></body>') == ""
+
+
+def test_comments_of_every_form():
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!---->", "<!-- a -- > b -->", "<!--!>-->"):
+        assert text_of(f"<body><p>One{comment}</p><p>Two</p>") == "One\nTwo", comment
+    assert text_of("<body><p>One<!-- open </p><p>Two</p>") == "One"
+
+
 def test_main_elements_are_not_judged_by_words():
     assert text_of('<article class="post comments-open"><p>One</p></article><article class="post share"><p>Two</p></article>') == "One\nTwo"
     assert text_of('<div class="nav"><div role="main" class="notice">One</div></div>') == "One"
