@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources import roles
 from ..sources.shared import save
+from .edges import composite_white, edge_pixels, gap_pixels
+from .images import diff_metrics
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +100,20 @@ def markdown(summary: DataFrame, *columns: str) -> DataFrame:
     body = summary.select((F.row_number().over(Window.orderBy(columns[0])) + 1).cast("long").alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("-")) for c in cells]), F.lit(" |")).alias("line"))
     top = summary.sparkSession.range(2).select(F.col("id").alias("place"), F.element_at(F.array(*map(F.lit, head)), (F.col("id") + 1).cast("int")).alias("line"))
     return top.union(body)
+
+
+def trace_quality(truth: DataFrame, traced: DataFrame, scale: float = 1.0) -> DataFrame:
+    """How a trace differs from the picture it was made of, a row for each image, both seen on white paper.
+
+    mean_delta_e and bad_pixel_pct: mean OKLab distance times 100, and pixels beyond 0.1; boundary_error: those pixels
+    over the truth's edge pixels and `scale`, the picture's pixels for each of the source's; alpha_error_pct; gaps_per_10k:
+    see-through pixels amid opaque ones; edge_length_ratio: edge pixels of the trace over those of the truth.
+    """
+    seen = [composite_white(p.na.fill(0, ["r", "g", "b"])) for p in (truth, traced)]
+    edge = [edge_pixels(p) for p in seen]
+    d = diff_metrics(*seen).join(edge[0], "image_id").join(edge[1].withColumnRenamed("edges", "traced_edges"), "image_id").join(gap_pixels(truth, traced), "image_id")
+    over = lambda a, b, empty: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(empty))
+    return d.select(
+        "image_id", (F.col("mean_delta") * 100).alias("mean_delta_e"), (over("n_bad", "n", 0.0) * 100).alias("bad_pixel_pct"), (over("n_bad", "edges", 0.0) / scale).alias("boundary_error"),
+        (F.col("alpha_error") / 255.0 * 100).alias("alpha_error_pct"), (over("gaps", "opaque", 0.0) * 10_000).alias("gaps_per_10k"), over("traced_edges", "edges", 1.0).alias("edge_length_ratio"),
+    )

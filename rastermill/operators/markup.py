@@ -42,12 +42,53 @@ def path_structure(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return files.select(F.col(id_col), F.octet_length(text_col).cast("long").alias("bytes"), F.size(tags).cast("long").alias("paths"), total().alias("segments"), total("csqta").alias("curves"))
 
 
-def cleaned(text):
-    """SVG text without paths that draw nothing and groups that hold nothing, up to eight deep."""
-    out = F.regexp_replace(text, r'<path\b[^>]*\bd="\s*"[^>]*?(?:/>|>\s*</path>)', "")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"<g\b[^>]*>\s*</g>|<g\b[^>]*/>", "")
-    return out
+#: Tags of groups, and paths without a drawing command. None reaches beyond the next tag.
+GROUP, GROUP_END = r"<g(?=[\s/>])[^<>]*+>", r"</g\s*+>"
+NO_PATH = r"<path(?=\s)[^<>]*?\sd=\"\s*\"[^<>]*?(?:/>|>\s*</path>)"
+
+
+def cleaned(text: Column) -> Column:
+    """SVG text without paths that draw nothing and groups that hold nothing, however deep they are nested.
+
+    Tags of groups with nothing between them but blanks form runs. Within a run, what an end tag closes is empty, so
+    a stack of open tags tells in one pass what stays: ends of groups that began before, and groups that go on.
+    """
+    text = F.regexp_replace(text, NO_PATH, "")
+    run = rf"(?:{GROUP}|{GROUP_END}|\s)+"
+    state = "struct<before: string, open: array<string>>"
+
+    def read(s: Column, token: Column) -> Column:
+        n = F.size(s["open"])
+        top = F.coalesce(F.try_element_at(s["open"], n), F.lit(""))
+        below = F.when(n > 0, F.slice(s["open"], 1, F.greatest(F.lit(0), n - 1))).otherwise(s["open"])
+        closes, blank = F.startswith(token, F.lit("</")), ~F.startswith(token, F.lit("<"))
+        opens = ~closes & ~blank & ~F.endswith(token, F.lit("/>"))
+        kept = F.when(closes | blank, token).otherwise("")  # a group in one tag holds nothing
+        stack = F.when(opens, F.array_append(s["open"], token)).when(n == 0, s["open"]).when(closes, below).otherwise(F.array_append(below, F.concat(top, kept)))
+        return F.struct(F.when((n == 0) & ~opens, F.concat(s["before"], kept)).otherwise(s["before"]).alias("before"), stack.alias("open"))
+
+    def left(r: Column) -> Column:
+        tokens = F.regexp_extract_all(r, F.lit(rf"({GROUP}|{GROUP_END}|\s+)"), F.lit(1))
+        done = F.aggregate(tokens, F.struct(F.lit("").alias("before"), F.array().cast("array<string>").alias("open")).cast(state), read)
+        return F.concat(done["before"], F.array_join(done["open"], ""))
+
+    runs = F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1))
+    return F.array_join(F.zip_with(F.split(text, run), runs, lambda between, r: F.concat(between, F.coalesce(left(r), F.lit("")))), "")
+
+
+def sized(text: Column, width: Column, height: Column) -> Column:
+    """SVG text whose root says this size, and this alone, as width, height and viewBox; without blanks around."""
+    part = lambda k: F.regexp_extract(text, r"(?s)^(.*?)<svg\b([^>]*)>(.*)$", k)
+    rest = F.btrim(F.regexp_replace(part(2), r'\s(width|height|viewBox)="[^"]*"', ""))
+    w, h = width.cast("string"), height.cast("string")
+    tag = F.concat(F.lit("<svg"), F.when(rest == "", "").otherwise(F.concat(F.lit(" "), rest)), F.lit(' width="'), w, F.lit('" height="'), h, F.lit('" viewBox="0 0 '), w, F.lit(" "), h, F.lit('">'))
+    return F.btrim(F.when(text.rlike(r"<svg\b[^>]*>"), F.concat(part(1), tag, part(3))).otherwise(text), F.lit(" \t\r\n"))
+
+
+def aspect(text: Column) -> Column:
+    """Width over height by an SVG text's viewBox; 1 where it has none that begins at zero."""
+    side = lambda k: F.regexp_extract(text, r'viewBox="0 0 ([0-9.]+) ([0-9.]+)"', k)
+    return F.coalesce(F.try_divide(side(1).try_cast("double"), side(2).try_cast("double")), F.lit(1.0))
 
 
 def number(value: Column, digits: int) -> Column:

@@ -1 +1 @@
-from . import queries, requests, shapes, traces  # noqa: F401  (they register their queries)
+from . import engine, queries, requests, shapes, thin, traces  # noqa: F401  (they register their queries)

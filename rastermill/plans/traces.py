@@ -98,7 +98,12 @@ def _small(spark, sf_dir):
     return p, images.palette_of_dominant(p)
 
 
-@query(f"""with px as materialized {_SMALL}, pal as materialized (select image_id, label, r, g, b, l, m, n from {_lab(_BACK.replace(_PIXELS, 'px'))}),
+_FITS = "(home and off < 0.06::double and off <= alone + 0.02::double or not home and off < 0.15::double and off < alone)"
+
+
+def _blends(px: str, top: int = 5) -> str:
+    """Labels of pixels and what they are mixed of: `v` joined with `moved` tells both."""
+    return f"""with recursive px as materialized {px}, pal as materialized (select image_id, label, r, g, b, l, m, n from {_lab(_BACK.replace(_PIXELS, 'px'))}),
 f as materialized (select image_id, x, y, r, g, b, l, m, n, a >= 128 and {_NEAR} as flat from {_lab('px')} window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)),
 near as (select image_id, r, g, b, label from (select c.*, p.label, row_number() over (partition by c.image_id, c.r, c.g, c.b order by round(pow(c.l - p.l, 2) + pow(c.m - p.m, 2) + pow(c.n - p.n, 2), 9), p.label) as k from (select distinct image_id, r, g, b, l, m, n from f) c join pal p on c.image_id = p.image_id) where k = 1),
 o as materialized (select f.*, near.label as own from f join near on f.image_id = near.image_id and f.r = near.r and f.g = near.g and f.b = near.b),
@@ -107,11 +112,16 @@ around as materialized (select image_id, x, y, r, g, b, l, m, n, own, flat, case
 e as materialized (select distinct image_id, r, g, b, l, m, n, own, near, bit_count(near) as n_near, near >> own & 1 = 1 as home from around where not flat and near > 0),
 pairs as (select e.image_id, e.r, e.g, e.b, near, c.label as la, d.label as lb from e join pal c on c.image_id = e.image_id join pal d on d.image_id = e.image_id where near >> c.label & 1 = 1 and (near >> d.label & 1 = 1 and c.label < d.label or n_near = 1 and not home and c.label <> d.label)),
 mix as (select e.image_id, near, la, lb, {_PQE}, greatest(0::double, least(1::double, coalesce(({_ALONG_WAY}) / nullif({_WAY}, 0), 0))) as t from pairs e join pal p on p.image_id = e.image_id and p.label = la join pal q on q.image_id = e.image_id and q.label = lb),
-best as (select image_id, er as r, eg as g, eb as b, near, off, case when round(t, 9) < 0.5 then la else lb end as label from (select *, round(sqrt({_OFF}), 9) as off from mix) qualify row_number() over (partition by image_id, er, eg, eb, near order by off, la, lb) = 1),
+best as (select image_id, er as r, eg as g, eb as b, near, off, la, lb, round(t, 9) as t, case when round(t, 9) < 0.5 then la else lb end as label from (select *, round(sqrt({_OFF}), 9) as off from mix) qualify row_number() over (partition by image_id, er, eg, eb, near order by off, la, lb) = 1),
 alone as (select e.*, round(sqrt({' + '.join(f'pow((e.{c} - p.{c}) / 255.0::double, 2)' for c in 'rgb')}), 9) as alone from e join pal p on p.image_id = e.image_id and p.label = own),
 loc as (select e.image_id, e.r, e.g, e.b, near, round(pow(e.l - p.l, 2) + pow(e.m - p.m, 2) + pow(e.n - p.n, 2), 9) as d2, p.label from e join pal p on p.image_id = e.image_id and near >> p.label & 1 = 1 qualify row_number() over (partition by e.image_id, e.r, e.g, e.b, near order by d2, p.label) = 1),
-moved as (select image_id, r, g, b, near, case when home and off < 0.06::double and off <= alone + 0.02::double or not home and off < 0.15::double and off < alone then best.label when not home and d2 < 0.1::double * 0.1::double then loc.label else own end as label from alone left join best using (image_id, r, g, b, near) left join loc using (image_id, r, g, b, near))
-select v.image_id, x, y, cast(case when flat then own else coalesce(moved.label, own) end as bigint) as label from around v left join moved using (image_id, r, g, b, near)""")
+moved as (select image_id, r, g, b, near, case when {_FITS} then best.label when not home and d2 < 0.1::double * 0.1::double then loc.label else own end as label, {', '.join(f'case when {_FITS} then {c} end as {n}' for c, n in (('la', 'a_label'), ('lb', 'b_label'), ('t', 't')))} from alone left join best using (image_id, r, g, b, near) left join loc using (image_id, r, g, b, near))"""
+
+
+_BLENDED = "around v left join moved using (image_id, r, g, b, near)"
+
+
+@query(f"""{_blends(_SMALL)} select v.image_id, x, y, cast(case when flat then own else coalesce(moved.label, own) end as bigint) as label from {_BLENDED}""")
 def labels_of_blends(spark, sf_dir):
     """Pixels on edges join the side they have more of; pictures drawn large and halved."""
     return labelling.blend_labels(*_small(spark, sf_dir))

@@ -90,3 +90,34 @@ def drawings(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
     level = F.when(F.col("kind") == 0, F.when(disc, 1).otherwise(0)).when(F.col("kind") == 1, wedge).when(F.col("kind") == 2, stripe).when(F.col("kind") == 3, board).otherwise(F.floor(F.col("x") / 8)).cast("int")
     tint = lambda c: ((level * c + F.col("k")) % 256).cast("int")
     return p.select("image_id", "x", "y", tint(97).alias("r"), tint(61).alias("g"), tint(31).alias("b"), F.lit(255).alias("a"))
+
+
+def seeded(seed):
+    """A number below 2^31 that looks random, from a whole one: two rounds of a linear generator with a fold between."""
+    step = lambda c: (c * 1103515245 + 12345).bitwiseAND(F.lit(0x7FFFFFFF))
+    once = step(seed.cast("long").bitwiseAND(F.lit(0x7FFFFFFF)))
+    return step(once.bitwiseXOR(F.shiftright(once, 15)))
+
+
+def sketches(spark: SparkSession, sf_dir: str, size: int = 48) -> DataFrame:
+    """(image_id, x, y, r, g, b, a): a disc on paper, crossed by three anti-aliased lines one pixel wide, for each supplier.
+
+    The account balance sets slopes, places and inks. By its nation's number modulo 5 a picture has no disc (1), is cut to
+    a round sticker (3), or has grain from a seeded generator (4).
+    """
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_nationkey") % 5).alias("kind"), F.floor(F.abs("s_acctbal")).cast("int").alias("k"))
+    rows = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y")).repartition("image_id", "y")
+    p = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
+    k, x, y = F.col("k"), F.col("x"), F.col("y")
+    far = (2 * x + 1 - size) * (2 * x + 1 - size) + (2 * y + 1 - size) * (2 * y + 1 - size)
+    radius = size // 2 + k % (size // 4)
+    disc = (F.col("kind") != 1) & (far <= radius * radius)
+    colours = {c: F.when(disc, k * m % 200).otherwise(235 + (k + m) % 20) for c, m in (("r", 7), ("g", 3), ("b", 5))}
+    for j in range(3):
+        u, v = (x, y) if j % 2 == 0 else (y, x)
+        away = F.abs(8 * v - F.floor(k / 3**j) % 9 * u - 8 * (k * (2 * j + 3) % size))
+        cover = F.greatest(F.lit(0), 8 - away)
+        colours = {c: F.floor((colours[c] * (8 - cover) + (k * m + 40 * j) % 120 * cover + 4) / 8) for c, m in (("r", 1), ("g", 3), ("b", 7))}
+    grain = F.when(F.col("kind") == 4, F.shiftright(seeded(F.col("image_id") * 65536 + y * 256 + x), 8) % 9 - 4).otherwise(0)
+    tint = {c: F.least(F.lit(255), F.greatest(F.lit(0), v + grain)).cast("int").alias(c) for c, v in colours.items()}
+    return p.select("image_id", "x", "y", *tint.values(), F.when((F.col("kind") == 3) & (far > size * size), 0).otherwise(255).alias("a"))

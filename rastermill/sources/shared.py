@@ -49,6 +49,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def folder_of(table: DataFrame) -> str | None:
+    """Where `save` wrote a table."""
+    return _FOLDER.get(table)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that `save` returned and that nothing will read again."""
     for t in tables:
