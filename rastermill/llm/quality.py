@@ -13,6 +13,8 @@ from ..sources.shared import save
 
 #: Labelled rows a model is fitted on at most, chosen by a hash of the id.
 MAX_ROWS = 400_000
+#: Rows that calibrate alone; with fewer, all labelled rows do.
+LEAST_CHECKS = 50
 #: Tasks that sum normal equations; each sends one matrix to the driver.
 TASKS = 12
 SYMBOLS = b"|%#$*&!?.,;:-_=+<>()[]{}@/\\\"'"
@@ -99,8 +101,9 @@ def usable_labels(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 def fit_quality(stats: DataFrame, usable: DataFrame, n_features: int = 320, width: float = 4.0, ridge: float = 1e-3, seed: int = 17) -> QualityModel:
     """Fit on `text_statistics` of the documents that `usable_labels` tells, or of all.
 
-    Those whose crc32 leaves 3 calibrate and the rest fit. Without usable labels the score is 1 for every text,
-    and with one kind of label that label.
+    Those whose crc32 leaves 3 calibrate and the rest fit. Where fewer than `LEAST_CHECKS` calibrate, or all of one
+    label, those that fit calibrate too: so few say little about a curve. Without usable labels the score is 1
+    for every text, and with one kind of label that label.
     """
     train = save(stats.join(usable, F.col("id") == F.col("doc_id")).select("id", "x", "y", "checks"), "labelled")
     n, least, most = train.agg(F.count("*"), F.min("y"), F.max("y")).first()
@@ -128,7 +131,7 @@ def fit_quality(stats: DataFrame, usable: DataFrame, n_features: int = 320, widt
         return [np.bincount(at[c], w, 512) for c in (checks, ~checks) for w in (np.ones(c.sum()), y[c])]
 
     n_checks, y_checks, n_fit, y_fit = _gather(train, counts)
-    if n_checks.sum() < 50 or y_checks.sum() in (0, n_checks.sum()):
+    if n_checks.sum() < LEAST_CHECKS or y_checks.sum() in (0, n_checks.sum()):
         n_checks, y_checks = n_checks + n_fit, y_checks + y_fit
     model.knots = isotonic((bins[:-1] + bins[1:]) / 2, y_checks, n_checks)
     return model
@@ -168,7 +171,10 @@ def isotonic(at: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of `docs`, empty and null texts too."""
+    """(doc_id, held_out, score, predicted) for each row of `docs`, empty and null texts too.
+
+    The model is `fit_quality`'s; where fewer than `LEAST_CHECKS` labelled rows were set aside to calibrate it, all do.
+    """
     stats = save(text_statistics(docs, id_col, text_col), "statistics")
     model = fit_quality(stats, usable_labels(labels))
 
@@ -188,8 +194,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     they go to all tasks, which take statistics of what they tell and, later, of every document that is scored.
     """
     usable = usable_labels(labels)
-    told = docs.join(F.broadcast(usable.select(F.col("doc_id").alias("_known"))), F.col(id_col) == F.col("_known"), "left_semi")
-    model = fit_quality(text_statistics(told, id_col, text_col), usable)
+    known = F.broadcast(usable.select(F.col("doc_id").alias("known")))
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, F.col("id") == F.col("known"), "left_semi")
+    model = fit_quality(text_statistics(told, "id", "text"), usable)
 
     def run(batches):
         for b in batches:

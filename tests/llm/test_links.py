@@ -92,3 +92,9 @@ def test_relative_links_pass_verdicts_on(spark):
     ]
     got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES).collect()}
     assert got == {**dict.fromkeys(range(1, 7), "block"), 7: "allow", 8: "allow"}
+
+
+def test_redirects_with_further_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", None, "n", "r")], "page_id long, url string, html string, node string, root string")
+    moved = spark.createDataFrame([("http://a.org/x", "http://example.com/en/y", 301, "b")], "`from` string, `to` string, status int, a string")
+    assert [tuple(r) for r in urls.judge_urls(pages, URL_RULES, moved).collect()] == [(1, "a.org", "/x", None, "block")]
