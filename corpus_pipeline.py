@@ -24,8 +24,10 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A document that has no text left after that is gone.
     """
-    kept = lines.dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(lines.BLANKS))) > 0))
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    given = {c: f"_given_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}  # the operator's counts have these names
+    kept = lines.dedup_lines(docs.withColumnsRenamed(given)).where((F.col("n_dropped") == 0) | (F.length(F.btrim("text", F.lit(lines.BLANKS))) > 0))
+    kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*[F.col(given.get(c, c)).alias(c) for c in docs.columns])
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

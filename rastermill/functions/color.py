@@ -32,6 +32,21 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.lit(0.299) * r + F.lit(0.587) * g + F.lit(0.114) * b
 
 
+#: How much of blue's and red's distance from luma the two chroma channels are.
+CB, CR = 0.564, 0.713
+
+
+def ycbcr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Luma, and how far blue and red are from it."""
+    y = luma(r, g, b)
+    return y, (b - y) * CB, (r - y) * CR
+
+
+def from_ycbcr(y: Column, cb: Column, cr: Column) -> tuple[Column, Column, Column]:
+    r, b = y + cr / CR, y + cb / CB
+    return r, (y - 0.299 * r - 0.114 * b) / 0.587, b
+
+
 def half_up(c: Column) -> Column:
     """Rounds halves towards plus infinity, unlike `round`."""
     return F.floor(c + 0.5)

@@ -17,6 +17,34 @@ MODES = {
     "quick": {"maxWorkingPixels": "4000000", "photoMaxWorkingPixels": "1200000", "maxUpscaledPixels": "1500000", "maxColors": "32"},
     "professional": {"maxWorkingPixels": "4000000", "photoMaxWorkingPixels": "1200000", "maxUpscaledPixels": "2000000", "maxColors": "64", "mergeDistance": "0.045", "gradients": "true"},
 }
+#: What the engine does unless it is told otherwise.
+DEFAULTS = {
+    "maxColors": "48",
+    "mergeDistance": "0.05",
+    "speckleArea": "0",
+    "alphaMax": "1",
+    "optTolerance": "0.2",
+    "upscale": "0",
+    "maxWorkingPixels": "2000000",
+    "photoMaxWorkingPixels": "2000000",
+    "upscaleFilter": "ridge",
+    "upscaleBlur": "0.45",
+    "ridgeThreshold": "32",
+    "maxUpscaledPixels": "2000000",
+    "denoise": "auto",
+    "mode": "stacked",
+    "underlay": "1",
+    "paletteSeparation": "3",
+    "precision": "-1",
+    "thinFeatures": "true",
+    "thinPeakScale": "1",
+    "alphaThreshold": "128",
+    "maxRegions": "6000",
+    "maxRegionsHard": "40000",
+    "snapCorners": "true",
+    "gradients": "false",
+    "sourceFormat": "unknown",
+}
 PRESETS = {
     "qrCode": {"maxColors": "2", "snapCorners": "true"},
     "signature": {"maxColors": "8"},

@@ -30,8 +30,9 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
 
 
-def upload_error(name: Column, mime: Column, size: Column, width: Column, height: Column, max_bytes: Column) -> Column:
-    """The first rule that an upload breaks, in a fixed order, or null."""
+def upload_error(name: Column, mime: Column, size: Column, width: Column, height: Column, max_bytes: Column, shown: Column | None = None) -> Column:
+    """The first rule that an upload breaks, in a fixed order, or null. `shown` is the type that its first bytes show, if
+    they are known: it must be the one that was told."""
     allowed = F.create_map(*[x for m, e in UPLOAD_TYPES.items() for x in (F.lit(m), F.array(*map(F.lit, e)))])
     fits = F.array_contains(F.coalesce(F.try_element_at(allowed, mime), F.array().cast("array<string>")), extension(name))
     return (
@@ -40,6 +41,7 @@ def upload_error(name: Column, mime: Column, size: Column, width: Column, height
         .when(~fits, "extension")
         .when(size <= 0, "empty")
         .when(size > max_bytes, "too_large")
+        .when(F.lit(False) if shown is None else ~F.coalesce(shown == mime, F.lit(False)), "magic")
         .when((width > 12000) | (height > 12000) | (width * height > 4000000), "dimensions")
         .when((mime != "image/png") & (size > (2 << 20) + 3 * width * height), "padding")
     )

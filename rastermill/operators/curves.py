@@ -93,8 +93,25 @@ def chains(regions: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:
 # ---------------------------------------------------------------- polygons
 
 
+#: Points that a side may pass at most; of a straight run, how many from its ends may be corners.
+MOST_PASSED, RUN_ENDS = 400, 4
+
+
+def corner_candidates(points: np.ndarray) -> np.ndarray:
+    """Positions without the inner points of long straight runs. What holds at a run's ends holds between them: how far
+    its points are from a side changes evenly along it."""
+    n = len(points)
+    at = np.arange(n)
+    way = np.diff(points, axis=0)
+    turns = np.r_[True, (way[1:] != way[:-1]).any(axis=1), True] if n > 1 else np.ones(n, bool)
+    before = np.maximum.accumulate(np.where(turns, at, 0))
+    after = np.minimum.accumulate(np.where(turns, at, n - 1)[::-1])[::-1]
+    return at[np.minimum(at - before, after - at) < RUN_ENDS]
+
+
 def straight_reach(points: np.ndarray, off: float) -> np.ndarray:
-    """For each point the last one that a straight side from it may end at, with all between at most `off` from it.
+    """For each point the last one that a straight side from it may end at, with all between at most `off` from it, and no
+    more than `MOST_PASSED` of them.
 
     Every point between leaves a cone of directions; a side must end inside the cone of all before its end. Cones
     are narrowed over a stretch of points at once, longer ones where a side goes on.
@@ -106,8 +123,9 @@ def straight_reach(points: np.ndarray, off: float) -> np.ndarray:
         return _short_reach(p.tolist(), off)
     for i in range(n - 1):
         low, high, base, last, at, size = -pi, pi, None, i + 1, i + 1, 32
-        while at < n:
-            d = p[at : at + size] - p[i]
+        end = min(n, i + MOST_PASSED + 2)
+        while at < end:
+            d = p[at : min(end, at + size)] - p[i]
             r = np.hypot(d[:, 0], d[:, 1])
             turn = np.arctan2(d[:, 1], d[:, 0])
             base = turn[0] if base is None else base
@@ -168,7 +186,8 @@ def side_penalty(sums: np.ndarray, points: np.ndarray, i: np.ndarray, j: int) ->
 
 def polygon(points: np.ndarray, off: float) -> list[int]:
     """Corners, as positions from first to last, of the open polygon of fewest sides; of those the least penalty."""
-    n, reach, sums = len(points), straight_reach(points, off), prefix_sums(points)
+    at = corner_candidates(points)
+    n, reach, sums = len(at), straight_reach(points[at], off), prefix_sums(points)
     sides, cost, before = np.full(n, 1 << 30), np.full(n, np.inf), np.zeros(n, np.int64)
     sides[0] = cost[0] = 0
     first = np.maximum.accumulate(reach)
@@ -177,13 +196,13 @@ def polygon(points: np.ndarray, off: float) -> list[int]:
         i = i[reach[i] >= j]
         fewest = sides[i].min()
         i = i[sides[i] == fewest]
-        total = cost[i] + side_penalty(sums, points, i, j)
+        total = cost[i] + side_penalty(sums, points, at[i], at[j])
         k = int(total.argmin())
         sides[j], cost[j], before[j] = fewest + 1, total[k], i[k]
     out = [n - 1]
     while out[-1]:
         out.append(int(before[out[-1]]))
-    return out[::-1]
+    return at[out[::-1]].tolist()
 
 
 def closed_polygon(points: np.ndarray, off: float) -> np.ndarray:

@@ -14,6 +14,17 @@ def composite_white(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({c: F.floor(F.col(c) * share + 255 * (1 - share) + 0.5).cast("int") for c in "rgb"})
 
 
+def flattened(pixels: DataFrame) -> DataFrame:
+    """Pixels on white paper without any alpha, as files that have none hold them."""
+    return composite_white(pixels).withColumn("a", F.lit(255))
+
+
+def straight(pixels: DataFrame) -> DataFrame:
+    """Pixels whose colours were multiplied by alpha, with the colours they had; full and no alpha leave them alone."""
+    part = (F.col("a") > 0) & (F.col("a") < 255)
+    return pixels.withColumns({c: F.when(part, F.least(F.lit(255), F.floor(F.col(c) * 255 / F.when(part, F.col("a")).otherwise(1) + 0.5))).otherwise(F.col(c)).cast("int") for c in "rgb"})
+
+
 def edge_pixels(pixels: DataFrame, reach: float = 0.1) -> DataFrame:
     """(image_id, edges): pixels whose right or lower neighbour differs clearly in OKLab; last row and column don't count."""
     p = with_oklab(pixels.repartition("image_id"))

@@ -31,6 +31,13 @@ def analyse(pixels: DataFrame, edge: float = 24, quiet: float = 4) -> DataFrame:
     )
 
 
+def sampled(pixels: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every k-th pixel of every k-th row of each image: k is the root of its pixels over `most`, rounded down, one at least."""
+    size = pixels.groupBy("image_id").agg(((F.max("x") + 1) * (F.max("y") + 1)).alias("_size"))
+    stride = size.select("image_id", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("_size") / most))).cast("int").alias("_stride"))
+    return pixels.join(stride, "image_id").where((F.col("x") % F.col("_stride") == 0) & (F.col("y") % F.col("_stride") == 0)).select(*pixels.columns)
+
+
 def recommend(stats: DataFrame) -> DataFrame:
     """Complexity and the kind of picture, by the first rule that fits."""
     share = lambda c, n: F.coalesce(F.try_divide(F.col(c), F.col(n)), F.lit(0.0))
@@ -87,6 +94,20 @@ def flat_mask(pixels: DataFrame, reach: float = 0.035, opaque: int = 128) -> Dat
     return p.withColumn("flat", ok)
 
 
+def palette_support(flat: DataFrame, opaque: int = 128) -> DataFrame:
+    """(image_id, n_opaque, n_flat, use_all) of `flat_mask`: whether flat pixels are too few, below 16 or a twentieth of
+    the opaque ones, to tell an image's colours alone."""
+    n = flat.groupBy("image_id").agg(F.count_if(F.col("a") >= opaque).alias("n_opaque"), F.count_if("flat").alias("n_flat"))
+    return n.withColumn("use_all", F.col("n_flat") < F.greatest(F.lit(16.0), F.col("n_opaque") * 0.05))
+
+
+def palette_pixels(pixels: DataFrame, opaque: int = 128) -> DataFrame:
+    """The pixels that an image's palette is made of: flat ones, or where they are too few every opaque one."""
+    flat = flat_mask(pixels, opaque=opaque)
+    use = palette_support(flat, opaque).select("image_id", "use_all")
+    return flat.join(use, "image_id").where((F.col("a") >= opaque) & (F.col("use_all") | F.col("flat"))).select(*pixels.columns)
+
+
 def palette_bins(pixels: DataFrame, size: float = 0.008, opaque: int = 128) -> DataFrame:
     """Opaque pixels by OKLab cell, with the sums that clusters are made of: additive, so bins can merge."""
     p = with_oklab(pixels.where(F.col("a") >= opaque))

@@ -42,6 +42,22 @@ def path_structure(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return files.select(F.col(id_col), F.octet_length(text_col).cast("long").alias("bytes"), F.size(tags).cast("long").alias("paths"), total().alias("segments"), total("csqta").alias("curves"))
 
 
+def proxies(files: DataFrame, id_col: str, text_col: str, curved: Column, max_bytes: int, max_paths: int, max_nodes: int) -> DataFrame:
+    """(id, paths, bytes, data_bytes, nodes, curve_ratio, flags) of SVG texts: what tells a bad trace without drawing it.
+
+    Nodes are commands that move, draw a line or a curve; the ratio is of curves to lines and curves. Flags name what
+    is wrong, in a fixed order, joined by commas; `curved` says whether a picture's outline should have curves.
+    """
+    data = F.regexp_extract_all(F.col(text_col), F.lit(r'<path(?=\s)[^<>]*?\sd="([^"]*)"'), F.lit(1))
+    count = lambda p: F.regexp_count(F.array_join(data, " "), F.lit(p)).cast("long")
+    f = files.select(F.col(id_col), curved.alias("_curved"), F.size(data).cast("long").alias("paths"), F.octet_length(text_col).cast("long").alias("bytes"), F.char_length(F.array_join(data, "")).cast("long").alias("data_bytes"), count("[Mm]").alias("_moves"), count("[Ll]").alias("_lines"), count("[QqCc]").alias("_curves"))
+    ratio = F.coalesce(F.try_divide(F.col("_curves"), F.col("_lines") + F.col("_curves")), F.lit(0.0))
+    f = f.withColumns({"nodes": F.col("_moves") + F.col("_lines") + F.col("_curves"), "curve_ratio": ratio})
+    small = F.coalesce(F.try_divide(F.col("data_bytes"), F.col("paths")), F.lit(0.0)) < 40
+    flags = [(F.col("paths") > max_paths, "too-many-paths"), (F.col("nodes") < 4, "missing-details"), (F.col("_curved") & (ratio < 0.15), "jagged-edges"), ((F.col("paths") > 50) & small, "noisy-svg"), (F.col("bytes") > max_bytes, "oversized-svg"), (F.col("nodes") > max_nodes, "node-count-exploded")]
+    return f.select(id_col, "paths", "bytes", "data_bytes", "nodes", "curve_ratio", F.concat_ws(",", *[F.when(p, name) for p, name in flags]).alias("flags"))
+
+
 #: Tags of groups, and paths without a drawing command. None reaches beyond the next tag.
 GROUP, GROUP_END = r"<g(?=[\s/>])[^<>]*+>", r"</g\s*+>"
 NO_PATH = r"<path(?=\s)[^<>]*?\sd=\"\s*\"[^<>]*?(?:/>|>\s*</path>)"

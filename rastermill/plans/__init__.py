@@ -1 +1 @@
-from . import engine, queries, requests, shapes, thin, traces  # noqa: F401  (they register their queries)
+from . import engine, measures, queries, requests, shapes, thin, traces  # noqa: F401  (they register their queries)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import details, images
+from ..operators import details, images, trace
 from ..sources import roles
 from ..sources.shared import save
-from .queries import _DOMINANT, _PIXELS, query
+from .queries import _BACK, _DOMINANT, _PIXELS, _lab, query
 from .traces import _BLENDED, _blends
 
 #: Pixels a side of the sketches, and by how much a ridge pixel stands out at least.
@@ -136,7 +136,8 @@ def img_blur_premultiplied(spark, sf_dir):
 
 # mixtures
 
-_LABELLED = f"""{_blends(_SKETCH)}, lab as materialized (select v.image_id, v.x, v.y, case when px.a < 128 then -1 when flat then own else coalesce(moved.label, own) end::bigint as label,
+def _labelled(palette: str | None = None) -> str:
+    return f"""{_blends(_SKETCH, palette)}, lab as materialized (select v.image_id, v.x, v.y, case when px.a < 128 then -1 when flat then own else coalesce(moved.label, own) end::bigint as label,
  {', '.join(f'case when px.a >= 128 and not flat then moved.{c} end as {c}' for c in ('a_label', 'b_label', 't'))} from {_BLENDED} join px on px.image_id = v.image_id and px.x = v.x and px.y = v.y)"""
 
 
@@ -148,11 +149,13 @@ _LINED = " or ".join(
     f"coalesce(cp >= c{1 - dx}{1 - dy} and cp >= c{1 + dx}{1 + dy} and (cp > c{1 - dx}{1 - dy} or cp > c{1 + dx}{1 + dy}) and round(cp - least(c{1 - dx}{1 - dy}, c{1 + dx}{1 + dy}), 9) > 0.02::double and c{1 - dy}{1 + dx} >= 0.1::double and c{1 + dy}{1 - dx} >= 0.1::double, false)"
     for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1))
 )
-_THIN = f"""{_LABELLED}, cand as (select * from (select image_id, x, y, own, other, {_covers('other', 'own', '')} as cp from (select *, label as own, case when label = a_label then b_label else a_label end as other from lab where a_label is not null and label in (a_label, b_label))) where cp >= 0.15::double and cp < 0.5::double),
+_CANDIDATES = f"""cand as (select * from (select image_id, x, y, own, other, {_covers('other', 'own', '')} as cp from (select *, label as own, case when label = a_label then b_label else a_label end as other from lab where a_label is not null and label in (a_label, b_label))) where cp >= 0.15::double and cp < 0.5::double),
 taps as (select c.image_id, c.x, c.y, own, other, cp, q.x - c.x as dx, q.y - c.y as dy, {_covers('other', 'own', 'q.')} as c from cand c join lab q on q.image_id = c.image_id and q.x between c.x - 2 and c.x + 2 and q.y between c.y - 2 and c.y + 2),
 judged as (select image_id, x, y, own, other, cp, round(sum(c), 9) as total, count(*) filter (c > cp) as above, coalesce(max(c) filter (dx * dx + dy * dy <= 4), 0) as peak, {', '.join(f'max(c) filter (dx = {i - 1} and dy = {j - 1}) as c{i}{j}' for i in range(3) for j in range(3))} from taps group by 1, 2, 3, 4, 5, 6),
 thin as (select j.image_id, j.x, j.y, other from judged j join pal p on p.image_id = j.image_id and p.label = own join pal q on q.image_id = j.image_id and q.label = other
  where peak < 0.85::double and (above + 0.5 < total or cp >= 0.2::double and total >= 1 and round(pow(p.l - q.l, 2) + pow(p.m - q.m, 2) + pow(p.n - q.n, 2), 9) >= 0.0225::double and ({_LINED})))"""
+_LABELLED = _labelled()
+_THIN = f"{_LABELLED}, {_CANDIDATES}"
 
 
 def _palette(spark, sf_dir):
@@ -222,7 +225,7 @@ accept as (select image_id, 0::bigint as j, known from base where image_id in (s
 last as (select image_id, known from accept qualify row_number() over (partition by image_id order by j desc) = 1),
 each as (select last.image_id, n_base, next, last.known as known, unnest(range(1, len(last.known) + 1)) as q from last join base using (image_id)),
 kept as (select image_id, next, q, c from (select *, known[q] as c from each where q > n_base) where not ({_pairs_sql('known', lambda p, q: _TINT('c', 'q'))}))
-select image_id, (next + row_number() over (partition by image_id order by q) - 1)::bigint as label, c.weight as weight, c.r::int as r, c.g::int as g, c.b::int as b, round(c.l, 6) as l, round(c.m, 6) as m, round(c.n, 6) as n from kept"""
+select image_id, (next + row_number() over (partition by image_id order by q) - 1)::bigint as label, c.weight as weight, c.r::int as r, c.g::int as g, c.b::int as b, c.l as l, c.m as m, c.n as n from kept"""
 
 
 @query(f"{_ODD} select image_id, x, y, r, g, b, round(d, 6) as d from odd")
@@ -231,7 +234,7 @@ def unexplained_pixels(spark, sf_dir):
     return details.unexplained(*_palette(spark, sf_dir), _MERGE).select("image_id", "x", "y", "r", "g", "b", F.round("d", 6).alias("d"))
 
 
-@query(_DETAILS)
+@query(f"select * replace (round(l, 6) as l, round(m, 6) as m, round(n, 6) as n) from ({_DETAILS})")
 def detail_colours(spark, sf_dir):
     """Colours that only thin strokes of the sketches have."""
     found = details.detail_colours(*_palette(spark, sf_dir), _MERGE, _LEAST, _MOST)
@@ -246,3 +249,23 @@ def palette_with_details(spark, sf_dir):
     """Palettes of sketches with the colours of details behind them."""
     found = details.with_details(*_palette(spark, sf_dir), _MERGE, _LEAST, _MOST)
     return found.groupBy("image_id").agg(F.count("*").alias("n_colours"), F.max("label").alias("last_label"), F.sum("weight").alias("weight"))
+
+
+# the whole trace
+
+_KNOWN = f"(select image_id, label::bigint as label, r, g, b, l, m, n from {_lab(_BACK.replace(_PIXELS, 'px'))} union all select image_id, label, r, g, b, l, m, n from ({_DETAILS}))"
+_HEX = " || ".join(f"format('{{:02x}}', {c}::int)" for c in "rgb")
+_SHORT = "'#' || case when " + " and ".join(f"h[{i}] = h[{i + 1}]" for i in (1, 3, 5)) + " then h[1] || h[3] || h[5] else h end"
+
+
+@query(f"""{_labelled(_KNOWN)}, {_CANDIDATES}, cells as materialized (select lab.image_id, lab.x, lab.y, coalesce(other, label) as label from lab left join thin on thin.image_id = lab.image_id and thin.x = lab.x and thin.y = lab.y),
+comp(image_id, x, y, label, root) using key (image_id, x, y) as (select image_id, x, y, label, y * {_SIDE} + x from cells union
+ select q.image_id, q.x, q.y, q.label, min(p.root) from comp p join (values (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) on true join recurring.comp q on q.image_id = p.image_id and q.x = p.x + dx and q.y = p.y + dy and q.label = p.label where p.root < q.root group by 1, 2, 3, 4)
+select image_id, {_SHORT} as colour, count(*) as paths from (select distinct c.image_id, root, {_HEX} as h from comp c join pal on pal.image_id = c.image_id and pal.label = c.label) group by 1, 2""")
+def trace_of_sketches(spark, sf_dir):
+    """Sketches as SVG, with details, thin features and palette colours: paths of each colour, one for each region of it."""
+    p, palette = _palette(spark, sf_dir)
+    tints = details.with_details(p, palette, _MERGE, _LEAST, _MOST)
+    drawn = trace.trace(p, trace.Options(min_area=1), tints)
+    each = drawn.select("image_id", F.explode(F.regexp_extract_all("svg", F.lit('<path fill="([^"]*)"'), F.lit(1))).alias("colour"))
+    return each.groupBy("image_id", "colour").agg(F.count("*").alias("paths"))

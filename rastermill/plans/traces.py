@@ -101,9 +101,9 @@ def _small(spark, sf_dir):
 _FITS = "(home and off < 0.06::double and off <= alone + 0.02::double or not home and off < 0.15::double and off < alone)"
 
 
-def _blends(px: str, top: int = 5) -> str:
+def _blends(px: str, palette: str | None = None) -> str:
     """Labels of pixels and what they are mixed of: `v` joined with `moved` tells both."""
-    return f"""with recursive px as materialized {px}, pal as materialized (select image_id, label, r, g, b, l, m, n from {_lab(_BACK.replace(_PIXELS, 'px'))}),
+    return f"""with recursive px as materialized {px}, pal as materialized (select image_id, label, r, g, b, l, m, n from {palette or _lab(_BACK.replace(_PIXELS, 'px'))}),
 f as materialized (select image_id, x, y, r, g, b, l, m, n, a >= 128 and {_NEAR} as flat from {_lab('px')} window wx as (partition by image_id, y order by x), wy as (partition by image_id, x order by y)),
 near as (select image_id, r, g, b, label from (select c.*, p.label, row_number() over (partition by c.image_id, c.r, c.g, c.b order by round(pow(c.l - p.l, 2) + pow(c.m - p.m, 2) + pow(c.n - p.n, 2), 9), p.label) as k from (select distinct image_id, r, g, b, l, m, n from f) c join pal p on c.image_id = p.image_id) where k = 1),
 o as materialized (select f.*, near.label as own from f join near on f.image_id = near.image_id and f.r = near.r and f.g = near.g and f.b = near.b),

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources import roles
-from ..sources.shared import shared_dir
 from .chunks import in_order
+from .leases import to_the_end
 
 OUTPUT = "user_id long, balance long, accepted long, rejected long"
-STATE = "balance long, accepted long, rejected long, seen array<string>"
 
 
 def entry_key(request_id, kind, job_id, grant_key) -> str:
@@ -32,32 +28,40 @@ def apply_entry(balance: int, kind: str, amount: int) -> tuple[int, bool]:
     return (after, True) if after >= 0 else (balance, False)
 
 
-def step(key, frames, state):
-    balance, accepted, rejected, seen = state.get if state.exists else (0, 0, 0, [])
-    known = set(seen)
-    for row in in_order(frames, "made_at", "request_id"):
-        job = None if pd.isna(row.job_id) else int(row.job_id)
-        k = entry_key(row.request_id, row.type, job, None if pd.isna(row.grant_key) else row.grant_key)
-        if k in known:
-            continue
-        known.add(k)
-        balance, ok = apply_entry(balance, row.type, int(row.amount))
-        accepted, rejected = accepted + ok, rejected + (not ok)
-    state.update((balance, accepted, rejected, sorted(known)))
-    yield pd.DataFrame({"user_id": [key[0]], "balance": [balance], "accepted": [accepted], "rejected": [rejected]})
+class Ledger(StatefulProcessor):
+    """A user's totals as one value, and the entries seen as a map: an entry is looked up and added by itself, so a batch
+    costs what it holds, whatever came before. With `remember`, entries are forgotten after so many milliseconds."""
+
+    def __init__(self, remember: int | None = None):
+        self.remember = remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.totals = handle.getValueState("totals", "balance long, accepted long, rejected long")
+        self.seen = handle.getMapState("seen", "entry string", "known boolean", self.remember)
+
+    def handleInputRows(self, key, rows, timerValues):
+        balance, accepted, rejected = tuple(self.totals.get()) if self.totals.exists() else (0, 0, 0)
+        for row in in_order(rows, "made_at", "request_id"):
+            job = None if pd.isna(row.job_id) else int(row.job_id)
+            entry = (entry_key(row.request_id, row.type, job, None if pd.isna(row.grant_key) else row.grant_key),)
+            if self.seen.containsKey(entry):
+                continue
+            self.seen.updateValue(entry, (True,))
+            balance, ok = apply_entry(balance, row.type, int(row.amount))
+            accepted, rejected = accepted + ok, rejected + (not ok)
+        self.totals.update((balance, accepted, rejected))
+        yield pd.DataFrame({"user_id": [int(key[0])], "balance": [balance], "accepted": [accepted], "rejected": [rejected]})
+
+    def close(self) -> None:
+        pass
 
 
-def balances(requests: DataFrame) -> DataFrame:
-    """A stream of each user's balance after every batch that touched it."""
-    return requests.groupBy("user_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def balances(requests: DataFrame, remember: int | None = None) -> DataFrame:
+    """A stream of each user's balance after every batch that touched it. The session's state store must be RocksDB."""
+    return requests.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Ledger(remember), outputStructType=OUTPUT, outputMode="Update", timeMode="None" if remember is None else "ProcessingTime")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read all that is there, once, and return the last balance of each user."""
-    events = spark.readStream.schema(roles.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    at = f"{shared_dir(spark)}/rastermill-stream-{uuid.uuid4().hex}"
-    requests = roles.ledger_of(events)
-    query = balances(requests).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max(F.struct("batch", "balance", "accepted", "rejected")).alias("s"))
-    return last.select("user_id", "s.balance", "s.accepted", "s.rejected")
+    events = lambda: spark.readStream.schema(roles.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return to_the_end(spark, lambda: balances(roles.ledger_of(events())), ["user_id"], ["balance", "accepted", "rejected"])
