@@ -94,7 +94,7 @@ def chains(regions: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:
 
 
 #: Points that a side may pass at most; of a straight run, how many from its ends may be corners.
-MOST_PASSED, RUN_ENDS = 400, 4
+MOST_PASSED, RUN_ENDS = 400, 32
 
 
 def corner_candidates(points: np.ndarray) -> np.ndarray:

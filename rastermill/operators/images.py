@@ -143,8 +143,9 @@ def palette_of_dominant(pixels: DataFrame, top: int = 5) -> DataFrame:
 def blend_colours(palette: DataFrame, residual: float = 0.03, lighter: int = 12) -> DataFrame:
     """Palette colours `lighter` times lighter in weight than two others, and close to the line between them."""
     c, p, q = (palette.select("image_id", *[F.col(x).alias(f"{k}_{x}") for x in ("label", "weight", "l", "m", "n")]) for k in "cpq")
-    pairs = c.join(p, "image_id").join(q, "image_id").where("p_label < q_label and c_label <> p_label and c_label <> q_label")
-    pairs = pairs.where((F.col("c_weight") * lighter < F.col("p_weight")) & (F.col("c_weight") * lighter < F.col("q_weight")))
+    # only heavy enough partners meet: a third colour joins few pairs, not all
+    heavier = lambda k: (F.col("c_weight") * lighter < F.col(f"{k}_weight")) & (F.col("c_label") != F.col(f"{k}_label"))
+    pairs = c.join(p, "image_id").where(heavier("p")).join(q, "image_id").where(heavier("q") & (F.col("p_label") < F.col("q_label")))
     along = sum(((F.col(f"c_{x}") - F.col(f"p_{x}")) * (F.col(f"q_{x}") - F.col(f"p_{x}")) for x in "lmn"), F.lit(0.0))
     length = sum(((F.col(f"q_{x}") - F.col(f"p_{x}")) * (F.col(f"q_{x}") - F.col(f"p_{x}")) for x in "lmn"), F.lit(0.0))
     t = F.try_divide(along, length)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .images import flat_mask, nearest_colour
-from .regions import dense, within_budget
+from .regions import dense, gathered, within_budget
 
 #: Edge pixels that are looked at together: bounds the memory of their candidate sets.
 BLOCK = 200_000
@@ -109,9 +109,7 @@ def blend_labels(pixels: DataFrame, palette: DataFrame, radius: int = 3, prefere
     `palette` is (image_id, label, r, g, b, l, m, n).
     """
     p = nearest_colour(flat_mask(pixels, opaque=opaque), palette)
-    cell = F.struct("y", "x", *[F.col(c).cast("double").alias(c) for c in "rgblmn"], F.col("label").cast("long").alias("label"), F.col("flat").cast("int").alias("flat"), (F.col("a") >= opaque).cast("int").alias("solid"))
-    names = (*"rgblmn", "label", "flat", "solid")
-    whole = p.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), F.array_sort(F.collect_list(cell)).alias("c")).select("image_id", "width", *[F.col(f"c.{k}").alias(k) for k in names])
+    whole = gathered(p.withColumn("solid", F.col("a") >= opaque), dict.fromkeys("rgblmn", "double") | {"label": "long", "flat": "int", "solid": "int"})
 
     def run(batches):
         for b in batches:

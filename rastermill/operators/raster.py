@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .regions import gathered
 
 
 def blur(image: np.ndarray, sigma: float) -> np.ndarray:
@@ -80,8 +81,7 @@ def _rounded(planes: np.ndarray) -> np.ndarray:
 
 def apply(pixels: DataFrame, kernel) -> DataFrame:
     """Run a kernel (array to array) on each image of (image_id, x, y, r, g, b, a)."""
-    cells = F.array_sort(F.collect_list(F.struct("y", "x", *[F.col(c).cast("double").alias(c) for c in "rgba"])))
-    images = pixels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), cells.alias("cells")).select("image_id", "width", *[F.col(f"cells.{c}").alias(c) for c in "rgba"])
+    images = gathered(pixels, dict.fromkeys("rgba", "double"))
 
     def run(batches):
         for t in batches:

@@ -16,12 +16,57 @@ from pyspark.sql import functions as F
 from ..sources.shared import save
 
 
+#: Pixels of whole images that leave a task together.
+TOGETHER = 1 << 18
+
+
+def gathered(pixels: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(image_id, width, and each of `columns` as an array): one row for an image, pixels in row-major order.
+
+    Tasks sort their pixels, which may spill, and read them in order, so no pixel is an object and a task holds one
+    image's arrays at a time. `columns` tells their types, `long`, `int` or `double`.
+    """
+    kinds = {"long": (np.int64, pa.int64()), "int": (np.int32, pa.int32()), "double": (np.float64, pa.float64())}
+    names = list(columns)
+    # a fixed number of tasks: the kernels' work is not in proportion to the bytes by which small ones would be joined
+    n_tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+    cells = cells.repartition(n_tasks, "image_id").sortWithinPartitions("image_id", "y", "x")
+
+    def rows(done: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        offsets = pa.array(np.cumsum([0, *[len(v[0]) for _, v in done]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([v[k + 1] for _, v in done]), kinds[t][1])) for k, t in enumerate(columns.values())]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], pa.int64()), pa.array([int(v[0].max()) + 1 for _, v in done], pa.int32()), *lists], ["image_id", "width", *names])
+
+    def run(batches):
+        image, parts, done, held = None, [], [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("image_id").to_numpy()
+            values = [b.column("x").to_numpy(), *[b.column(c).to_numpy(zero_copy_only=False).astype(kinds[t][0]) for c, t in columns.items()]]
+            starts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if parts and ids[i] != image:
+                    done.append((image, [np.concatenate(p) for p in zip(*parts, strict=True)]))
+                    parts = []
+                    if held >= TOGETHER:
+                        yield rows(done)
+                        done, held = [], 0
+                image = int(ids[i])
+                parts.append([v[i:j].copy() for v in values])
+                held += j - i
+        if parts:
+            done.append((image, [np.concatenate(p) for p in zip(*parts, strict=True)]))
+        if done:
+            yield rows(done)
+
+    return cells.mapInArrow(run, "image_id long, width int, " + ", ".join(f"{c} array<{t}>" for c, t in columns.items()))
+
+
 def dense(labels: DataFrame) -> DataFrame:
     """(image_id, width, labels): one row for an image, labels in row-major order."""
-    cells = F.array_sort(F.collect_list(F.struct("y", "x", F.col("label").cast("long").alias("label"))))
-    # a fixed number of tasks: the kernels' work is not in proportion to the bytes by which small ones would be joined
-    labels = labels.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
-    return labels.groupBy("image_id").agg((F.max("x") + 1).cast("int").alias("width"), cells.alias("cells")).select("image_id", "width", F.col("cells.label").alias("labels"))
+    return gathered(labels.select("image_id", "x", "y", F.col("label").alias("labels")), {"labels": "long"})
 
 
 def grids(batch: pa.RecordBatch):

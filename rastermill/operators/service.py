@@ -125,16 +125,27 @@ def delete_cascade(uploads: DataFrame, jobs: DataFrame, results: DataFrame, ledg
     return uploads.join(gone, "upload_id", "left_anti"), jobs.join(gone, "upload_id", "left_anti"), results.join(lost, "job_id", "left_anti"), forgot.select(*ledger.columns)
 
 
+def _as_key(asked, kind):
+    """A text as a key of this type, or null if it isn't how such a key is written."""
+    key = asked.try_cast(kind)
+    return F.when(key.cast("string") == asked, key)
+
+
 def find(table: DataFrame, **equal) -> DataFrame:
-    """Rows whose columns, as text, equal what is asked for: an id that can't be one finds nothing, and is no error."""
+    """Rows whose columns equal what is asked for, a text: an id that can't be one finds nothing, and is no error.
+
+    What is asked is made a value of the column's type, so that the column itself is compared and files are skipped
+    by their statistics.
+    """
     for name, value in equal.items():
-        table = table.where(F.col(name).cast("string") == F.lit(str(value)))
+        table = table.where(F.col(name) == _as_key(F.lit(str(value)), table.schema[name].dataType))
     return table
 
 
 def lookup(asked: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """`asked` (a column `asked` of texts) with the rows that they name, or nulls."""
-    return asked.join(table.withColumn("_key", F.col(key).cast("string")), F.col("asked") == F.col("_key"), "left").drop("_key")
+    sought = asked.withColumn("_sought", _as_key(F.col("asked"), table.schema[key].dataType))
+    return sought.join(table.withColumn("_key", F.col(key)), F.col("_sought") == F.col("_key"), "left").drop("_key", "_sought")
 
 
 def download_access(requests: DataFrame, results: DataFrame, jobs: DataFrame) -> DataFrame:

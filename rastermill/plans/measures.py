@@ -8,10 +8,10 @@ from ..functions import color, presets, rules
 from ..operators import details, edges, gradients, images, markup, service
 from ..sources import images as files
 from ..sources import roles
-from .queries import _JOBS, _NEAR, _PIXELS, _RESULTS, _STATS, _lab, query
+from .queries import _JOBS, _NEAR, _PIXELS, _RESULTS, _STATS, ORACLES, _lab, query
 from .requests import _PRESET_OF
-from .shapes import _RAMPS, _placed
-from .thin import _SKETCH, _SUMS, _sketches, _sums, _taps_sql
+from .shapes import _RAMPS, _ROOTS, _TINTS, _placed
+from .thin import _LINEAR, _SKETCH, _SUMS, _sketches, _sums, _taps_sql
 from .traces import _DRAWN
 from .traces import _SIDE as _WIDE
 
@@ -150,3 +150,28 @@ def delete_with_cascade(spark, sf_dir):
     left = service.delete_cascade(uploads, roles.jobs(spark, sf_dir), roles.conversions(spark, sf_dir), ledger, gone)
     counts = [t.agg(F.count("*").alias("n"), (F.count_if(F.col("job_id").isNull()) if name == "ledger" else F.lit(0).cast("long")).alias("forgotten")).select(F.lit(name).alias("kept"), "n", "forgotten") for name, t in zip(("uploads", "jobs", "results", "ledger"), left, strict=True)]
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+# filters by kernels, against sums over neighbours
+
+
+def _filtered(source: str, weights: str, factor: int, side: int) -> str:
+    """`source` weighted by (i, k, w): the place within a pixel, the offset and the weight; edges repeat, without alpha colours are 0."""
+    at = lambda c, k: f"greatest(0, least({side - 1}, m.{c} + {k}))"
+    byte = lambda v: f"round_even(greatest(0, least(255, round({v}, 9))), 0)::int"
+    fine = f"select m.image_id, m.x * {factor} + u.i as x, m.y * {factor} + v.i as y, {at('x', 'u.k')} as px, {at('y', 'v.k')} as py, u.w * v.w as w from {source} m, {weights} u, {weights} v"
+    sums = f"select f.image_id, f.x, f.y, {', '.join(f'sum(p.{c} * p.a * w) as {c}' for c in 'rgb')}, sum(p.a * w) as alpha from ({fine}) f join {source} p on p.image_id = f.image_id and p.x = f.px and p.y = f.py group by 1, 2, 3"
+    return f"(select image_id, x, y, {', '.join(f'case when round(alpha, 9) > 0 then {byte(f'{c} / alpha')} else 0 end as {c}' for c in 'rgb')}, {byte('alpha')} as a from ({sums}))"
+
+
+_BLUR_09 = "(select 0 as i, k, exp(-0.5::double * pow(k / 0.9::double, 2)) / (select sum(exp(-0.5::double * pow(j / 0.9::double, 2))) from range(-3, 4) q(j)) as w from range(-3, 4) p(k))"
+ORACLES["img_upscale"] = f"with p as materialized {_PIXELS}, u as materialized {_filtered('p', _LINEAR, 2, 8)} select * from {_filtered('u', _BLUR_09, 1, 16)}"
+
+_LIKE = "exp(-(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) / (2 * pow(2 / 1.5::double, 2)) - (pow(q.r - p.r, 2) + pow(q.g - p.g, 2) + pow(q.b - p.b, 2)) / (2 * 22.0::double * 22.0::double)) * q.a"
+ORACLES["img_denoise"] = f"""with p as materialized {_PIXELS}, s as (select p.image_id, p.x, p.y, p.a, {', '.join(f'sum(q.{c} * {_LIKE}) as {c}' for c in 'rgb')}, sum({_LIKE}) as w from p join p q on q.image_id = p.image_id and q.x between p.x - 2 and p.x + 2 and q.y between p.y - 2 and p.y + 2 group by 1, 2, 3, 4)
+select image_id, x, y, {', '.join(f'case when w > 0 then round_even(greatest(0, least(255, {c} / w)), 0)::int else 0 end as {c}' for c in 'rgb')}, a from s"""
+
+_CLOSER = "round(" + " + ".join("pow(p.{c} - {{0}}.{c}, 2)".format(c=c) for c in "lmn") + ", 9)"
+ORACLES["blend_slivers_dissolved"] = f"""with s as materialized ({ORACLES['blend_slivers']}), c as materialized {_ROOTS}, p as materialized {_lab(_PIXELS)}, t as materialized {_lab(_TINTS)}
+select c.image_id, c.x, c.y, case when s.region is null then c.label when {_CLOSER.format('f')} <= {_CLOSER.format('z')} then s.first else s.second end as label from c join p on p.image_id = c.image_id and p.x = c.x and p.y = c.y
+left join s on s.image_id = c.image_id and s.region = c.region left join t f on f.image_id = s.image_id and f.label = s.first left join t z on z.image_id = s.image_id and z.label = s.second"""

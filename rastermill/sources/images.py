@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from .shared import save
+
 
 def objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, modified, length) of stored files; contents aren't read."""
@@ -114,6 +116,71 @@ def decoded(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return cells.mapInArrow(run, "path string, width int, height int, rgba binary")
 
 
+def exif_orientation(b: bytes | None) -> int:
+    """How a JPEG's picture is to be turned, 1 (not at all) to 8, by its first Exif block; 1 where it doesn't say."""
+    for kind, start, end in jpeg_segments(b) if b and b[:2] == b"\xff\xd8" else ():
+        tiff = b[start + 10 : end]
+        if kind == 0xE1 and b[start + 4 : start + 8] == b"Exif" and len(tiff) >= 14:
+            order = "little" if tiff[:2] == b"II" else "big"
+            number = lambda at, n, tiff=tiff, order=order: int.from_bytes(tiff[at : at + n], order)
+            at = number(4, 4)
+            for entry in range(at + 2, min(at + 2 + 12 * number(at, 2), len(tiff) - 11), 12):
+                if number(entry, 2) == 0x0112:
+                    return v if 1 <= (v := number(entry + 8, 2)) <= 8 else 1
+            return 1
+    return 1
+
+
+def turned(image: np.ndarray, orientation: int) -> np.ndarray:
+    """A picture (height, width, 4) as it is to be seen."""
+    if orientation >= 5:
+        image = image.transpose(1, 0, 2)
+    rows, columns = {2: (1, -1), 3: (-1, -1), 4: (-1, 1), 6: (1, -1), 7: (-1, -1), 8: (-1, 1)}.get(orientation, (1, 1))
+    return np.ascontiguousarray(image[::rows, ::columns])
+
+
+def decode_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = 15 << 20) -> DataFrame:
+    """(path, mime, width, height, rgba, error) of every file of a folder: decoded and turned as its Exif block says, or why not.
+
+    What a header says is too large is told so, whatever it decodes to; Spark's reader still meets the file, so a folder
+    of unknown files is to be sifted by `decodable` first. Formats without a decoder here, WebP among them, are told as
+    unsupported. Width and height are of what is seen.
+    """
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    given = decodable(with_sizes(files(spark, path, glob, max_bytes))).select("path", same(F.col("path")).alias("_at"), "mime", "content", F.when(F.col("length") > max_bytes, "dimensions").otherwise(F.col("refusal")).alias("_refusal"))
+    found = decoded(spark, path, glob).select(same(F.col("path")).alias("_from"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("rgba").alias("_rgba"))
+    both = given.join(found, (F.col("_at") == F.col("_from")) & F.col("_refusal").isNull(), "left")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for mime, content, refusal, w, h, rgba in zip(*(b.column(c).to_pylist() for c in ("mime", "content", "_refusal", "_w", "_h", "_rgba")), strict=True):
+                if refusal in ("dimensions", "padding"):
+                    out.append((None, None, None, "Image is too large"))
+                elif mime is None or mime == "image/webp":
+                    out.append((None, None, None, f'Unsupported image type "{mime or "unknown"}"'))
+                elif rgba is None:
+                    out.append((None, None, None, f"Failed to decode {mime} image"))
+                else:
+                    seen = np.frombuffer(rgba, np.uint8).reshape(h, w, 4)
+                    seen = turned(seen, exif_orientation(content) if mime == "image/jpeg" else 1)
+                    out.append((seen.shape[1], seen.shape[0], seen.tobytes(), None))
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.string()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("mime"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["path", "mime", "width", "height", "rgba", "error"])
+
+    return both.mapInArrow(run, "path string, mime string, width int, height int, rgba binary, error string")
+
+
+def inspected_and_shrunk(decoded_images: DataFrame, inspect, most: int, id_col: str = "image_id") -> tuple[DataFrame, DataFrame]:
+    """(what `inspect` makes of pixels at full size, pixels of at most `most` an image), of images that are decoded once.
+
+    The decoded images are written, so both read the same bytes.
+    """
+    kept = save(decoded_images.select(id_col, "width", "height", "rgba"), "decoded")
+    return inspect(pixels_of(kept, id_col)), pixels_of(kept, id_col, most)
+
+
 def pixels_of(images: DataFrame, id_col: str = "image_id", most: int | None = None) -> DataFrame:
     """(image_id, x, y, r, g, b, a) of `decoded` rows with an id; shrunk by a whole factor to `most` pixels at most.
 

@@ -61,3 +61,53 @@ def test_objects_are_replaced_and_deleted_by_key(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(at).select("user", "job", "body").collect())) == [(1, 1, "a"), (1, 2, "new"), (2, 1, "c")]
     assert images.delete_object(spark, f"{at}/user=1/job=1") and not images.delete_object(spark, f"{at}/user=1/job=1")
     assert spark.read.parquet(at).count() == 2
+
+
+def test_every_file_is_decoded_or_told_why_not(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    p = rng.integers(0, 256, (5, 7, 4), dtype=np.uint8)
+    p[..., 3] = 255
+    (tmp_path / "a.png").write_bytes(images.png(p))
+    (tmp_path / "cut.png").write_bytes(images.png(p)[:60])
+    (tmp_path / "note.txt").write_bytes(b"no image")
+    (tmp_path / "b.webp").write_bytes(b"RIFF\0\0\0\0WEBPVP8L" + b"\0" * 4 + b"\x2f" + b"\0" * 20)
+    (tmp_path / "bomb.png").write_bytes(images.png(p)[:16] + struct.pack(">II", 100_000, 9) + images.png(p)[24:])
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(16, 8, 1)
+    for x in range(16):
+        for y in range(8):
+            picture.setRGB(x, y, 0xFF0000 if x < 8 else 0x0000FF)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "plain.jpg")))
+    plain = (tmp_path / "plain.jpg").read_bytes()
+    for k in range(1, 9):
+        tiff = b"II*\0\x08\0\0\0" + struct.pack("<HHHIHH", 1, 0x0112, 3, 1, k, 0) + b"\0" * 4
+        block = b"Exif\0\0" + tiff
+        (tmp_path / f"turn{k}.jpg").write_bytes(plain[:2] + b"\xff\xe1" + struct.pack(">H", len(block) + 2) + block + plain[2:])
+    got = {os.path.basename(r["path"]): r for r in images.decode_files(spark, str(tmp_path)).collect()}
+    assert len(got) == 14
+    assert got["a.png"]["error"] is None and bytes(got["a.png"]["rgba"]) == p.tobytes()
+    assert got["cut.png"]["error"] == "Failed to decode image/png image" and got["note.txt"]["error"] == 'Unsupported image type "unknown"'
+    assert got["b.webp"]["error"] == 'Unsupported image type "image/webp"' and got["bomb.png"]["error"] == "Image is too large"
+    base = np.frombuffer(got["plain.jpg"]["rgba"], np.uint8).reshape(8, 16, 4)
+    assert base[4, 2, 0] > 200 and base[4, 13, 2] > 200
+    red = {1: (2, 4), 2: (13, 4), 3: (13, 4), 4: (2, 4), 5: (4, 2), 6: (4, 2), 7: (4, 13), 8: (4, 13)}
+    for k, (x, y) in red.items():
+        r = got[f"turn{k}.jpg"]
+        assert (r["width"], r["height"]) == ((16, 8) if k < 5 else (8, 16))
+        assert np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4)[y, x, 0] > 200, k
+
+
+def test_images_are_decoded_once_for_both(spark):
+    rows = spark.createDataFrame([(1, 4, 2, bytes(range(32))), (2, 1, 1, b"abcd")], "image_id long, width int, height int, rgba binary")
+    seen, small = images.inspected_and_shrunk(rows, lambda p: p.groupBy("image_id").count(), 2)
+    assert {r["image_id"]: r["count"] for r in seen.collect()} == {1: 8, 2: 1} and small.count() == 2 + 1
+
+
+def test_ids_are_asked_for_as_they_are_written(spark):
+    from rastermill.operators import service
+
+    t = spark.createDataFrame([(7, "a"), (70, "b")], "id long, v string")
+    assert [service.find(t, id=x).count() for x in ("7", "07", "7.0", " 7", "x", "")] == [1, 0, 0, 0, 0, 0] and service.find(t, v="b", id="70").count() == 1
+    asked = spark.createDataFrame([("7",), ("007",), (None,)], "asked string")
+    assert sorted((str(r["asked"]), r["v"]) for r in service.lookup(asked, t, "id").collect()) == [("007", None), ("7", "a"), ("None", None)]
+    assert "id" in t.columns and "cast(id" not in service.find(t, id="7")._jdf.queryExecution().optimizedPlan().toString().lower()
