@@ -40,14 +40,14 @@ def absorb_slivers(regions: DataFrame, borders: DataFrame, paths: DataFrame, rou
     now = save(regions.select("image_id", "region", colour.alias("c"), F.col("grp").cast("long").alias("grp"), (~F.col("fixed") & (F.col("inner") <= thin * F.col("area"))).alias("thin")), "regions")
     sides = borders.select("image_id", F.col("low").alias("region"), F.col("high").alias("beside")).unionByName(borders.select("image_id", F.col("high").alias("region"), F.col("low").alias("beside")))
     slim = now.where("thin and grp is null").select("image_id", "region", "c")
-    sides = save(sides.distinct().join(slim, ["image_id", "region"]), "sides-of-slivers")
+    sides = save(sides.distinct().join(slim.hint("merge"), ["image_id", "region"]), "sides-of-slivers")
     way = paths.select("image_id", F.col("grp").cast("long").alias("grp"), "stops")
     for _ in range(rounds):
         there = now.select("image_id", F.col("region").alias("beside"), F.col("grp").alias("b_grp"), F.col("c").alias("b_c"))
         open_ = now.where("thin and grp is null").select("image_id", "region")
-        met = sides.join(open_, ["image_id", "region"]).join(there, ["image_id", "beside"])
+        met = sides.join(open_.hint("merge"), ["image_id", "region"]).join(there.hint("merge"), ["image_id", "beside"])
         others = met.groupBy("image_id", "region").agg(F.collect_list(F.struct(F.col("b_grp").alias("grp"), F.col("b_c").alias("c"))).alias("others"))
-        asked = met.where("b_grp is not null").withColumnRenamed("b_grp", "grp").join(others, ["image_id", "region"]).join(way, ["image_id", "grp"])
+        asked = met.where("b_grp is not null").withColumnRenamed("b_grp", "grp").join(others.hint("merge"), ["image_id", "region"]).join(way.hint("merge"), ["image_id", "grp"])
         me, stops = F.col("c"), F.col("stops")
         after = F.when(F.size(stops) > 1, F.slice(stops, 2, F.greatest(F.lit(1), F.size(stops) - 1))).otherwise(stops)
         before = F.when(F.size(stops) > 1, F.slice(stops, 1, F.greatest(F.lit(1), F.size(stops) - 1))).otherwise(stops)
@@ -58,5 +58,5 @@ def absorb_slivers(regions: DataFrame, borders: DataFrame, paths: DataFrame, rou
         moved = save(moved, "absorbed")
         if moved.isEmpty():
             break
-        now = save(now.join(moved, ["image_id", "region"], "left").select("image_id", "region", "c", F.coalesce("grp", "_new").alias("grp"), "thin"), "regions")
+        now = save(now.join(moved.hint("merge"), ["image_id", "region"], "left").select("image_id", "region", "c", F.coalesce("grp", "_new").alias("grp"), "thin"), "regions")
     return now.select("image_id", "region", "grp")

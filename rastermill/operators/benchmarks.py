@@ -111,7 +111,7 @@ def trace_quality(truth: DataFrame, traced: DataFrame, scale: float = 1.0) -> Da
     """
     seen = [composite_white(p.na.fill(0, ["r", "g", "b"])) for p in (truth, traced)]
     edge = [edge_pixels(p) for p in seen]
-    d = diff_metrics(*seen).join(edge[0], "image_id").join(edge[1].withColumnRenamed("edges", "traced_edges"), "image_id").join(gap_pixels(truth, traced), "image_id")
+    d = diff_metrics(*seen).join(edge[0].hint("merge"), "image_id").join(edge[1].withColumnRenamed("edges", "traced_edges").hint("merge"), "image_id").join(gap_pixels(truth, traced).hint("merge"), "image_id")
     over = lambda a, b, empty: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(empty))
     return d.select(
         "image_id", (F.col("mean_delta") * 100).alias("mean_delta_e"), (over("n_bad", "n", 0.0) * 100).alias("bad_pixel_pct"), (over("n_bad", "edges", 0.0) / scale).alias("boundary_error"),

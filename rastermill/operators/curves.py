@@ -542,7 +542,7 @@ def draw(loops: DataFrame, paints: DataFrame, sizes: DataFrame, stacked: bool =
     every hole stays open.
     """
     clear = paints.groupBy("image_id").agg(F.max(F.col("colour").isNull()).alias("_clear"))
-    seen = loops.join(paints.where("colour is not null"), ["image_id", "region"]).join(clear, "image_id")
+    seen = loops.join(paints.where("colour is not null").hint("merge"), ["image_id", "region"]).join(clear.hint("merge"), "image_id")
     kept = F.filter("loops", lambda x: (x["area"] > 0) | F.col("_clear")) if stacked else F.col("loops")
     outer = F.aggregate(F.filter("loops", lambda x: x["area"] > 0), F.lit(0.0), lambda s, x: s + x["area"])
     data = F.array_join(F.transform(F.array_sort(F.transform(kept, lambda x: F.struct((-x["area"]).alias("a"), x["path"].alias("p")))), lambda x: x["p"]), "")
@@ -550,7 +550,7 @@ def draw(loops: DataFrame, paints: DataFrame, sizes: DataFrame, stacked: bool =
     each = seen.select("image_id", F.struct((-outer).alias("o"), F.col("region").alias("k"), path.alias("v")).alias("s"))
     drawn = each.groupBy("image_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
     box = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"), F.lit('">'))
-    return drawn.join(sizes, "image_id").select("image_id", F.size("s").cast("long").alias("n_paths"), F.concat(box, F.array_join(F.col("s.v"), ""), F.lit("</svg>")).alias("svg"))
+    return drawn.join(sizes.hint("merge"), "image_id").select("image_id", F.size("s").cast("long").alias("n_paths"), F.concat(box, F.array_join(F.col("s.v"), ""), F.lit("</svg>")).alias("svg"))
 
 
 def traced(pixels: DataFrame, labels: DataFrame, fit: Fit = Fit(), stacked: bool = True) -> DataFrame:
@@ -561,7 +561,7 @@ def traced(pixels: DataFrame, labels: DataFrame, fit: Fit = Fit(), stacked: bool
     found = save(region_chains(labels), "chains")
     fitted = save(fitted_chains(found, fit), "fitted-chains")
     of = components(labels).withColumnRenamed("root", "region")
-    tints = of.join(pixels.select("image_id", "x", "y", *"rgb"), ["image_id", "x", "y"]).groupBy("image_id", "region", "label").agg(*[color.half_up(F.avg(c)).alias(c) for c in "rgb"])
+    tints = of.join(pixels.select("image_id", "x", "y", *"rgb").hint("merge"), ["image_id", "x", "y"]).groupBy("image_id", "region", "label").agg(*[color.half_up(F.avg(c)).alias(c) for c in "rgb"])
     paints = tints.select("image_id", "region", F.when(F.col("label") >= 0, color.hex_colour(F.col("r"), F.col("g"), F.col("b"))).alias("colour"))
     sizes = labels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     return draw(region_loops(fitted), paints, sizes, stacked)

@@ -39,7 +39,7 @@ def gap_pixels(truth: DataFrame, traced: DataFrame, below: int = 200) -> DataFra
     row, column = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-2, 2), Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-2, 2)
     t = truth.repartition("image_id").withColumns({"_low": F.min("a").over(row), "_n": F.count("a").over(row)})
     t = t.withColumns({"_low": F.min("_low").over(column), "_n": F.sum("_n").over(column)})
-    both = t.join(traced.select("image_id", "x", "y", F.col("a").alias("_a")), ["image_id", "x", "y"])
+    both = t.join(traced.select("image_id", "x", "y", F.col("a").alias("_a")).hint("merge"), ["image_id", "x", "y"])
     return both.groupBy("image_id").agg(F.count_if(F.col("a") == 255).alias("opaque"), F.count_if((F.col("_low") == 255) & (F.col("_n") == 25) & (F.col("_a") < below)).alias("gaps"))
 
 
@@ -53,11 +53,11 @@ def slivers(labels: DataFrame, palette: DataFrame, half_thickness: float = 1.0)
     row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     sides = [labels.select("image_id", "region", "label", side("region").over(w).alias("_r"), side("label").over(w).alias("other")) for w in (row, column) for side in (F.lag, F.lead)]
     met = sides[0].union(sides[1]).union(sides[2]).union(sides[3]).where("_r is not null and _r <> region and label <> -1 and other <> -1 and other <> label")
-    borders = met.join(thin, ["image_id", "region"]).groupBy("image_id", "region", "label", "other").agg(F.count("*").alias("border"))
+    borders = met.join(thin.hint("merge"), ["image_id", "region"]).groupBy("image_id", "region", "label", "other").agg(F.count("*").alias("border"))
     place = F.row_number().over(Window.partitionBy("image_id", "region").orderBy(F.desc("border"), "other"))
     two = borders.withColumn("place", place).groupBy("image_id", "region", "label").agg(F.max(F.when(F.col("place") == 1, F.col("other"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("other"))).alias("second")).where("second is not null")
     for key in ("label", "first", "second"):
-        two = two.join(palette.select("image_id", F.col("label").alias(key), *[(F.col(c) / 255.0).alias(f"{key}_{c}") for c in "rgb"]), ["image_id", key])
+        two = two.join(palette.select("image_id", F.col("label").alias(key), *[(F.col(c) / 255.0).alias(f"{key}_{c}") for c in "rgb"]).hint("merge"), ["image_id", key])
     step = {c: F.col(f"second_{c}") - F.col(f"first_{c}") for c in "rgb"}
     off = {c: F.col(f"label_{c}") - F.col(f"first_{c}") for c in "rgb"}
     length = sum((d * d for d in step.values()), F.lit(0.0))
@@ -75,8 +75,8 @@ def dissolve(labels: DataFrame, palette: DataFrame, half_thickness: float = 1.0)
     found = slivers(labels, palette, half_thickness)
     tints = with_oklab(palette).select("image_id", "label", "l", "m", "n")
     for key in ("first", "second"):
-        found = found.join(tints.select("image_id", F.col("label").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in "lmn"]), ["image_id", key])
-    p = with_oklab(labels).join(found, ["image_id", "region"], "left")
+        found = found.join(tints.select("image_id", F.col("label").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in "lmn"]).hint("merge"), ["image_id", key])
+    p = with_oklab(labels).join(found.hint("merge"), ["image_id", "region"], "left")
     d = [F.round(sum(((F.col(c) - F.col(f"{k}_{c}")) * (F.col(c) - F.col(f"{k}_{c}")) for c in "lmn"), F.lit(0.0)), 9) for k in ("first", "second")]
     return p.select("image_id", "x", "y", F.when(F.col("first").isNull(), F.col("label")).when(d[0] <= d[1], F.col("first")).otherwise(F.col("second")).alias("label"))
 
@@ -93,6 +93,6 @@ def refine_junctions(ends: DataFrame, size: DataFrame, most: float = 1.0, pull:
     s = ends.groupBy("image_id", "jx", "jy").agg(F.sum(w * nx * nx).alias("a"), F.sum(w * nx * ny).alias("b"), F.sum(w * ny * ny).alias("c"), F.sum(w * nx * away).alias("d"), F.sum(w * ny * away).alias("e"))
     s = s.withColumns({"a": F.col("a") + pull, "c": F.col("c") + pull}).withColumn("det", F.col("a") * F.col("c") - F.col("b") * F.col("b"))
     s = s.withColumns({"ox": (F.col("c") * F.col("d") - F.col("b") * F.col("e")) / F.col("det"), "oy": (F.col("a") * F.col("e") - F.col("b") * F.col("d")) / F.col("det")})
-    s = s.withColumn("scale", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(most), F.sqrt(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy"))), F.lit(1.0)))).join(size, "image_id")
+    s = s.withColumn("scale", F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(most), F.sqrt(F.col("ox") * F.col("ox") + F.col("oy") * F.col("oy"))), F.lit(1.0)))).join(size.hint("merge"), "image_id")
     moved = lambda j, o, top: F.when((F.col(j) == 0) | (F.col(j) == F.col(top)), F.col(j).cast("double")).otherwise(F.col(j) + F.col(o) * F.col("scale"))
     return s.select("image_id", "jx", "jy", moved("jx", "ox", "width").alias("x"), moved("jy", "oy", "height").alias("y"))

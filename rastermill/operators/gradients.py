@@ -127,7 +127,7 @@ def merged_ramps(sums: DataFrame, pairs: DataFrame, least: int = 16, ramp: float
     """
     rows = sums.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col(label).cast("long").alias("id"), F.array(*[F.col(k).cast("double") for k in SUMS]).alias("s")))).alias("r"))
     met = pairs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("border")).alias("o"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")))).alias("p"))
-    images = rows.join(met, "image_id", "left").select(F.col("image_id").cast("long").alias("image_id"), F.col("r.id").alias("ids"), F.flatten("r.s").alias("s"), F.coalesce("p.low", F.array().cast("array<long>")).alias("low"), F.coalesce("p.high", F.array().cast("array<long>")).alias("high"))
+    images = rows.join(met.hint("merge"), "image_id", "left").select(F.col("image_id").cast("long").alias("image_id"), F.col("r.id").alias("ids"), F.flatten("r.s").alias("s"), F.coalesce("p.low", F.array().cast("array<long>")).alias("low"), F.coalesce("p.high", F.array().cast("array<long>")).alias("high"))
 
     def run(batches):
         for b in batches:
@@ -156,7 +156,7 @@ def radial_ramps(pixels: DataFrame, linear: DataFrame, margin: int = 1, label: s
     plane's, and spans enough colour. Regions with fewer than `least` inner pixels, or whose pixels are all equally far, are left out.
     """
     centres = linear.select("image_id", label, "cx", "cy", F.col("rms").alias("linear_rms"))
-    d = pixels.join(centres, ["image_id", label]).withColumn("d", F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
+    d = pixels.join(centres.hint("merge"), ["image_id", label]).withColumn("d", F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))))
     inner = F.col("distance") > margin
     own = lambda e: F.sum(F.when(inner, e))
     sums = [e for c in CHANNELS for e in (own(F.col(c) / 255.0).alias(f"s{c}"), own(F.col(c) / 255.0 * F.col("d")).alias(f"sd{c}"), own(F.col(c) / 255.0 * F.col(c) / 255.0).alias(f"s{c}{c}"))]
@@ -176,9 +176,9 @@ def radial_ramps(pixels: DataFrame, linear: DataFrame, margin: int = 1, label: s
 
 def along_axis(pixels: DataFrame, linear: DataFrame, label: str = "region") -> DataFrame:
     """Pixels with `t`: where they lie, 0 to 1, between the ends of their region along its ramp."""
-    s = pixels.join(linear.select("image_id", label, "ux", "uy"), ["image_id", label]).withColumn("t", F.col("x") * F.col("ux") + F.col("y") * F.col("uy"))
+    s = pixels.join(linear.select("image_id", label, "ux", "uy").hint("merge"), ["image_id", label]).withColumn("t", F.col("x") * F.col("ux") + F.col("y") * F.col("uy"))
     ends = s.groupBy("image_id", label).agg(F.min("t").alias("_from"), F.max("t").alias("_to"))
-    return s.join(ends, ["image_id", label]).withColumn("t", F.round((F.col("t") - F.col("_from")) / F.greatest(F.lit(1e-9), F.col("_to") - F.col("_from")), 9)).withColumn("span", F.col("_to") - F.col("_from")).drop("_from", "_to")
+    return s.join(ends.hint("merge"), ["image_id", label]).withColumn("t", F.round((F.col("t") - F.col("_from")) / F.greatest(F.lit(1e-9), F.col("_to") - F.col("_from")), 9)).withColumn("span", F.col("_to") - F.col("_from")).drop("_from", "_to")
 
 
 def profile(placed: DataFrame, bins: int = 24, least: int = 4, margin: int = 1, label: str = "region") -> DataFrame:
@@ -220,7 +220,7 @@ def linear_stops(profiles: DataFrame, linear: DataFrame, bins: int = 24, toleran
     """
 
     sample = F.struct(((F.col("bin") + 0.5) / bins).alias("offset"), *CHANNELS)
-    s = profiles.groupBy("image_id", label).agg(F.array_sort(F.collect_list(sample)).alias("s"), F.first("span").alias("span")).join(linear, ["image_id", label])
+    s = profiles.groupBy("image_id", label).agg(F.array_sort(F.collect_list(sample)).alias("s"), F.first("span").alias("span")).join(linear.hint("merge"), ["image_id", label])
 
     def end(near: Column, offset: float) -> Column:
         channels = [F.greatest(F.lit(0.0), F.least(F.lit(255.0), near[c] + F.col(f"slope_{c}") * 255 * F.col("span") * (F.lit(offset) - near["offset"]))).alias(c) for c in CHANNELS]
@@ -232,7 +232,7 @@ def linear_stops(profiles: DataFrame, linear: DataFrame, bins: int = 24, toleran
 
 def around_centre(pixels: DataFrame, radial: DataFrame, label: str = "region") -> DataFrame:
     """Pixels with `t`: how far they are from the centre of their region, of the farthest one's distance."""
-    s = pixels.join(radial.select("image_id", label, "cx", "cy", F.col("radius").alias("span")), ["image_id", label])
+    s = pixels.join(radial.select("image_id", label, "cx", "cy", F.col("radius").alias("span")).hint("merge"), ["image_id", label])
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     return s.withColumn("t", F.round(F.sqrt(dx * dx + dy * dy) / F.greatest(F.lit(1e-9), F.col("span")), 9)).drop("cx", "cy")
 
@@ -244,7 +244,7 @@ def radial_stops(profiles: DataFrame, radial: DataFrame, bins: int = 24, toleran
     """
     sample = F.struct(((F.col("bin") + 0.5) / bins).alias("offset"), *CHANNELS)
     samples = profiles.groupBy("image_id", label).agg(F.array_sort(F.collect_list(sample)).alias("s"))
-    s = radial.join(samples, ["image_id", label], "left")
+    s = radial.join(samples.hint("merge"), ["image_id", label], "left")
 
     def fitted(offset: float) -> Column:
         channels = [F.greatest(F.lit(0.0), F.least(F.lit(255.0), 255 * (F.col(f"base_{c}") + F.col(f"slope_{c}") * F.col("radius") * offset))).alias(c) for c in CHANNELS]
@@ -255,7 +255,7 @@ def radial_stops(profiles: DataFrame, radial: DataFrame, bins: int = 24, toleran
 
 def linear_ends(pixels: DataFrame, linear: DataFrame, label: str = "region") -> DataFrame:
     """(image_id, label, place): x1, y1, x2, y2 of the ramp's line through the centre, in units of pixels."""
-    s = pixels.join(linear.select("image_id", label, "cx", "cy", "ux", "uy"), ["image_id", label])
+    s = pixels.join(linear.select("image_id", label, "cx", "cy", "ux", "uy").hint("merge"), ["image_id", label])
     along = F.col("x") * F.col("ux") + F.col("y") * F.col("uy")
     s = s.groupBy("image_id", label, "cx", "cy", "ux", "uy").agg(F.min(along).alias("from"), F.max(along).alias("to"))
     middle = F.col("cx") * F.col("ux") + F.col("cy") * F.col("uy")
@@ -273,7 +273,7 @@ def colour_at(stops: Column, t: Column, channel: str) -> Column:
 def fill_errors(placed: DataFrame, stops: DataFrame, label: str = "region") -> DataFrame:
     """Squared error of each region drawn flat and drawn with its stops; `kept` where the gradient is no worse."""
     means = placed.groupBy("image_id", label).agg(*[F.avg(c).alias(f"_m{c}") for c in CHANNELS])
-    p = placed.join(stops, ["image_id", label]).join(means, ["image_id", label])
+    p = placed.join(stops.hint("merge"), ["image_id", label]).join(means.hint("merge"), ["image_id", label])
     d = lambda c, to: (F.col(c) - to) * (F.col(c) - to)
     flat = sum((d(c, F.col(f"_m{c}")) for c in CHANNELS), F.lit(0.0))
     drawn = sum((d(c, colour_at(F.col("stops"), F.col("t"), c)) for c in CHANNELS), F.lit(0.0))

@@ -44,7 +44,7 @@ def colours_of(pixels: DataFrame, options: Options) -> DataFrame:
     """(image_id, label, weight, r, g, b, l, m, n): clustered colours without blends of heavier ones, and those of details."""
     found = save(palette.extract(images.palette_bins(images.palette_pixels(pixels)), most=options.colours, reach=options.merge), "clusters")
     blends = images.blend_colours(found)
-    kept = save(found.join(blends, ["image_id", "label"], "left_anti"), "palette")
+    kept = save(found.join(blends.hint("merge"), ["image_id", "label"], "left_anti"), "palette")
     if not options.detail_pixels:
         return kept.select("image_id", F.col("label").cast("long").alias("label"), F.col("weight").cast("long").alias("weight"), *[F.col(c).cast("int").alias(c) for c in "rgb"], *"lmn")
     return save(details.with_details(pixels, kept, options.merge, options.detail_pixels, options.colours), "palette-with-details")
@@ -62,12 +62,12 @@ def labels_of(pixels: DataFrame, tints: DataFrame, options: Options) -> DataFram
 def ramps_of(pixels: DataFrame, parts: DataFrame, bins: int = 24) -> DataFrame:
     """(image_id, region, place, stops, shape, number): regions that a linear gradient draws better than one colour, numbered
     from 0 in an image by their first pixel. `parts` are (image_id, x, y, region) of what may be seen."""
-    p = save(gradients.edge_distance(parts.join(pixels.select("image_id", "x", "y", *"rgb"), ["image_id", "x", "y"])), "distances")
+    p = save(gradients.edge_distance(parts.join(pixels.select("image_id", "x", "y", *"rgb").hint("merge"), ["image_id", "x", "y"])), "distances")
     linear = save(gradients.linear_ramps(p).where(gradients.has_ramp()), "ramps")
     placed = gradients.along_axis(p, linear)
     stops = save(gradients.linear_stops(gradients.profile(placed, bins), linear, bins), "stops")
     better = gradients.fill_errors(placed, stops).where("kept").select("image_id", "region")
-    fills = gradients.linear_ends(p, linear).join(stops, ["image_id", "region"]).join(better, ["image_id", "region"])
+    fills = gradients.linear_ends(p, linear).join(stops.hint("merge"), ["image_id", "region"]).join(better.hint("merge"), ["image_id", "region"])
     number = F.row_number().over(Window.partitionBy("image_id").orderBy("region")) - 1
     return fills.select("image_id", "region", "place", "stops", F.lit("linear").alias("shape"), number.alias("number"))
 
@@ -84,14 +84,14 @@ def trace(pixels: DataFrame, options: Options = Options(), tints: DataFrame | No
     fitted = save(curves.fitted_chains(save(curves.region_chains(labels), "chains"), fit), "fitted-chains")
     parts = save(regions.components(labels).select("image_id", "x", "y", F.col("label").cast("long").alias("label"), F.col("root").alias("region")), "parts")
     paint = tints.select("image_id", F.col("label").cast("long").alias("label"), color.hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"))
-    paints = parts.select("image_id", "region", "label").distinct().join(paint, ["image_id", "label"], "left").select("image_id", "region", F.when(F.col("label") >= 0, F.col("colour")).alias("colour"))
+    paints = parts.select("image_id", "region", "label").distinct().join(paint.hint("merge"), ["image_id", "label"], "left").select("image_id", "region", F.when(F.col("label") >= 0, F.col("colour")).alias("colour"))
     sizes = labels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     if not options.gradients:
         return curves.draw(curves.region_loops(fitted), paints, sizes, options.stacked)
     fills = save(ramps_of(pixels, parts.where("label >= 0").select("image_id", "x", "y", "region")), "fills")
     url = F.concat(F.lit("url(#g"), F.col("number").cast("string"), F.lit(")"))
-    paints = paints.join(fills.select("image_id", "region", url.alias("_fill")), ["image_id", "region"], "left").select("image_id", "region", F.coalesce("_fill", "colour").alias("colour"))
-    drawn = curves.draw(curves.region_loops(fitted), paints, sizes, options.stacked).join(markup.gradient_definitions(fills), "image_id", "left")
+    paints = paints.join(fills.select("image_id", "region", url.alias("_fill")).hint("merge"), ["image_id", "region"], "left").select("image_id", "region", F.coalesce("_fill", "colour").alias("colour"))
+    drawn = curves.draw(curves.region_loops(fitted), paints, sizes, options.stacked).join(markup.gradient_definitions(fills).hint("merge"), "image_id", "left")
     head = F.concat(F.substring_index("svg", ">", 1), F.lit(">"))
     body = F.substr(F.col("svg"), F.char_length(head) + 1)
     return drawn.select("image_id", "n_paths", F.when(F.col("defs").isNull(), F.col("svg")).otherwise(F.concat(head, "defs", body)).alias("svg"))

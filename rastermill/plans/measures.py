@@ -25,7 +25,7 @@ def img_palette_support(spark, sf_dir):
     """How many pixels tell an image's colours: the flat ones, or all opaque ones where those are too few."""
     p = roles.pixels(spark, sf_dir)
     used = images.palette_pixels(p).groupBy("image_id").agg(F.count("*").alias("used"))
-    return images.palette_support(images.flat_mask(p)).join(used, "image_id", "left").na.fill(0, ["used"])
+    return images.palette_support(images.flat_mask(p)).join(used.hint("merge"), "image_id", "left").na.fill(0, ["used"])
 
 
 _Y = "(0.299::double * r + 0.587::double * g + 0.114::double * b)"

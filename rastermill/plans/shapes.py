@@ -98,7 +98,7 @@ def gradient_fills(spark, sf_dir):
     linear = gradients.linear_ramps(p)
     placed = gradients.along_axis(p, linear)
     stops = gradients.linear_stops(gradients.profile(placed, bins=6, least=3), linear, bins=6)
-    return gradients.fill_errors(placed, stops).join(stops, ["image_id", "region"]).where("kept").select("image_id", "region", F.round("flat_error", 4).alias("flat_error"), F.round("gradient_error", 4).alias("gradient_error"), "stops")
+    return gradients.fill_errors(placed, stops).join(stops.hint("merge"), ["image_id", "region"]).where("kept").select("image_id", "region", F.round("flat_error", 4).alias("flat_error"), F.round("gradient_error", 4).alias("gradient_error"), "stops")
 
 
 _RIMS = f"(with d as (select p.*, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) as d from {_DISTANCES} p join {_RAMPS} f on p.image_id = f.image_id and p.region = f.region) select *, round(d / greatest(1e-9, max(d) over (partition by image_id, region)), 9) as t from d)"
@@ -143,7 +143,7 @@ def gradient_definitions(spark, sf_dir):
     profile = gradients.profile(gradients.along_axis(p, linear), bins=3, least=3)
     sample = F.struct(((F.col("bin") + 0.5) / 3).alias("offset"), "r", "g", "b")
     stops = profile.groupBy("image_id", "region").agg(F.array_sort(F.collect_list(sample)).alias("stops"))
-    return markup.gradient_definitions(gradients.linear_ends(p, linear).join(stops, ["image_id", "region"]).withColumn("shape", F.lit("linear")))
+    return markup.gradient_definitions(gradients.linear_ends(p, linear).join(stops.hint("merge"), ["image_id", "region"]).withColumn("shape", F.lit("linear")))
 
 
 # borders
@@ -169,7 +169,7 @@ def img_edge_ratio(spark, sf_dir):
     """Edges of each image on white, against those left in its half-size version blown up again."""
     p = roles.pixels(spark, sf_dir)
     truth, traced = (edges.edge_pixels(edges.composite_white(x)) for x in (p, _grown(p)))
-    both = truth.join(traced.withColumnRenamed("edges", "traced_edges"), "image_id")
+    both = truth.join(traced.withColumnRenamed("edges", "traced_edges").hint("merge"), "image_id")
     return both.withColumn("edge_ratio", F.round(F.try_divide(F.col("traced_edges"), F.col("edges")), 6))
 
 
@@ -202,7 +202,7 @@ def _with_tints(spark, sf_dir):
     found = regions.components(_labels(spark, sf_dir).withColumnRenamed("region", "label")).withColumnRenamed("root", "region")
     p = roles.pixels(spark, sf_dir)
     tints = p.groupBy("image_id", (F.col("r") / 60).cast("long").alias("label")).agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgb"])
-    return found.join(p, ["image_id", "x", "y"]), tints
+    return found.join(p.hint("merge"), ["image_id", "x", "y"]), tints
 
 
 @query()
