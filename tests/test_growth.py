@@ -37,3 +37,16 @@ def test_tasks_grow_in_number(spark, sketches, monkeypatch):
     want = -(-p.count() // 200)
     assert shared.tasks_for(p) == want > 10
     assert details.ridge_hits(p, 32).rdd.getNumPartitions() == details.resample(p, details.bilinear(2)).rdd.getNumPartitions() == want
+
+
+def test_drawings_know_their_left_neighbours(spark):
+    from pyspark.sql import Window
+
+    from rastermill.sources import roles
+
+    p = roles.drawings(spark, SF, 64, beside=True)
+    lag = F.lag("r").over(Window.partitionBy("image_id", "y").orderBy("x"))
+    assert p.withColumn("lag", lag).where(~F.col("before").eqNullSafe(F.col("lag"))).count() == 0
+    from rastermill.plans import traces
+
+    assert "Sort " not in plan(traces.drawing_statistics(spark, SF))
