@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, MOST_SEEDS = 6, 1025
+#: Colours that leave a task together.
+TOGETHER = 1 << 12
 
 
 def cluster(weight: np.ndarray, sums: np.ndarray, squares: np.ndarray, most: int = 48, reach: float = 0.05, least: float = 0.001) -> list[np.ndarray]:
@@ -60,15 +62,24 @@ def extract(bins: DataFrame, most: int = 48, reach: float = 0.05) -> DataFrame:
     order = F.struct((-F.col("weight")).alias("o"), "bin_l", "bin_m", "bin_n", F.col("weight").cast("double").alias("w"), *[F.col(c).cast("double").alias(c) for c in sums], "sum_sq")
     images = bins.groupBy("image_id").agg(F.array_sort(F.collect_list(order)).alias("c")).select("image_id", *[F.col(f"c.{k}").alias(k) for k in ("w", *sums, "sum_sq")])
 
+    def rows(done: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        n = [len(g) for _, g in done]
+        g = np.concatenate([g for _, g in done])
+        means = g[:, 1:7] / g[:, :1]
+        columns = [np.repeat(np.array([i for i, _ in done], np.int64), n), np.concatenate([np.arange(k, dtype=np.int32) for k in n]), g[:, 0], *means[:, :3].T, *np.floor(means[:, 3:] + 0.5).T]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["image_id", "label", "weight", "l", "m", "n", "r", "g", "b"])
+
     def run(batches):
+        done, held = [], 0
         for t in batches:
-            rows = []
             for i in range(t.num_rows):
                 w, *s, q = (t.column(k)[i].values.to_numpy() for k in ("w", *sums, "sum_sq"))
-                for label, g in enumerate(cluster(w, np.stack(s, axis=1), q, most, reach)):
-                    rows.append((t.column("image_id")[i].as_py(), label, g[0], *(g[1:4] / g[0]), *np.floor(g[4:7] / g[0] + 0.5)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "label", "weight", "l", "m", "n", "r", "g", "b"])
+                done.append((t.column("image_id")[i].as_py(), np.stack(cluster(w, np.stack(s, axis=1), q, most, reach))))
+                held += len(done[-1][1])
+                if held >= TOGETHER:
+                    yield rows(done)
+                    done, held = [], 0
+        if done:
+            yield rows(done)
 
     return images.mapInArrow(run, "image_id long, label int, weight double, l double, m double, n double, r double, g double, b double")
