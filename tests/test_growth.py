@@ -50,3 +50,11 @@ def test_drawings_know_their_left_neighbours(spark):
     from rastermill.plans import traces
 
     assert "Sort " not in plan(traces.drawing_statistics(spark, SF))
+
+
+def test_pixels_on_no_grid_are_not_moved(spark):
+    rows = [(k, x, y) for k, n in enumerate((8, 12, 20)) for x in range(n) for y in range(n)]
+    p = spark.createDataFrame(rows, "image_id long, x int, y int")
+    got = {(r.image_id, r.x, r.y) for r in images.sampled(p, 16).collect()}
+    assert got == {(k, x, y) for k, x, y in rows if x % (2, 3, 5)[k] == y % (2, 3, 5)[k] == 0}
+    assert "% 5" in plan(images.sampled(p, 16))
