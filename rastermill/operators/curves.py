@@ -8,7 +8,7 @@ kept as angles.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import asin, atan2, cos, hypot, pi, sin
 
 import numpy as np
@@ -24,12 +24,14 @@ from .regions import STEPS, component_roots, components, dense, grids, merge_sma
 @dataclass(frozen=True)
 class Fit:
     """How chains are fitted: pixels that a side may be off, sharpness beyond which a vertex is a corner, pixels
-    that merged curves may be off, and whether vertices of straight outlines go back to the pixel grid."""
+    that merged curves may be off, whether vertices of straight outlines go back to the pixel grid, and pixels that a
+    path may stray from its chain in all."""
 
     reach: float = 0.9
     corner: float = 1.0
     merge: float = 0.3
     snap: bool = False
+    stray: float = 1.0
 
 
 # ---------------------------------------------------------------- chains of an image
@@ -427,6 +429,22 @@ def deviation(points: np.ndarray, closed: bool, start: np.ndarray, segments: lis
     return worst
 
 
+def fit_within(points: np.ndarray, closed: bool, fit: Fit = Fit()) -> tuple[np.ndarray, list, float]:
+    """(start, segments, deviation) of `fit_chain`, at most `fit.stray` from the chain.
+
+    What each step may be off adds up. A path beyond that is fitted again with curves merged less, not merged, and without
+    curves; the chain itself is the last resort.
+    """
+    for f in (fit, replace(fit, merge=fit.merge / 2), replace(fit, merge=0.0), replace(fit, merge=0.0, corner=0.0)):
+        start, segments = fit_chain(points, closed, f)
+        off = deviation(points, closed, start, segments)
+        if off <= fit.stray:
+            return start, segments, off
+    p = np.asarray(points).astype(float)
+    start, segments = p[0], merged_lines(p[0], [("L", q) for q in (np.vstack([p[1:], p[:1]]) if closed else p[1:])])
+    return start, segments, deviation(points, closed, start, segments)
+
+
 def number(v: float, digits: int) -> str:
     text = f"{round(v, digits) + 0.0:.{digits}f}"
     return (text.rstrip("0").rstrip(".") if "." in text else text).replace("-0.", "-.").removeprefix("0") or "0"
@@ -467,14 +485,15 @@ def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2) -> DataFr
     # a fixed number of tasks, as for `dense`: fitting is not in proportion to bytes
     spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "chain")
 
+    def fitted(closed, xs, ys):
+        points = np.stack([xs, ys], axis=1)
+        start, segments, off = fit_within(points, closed, fit)
+        end, back = backwards(start, segments)
+        return path_of(start, segments, digits, move=False), path_of(end, back, digits, move=False), *map(float, start), *map(float, end), len(segments), sum(s[0] == "C" for s in segments), off, shoelace(points, closed)
+
     def run(batches):
         for b in batches:
-            out = []
-            for closed, xs, ys in zip(b.column("closed").to_pylist(), b.column("xs"), b.column("ys"), strict=True):
-                points = np.stack([xs.values.to_numpy(), ys.values.to_numpy()], axis=1)
-                start, segments = fit_chain(points, closed, fit)
-                end, back = backwards(start, segments)
-                out.append((path_of(start, segments, digits, move=False), path_of(end, back, digits, move=False), *map(float, start), *map(float, end), len(segments), sum(s[0] == "C" for s in segments), deviation(points, closed, start, segments), shoelace(points, closed)))
+            out = [fitted(closed, xs.values.to_numpy(), ys.values.to_numpy()) for closed, xs, ys in zip(b.column("closed").to_pylist(), b.column("xs"), b.column("ys"), strict=True)]
             kinds = [pa.string(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 10
             names = ["path", "back", "x1", "y1", "x2", "y2", "segments", "curves", "off", "shoe"]

@@ -204,3 +204,14 @@ def test_drawn_regions_cover_the_image_without_gaps(spark):
     for colour, d in re.findall(r'fill="([^"]+)"[^>]* d="([^"]*)"', stacked["svg"]):
         paint[filled(sampled(d), grid.shape)] = (int(colour[1:3], 16) - 10) // 10
     assert not ((paint != grid) & ~border).any() and 'viewBox="0 0 48 40"' in stacked["svg"]
+
+
+def test_no_path_strays_more_than_a_pixel():
+    y, x = np.mgrid[:256, :256]
+    disc = ((2 * x - 255) ** 2 + (2 * y - 255) ** 2 <= (246 + 64) ** 2).astype(int)  # each step within its limit, all together 1.03 off
+    fits = [(p, closed, curves.fit_within(p, closed)) for _, _, closed, p in curves.chains(component_roots(disc))]
+    assert max(off for _, _, (*_, off) in fits) <= 1 < max(curves.deviation(p, c, *curves.fit_chain(p, c)) for p, c, _ in fits)
+    assert all(off == curves.deviation(p, c, start, segments) for p, c, (start, segments, off) in fits)
+    p, c, _ = fits[1]
+    start, segments, off = curves.fit_within(p, c, curves.Fit(stray=1e-9))
+    assert off < 1e-9 and all(kind == "L" for kind, *_ in segments) and (start == p[0]).all() and (segments[-1][-1] == p[-1]).all()
