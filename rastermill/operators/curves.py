@@ -479,6 +479,10 @@ def region_chains(labels: DataFrame, min_area: int = 1) -> DataFrame:
     return dense(labels).mapInArrow(run, "image_id long, chain int, left long, right long, closed boolean, xs array<int>, ys array<int>")
 
 
+#: Fits that a task remembers, of chains of at most so many points: between small regions the same few come up again and again.
+REMEMBERED, SHORT = 50_000, 64
+
+
 def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2) -> DataFrame:
     """`region_chains` with `path` (data without the first move), `back` (the other way round), the start and end,
     `segments`, `curves`, `off`, the largest distance from the pixel sides, and `shoe` (`shoelace`). A chain is a unit of work."""
@@ -492,8 +496,23 @@ def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2) -> DataFr
         return path_of(start, segments, digits, move=False), path_of(end, back, digits, move=False), *map(float, start), *map(float, end), len(segments), sum(s[0] == "C" for s in segments), off, shoelace(points, closed)
 
     def run(batches):
+        known = {}
         for b in batches:
-            out = [fitted(closed, xs.values.to_numpy(), ys.values.to_numpy()) for closed, xs, ys in zip(b.column("closed").to_pylist(), b.column("xs"), b.column("ys"), strict=True)]
+            out = []
+            x, y = b.column("xs"), b.column("ys")
+            ends, xs, ys = x.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
+            shift = (y.offsets.to_numpy() - ends).tolist()
+            for closed, i, j, d in zip(b.column("closed").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), shift, strict=False):
+                px, py = xs[i:j], ys[i + d : j + d]
+                if j - i > SHORT:
+                    out.append(fitted(closed, px, py))
+                    continue
+                key = closed, px.tobytes(), py.tobytes()
+                if key not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = fitted(closed, px, py)
+                out.append(known[key])
             kinds = [pa.string(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 10
             names = ["path", "back", "x1", "y1", "x2", "y2", "segments", "curves", "off", "shoe"]

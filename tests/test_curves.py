@@ -215,3 +215,25 @@ def test_no_path_strays_more_than_a_pixel():
     p, c, _ = fits[1]
     start, segments, off = curves.fit_within(p, c, curves.Fit(stray=1e-9))
     assert off < 1e-9 and all(kind == "L" for kind, *_ in segments) and (start == p[0]).all() and (segments[-1][-1] == p[-1]).all()
+
+
+def test_chains_that_come_again_are_fitted_once(spark, monkeypatch, tmp_path):
+    cells = [(k, i % 8, i // 8, (i * i // 7 + k % 3) % 4) for k in range(12) for i in range(64)]
+    found = curves.region_chains(spark.createDataFrame(cells, "image_id long, x int, y int, label long").coalesce(1))
+    log, real = str(tmp_path / "fits"), curves.fit_within
+
+    def counted(points, closed, fit):
+        with open(log, "a") as f:
+            f.write("x")
+        return real(points, closed, fit)
+
+    monkeypatch.setattr(curves, "fit_within", counted)
+    got = {(r.image_id, r.chain): r for r in curves.fitted_chains(found.repartition(1)).collect()}
+    with open(log) as f:
+        fits = len(f.read())
+    assert fits < len(got) / 2
+    for r in got.values():
+        points = np.stack([r.xs, r.ys], axis=1)
+        start, segments, off = real(points, r.closed)
+        end, back = curves.backwards(start, segments)
+        assert (r.path, r.back, r.x1, r.y2, r.off) == (curves.path_of(start, segments, move=False), curves.path_of(end, back, move=False), start[0], end[1], off)
