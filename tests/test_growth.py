@@ -58,3 +58,13 @@ def test_pixels_on_no_grid_are_not_moved(spark):
     got = {(r.image_id, r.x, r.y) for r in images.sampled(p, 16).collect()}
     assert got == {(k, x, y) for k, x, y in rows if x % (2, 3, 5)[k] == y % (2, 3, 5)[k] == 0}
     assert "% 5" in plan(images.sampled(p, 16))
+
+
+def test_drawn_pixels_are_not_moved(spark):
+    from rastermill.operators import labelling
+    from rastermill.plans import traces
+
+    labels = labelling.blended(*traces._small(spark, SF))
+    shown = labels._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in shown  # pictures are dealt out, once for each side
+    assert labels.select("image_id").count() == 10
