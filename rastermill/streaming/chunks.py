@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import os
 import tempfile
+from itertools import chain, islice
 
 import pandas as pd
 import pyarrow as pa
@@ -40,3 +41,19 @@ def in_order(frames, *by: str):
         if held:
             runs.append(pd.concat(held).sort_values(list(by)).itertuples(index=False))
         yield from heapq.merge(*runs, key=rank) if len(runs) > 1 else iter(runs[0] if runs else ())
+
+
+def rows_in_order(rows, *by: str):
+    """The same for rows that come one by one: few are sorted as they are, without a frame or a folder."""
+    rows = iter(rows)
+    held = list(islice(rows, RUN))
+    if len(held) < RUN:
+        return iter(sorted(held, key=lambda row: tuple((True, 0) if row[c] is None else (False, row[c]) for c in by)))
+    names = list(held[0].asDict())
+
+    def frames():
+        more = chain(held, rows)
+        while part := list(islice(more, RUN)):
+            yield pd.DataFrame([tuple(r) for r in part], columns=names)
+
+    return in_order(frames(), *by)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.rules import MAX_ATTEMPTS
 from ..sources import roles
-from ..sources.shared import shared_dir
-from .chunks import in_order
+from .chunks import rows_in_order
+from .leases import to_the_end
 
 STATE = "status string, attempts int, refunds int"
 
@@ -39,21 +36,30 @@ def deliveries(events: DataFrame) -> DataFrame:
     return events.select(F.floor(F.col("event_id") / 8).alias("job_id"), F.col("event_id").alias("delivery_id"), F.col("ts").alias("made_at"), outcome.alias("outcome"))
 
 
-def step(key, frames, state):
-    status, attempts, refunds = state.get if state.exists else ("queued", 0, 0)
-    for row in in_order(frames, "made_at", "delivery_id"):
-        status, attempts, _, refund = decide(status, attempts, row.outcome)
-        refunds += refund
-    state.update((status, attempts, refunds))
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "refunds": [refunds]})
+class Lifecycle(StatefulProcessor):
+    """One value a job."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.job = handle.getValueState("job", STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        status, attempts, refunds = self.job.get() or ("queued", 0, 0)
+        for row in rows_in_order(rows, "made_at", "delivery_id"):
+            status, attempts, _, refund = decide(status, attempts, row.outcome)
+            refunds += refund
+        self.job.update((status, attempts, refunds))
+        yield Row(job_id=key[0], status=status, attempts=attempts, refunds=refunds)
+
+    def close(self) -> None:
+        pass
+
+
+def states(deliveries: DataFrame) -> DataFrame:
+    """A stream of (job_id, status, attempts, refunds), a row whenever a job has deliveries. The state store must be RocksDB."""
+    return deliveries.groupBy("job_id").transformWithState(statefulProcessor=Lifecycle(), outputStructType="job_id long, " + STATE, outputMode="Update", timeMode="None")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read all that is there, once, and return each job's last state."""
-    events = spark.readStream.schema(roles.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    at = f"{shared_dir(spark)}/rastermill-stream-{uuid.uuid4().hex}"
-    states = deliveries(events).groupBy("job_id").applyInPandasWithState(step, "job_id long, " + STATE, STATE, "update", GroupStateTimeout.NoTimeout)
-    query = states.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = spark.read.parquet(f"{at}/out").groupBy("job_id").agg(F.max(F.struct("batch", "status", "attempts", "refunds")).alias("s"))
-    return last.select("job_id", "s.status", "s.attempts", "s.refunds")
+    events = lambda: spark.readStream.schema(roles.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return to_the_end(spark, lambda: states(deliveries(events())), ["job_id"], ["status", "attempts", "refunds"])
