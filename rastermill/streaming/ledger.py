@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources import roles
-from .chunks import in_order
+from .chunks import rows_in_order
 from .leases import to_the_end
 
+#: Entries of one user that a batch remembers itself; the state is asked for more.
+KNOWN = 100_000
 OUTPUT = "user_id long, balance long, accepted long, rejected long"
 
 
@@ -40,17 +42,22 @@ class Ledger(StatefulProcessor):
         self.seen = handle.getMapState("seen", "entry string", "known boolean", self.remember)
 
     def handleInputRows(self, key, rows, timerValues):
-        balance, accepted, rejected = tuple(self.totals.get()) if self.totals.exists() else (0, 0, 0)
-        for row in in_order(rows, "made_at", "request_id"):
+        totals, known = self.totals.get(), set()
+        balance, accepted, rejected = totals or (0, 0, 0)
+        for row in rows_in_order(rows, "made_at", "request_id"):
             job = None if pd.isna(row.job_id) else int(row.job_id)
-            entry = (entry_key(row.request_id, row.type, job, None if pd.isna(row.grant_key) else row.grant_key),)
-            if self.seen.containsKey(entry):
+            entry = entry_key(row.request_id, row.type, job, None if pd.isna(row.grant_key) else row.grant_key)
+            if entry in known:
                 continue
-            self.seen.updateValue(entry, (True,))
+            if len(known) < KNOWN:
+                known.add(entry)
+            if (totals is not None or len(known) >= KNOWN) and self.seen.containsKey((entry,)):  # a new user has no entries but this batch's
+                continue
+            self.seen.updateValue((entry,), (True,))
             balance, ok = apply_entry(balance, row.type, int(row.amount))
             accepted, rejected = accepted + ok, rejected + (not ok)
         self.totals.update((balance, accepted, rejected))
-        yield pd.DataFrame({"user_id": [int(key[0])], "balance": [balance], "accepted": [accepted], "rejected": [rejected]})
+        yield Row(user_id=int(key[0]), balance=balance, accepted=accepted, rejected=rejected)
 
     def close(self) -> None:
         pass
@@ -58,7 +65,7 @@ class Ledger(StatefulProcessor):
 
 def balances(requests: DataFrame, remember: int | None = None) -> DataFrame:
     """A stream of each user's balance after every batch that touched it. The session's state store must be RocksDB."""
-    return requests.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Ledger(remember), outputStructType=OUTPUT, outputMode="Update", timeMode="None" if remember is None else "ProcessingTime")
+    return requests.groupBy("user_id").transformWithState(statefulProcessor=Ledger(remember), outputStructType=OUTPUT, outputMode="Update", timeMode="None" if remember is None else "ProcessingTime")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
