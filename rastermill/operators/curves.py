@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..sources.shared import save
-from .regions import STEPS, component_roots, components, dense, grids, merge_small
+from .regions import STEPS, TOGETHER, component_roots, dense, gathered, grids, merge_small
 
 
 @dataclass(frozen=True)
@@ -42,14 +42,33 @@ def chains(regions: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:
 
     Junctions, where three or more sides meet, end a chain. A closed chain's first corner isn't repeated.
     """
+    (left, right, xs, ys), longer = cut_sides(regions)
+    return [*[(p, q, closed, np.array(points)) for p, q, closed, points in longer], *[(p, q, False, np.stack([x, y], axis=1)) for p, q, x, y in zip(left.tolist(), right.tolist(), xs, ys, strict=True)]]
+
+
+def cut_sides(regions: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, bool, list]]]:
+    """`chains` of one side, all at once as (left, right, xs, ys), and the longer ones, which are walked along, corners as pairs.
+
+    Between small regions most sides have a junction at either end.
+    """
     h, w = regions.shape
     p = np.pad(regions.astype(np.int64), 1, constant_values=-1)
     flat, down = p[:-1, 1:-1] != p[1:, 1:-1], p[1:-1, :-1] != p[1:-1, 1:]
-    degree = np.zeros((h + 1, w + 1), np.int8)
-    degree[:, :-1] += flat
-    degree[:, 1:] += flat
-    degree[:-1] += down
-    degree[1:] += down
+
+    def met(across: np.ndarray, along: np.ndarray) -> np.ndarray:
+        n = np.zeros((h + 1, w + 1), np.int8)
+        n[:, :-1] += across
+        n[:, 1:] += across
+        n[:-1] += along
+        n[1:] += along
+        return n
+
+    degree = met(flat, down)
+    ends = degree > 2
+    east, south = flat & ends[:, :-1] & ends[:, 1:], down & ends[:-1] & ends[1:]
+    (y, x), (v, u) = np.nonzero(east), np.nonzero(south)
+    single = np.r_[p[y, x + 1], p[v + 1, u + 1]], np.r_[p[y + 1, x + 1], p[v + 1, u]], np.stack([np.r_[x, u], np.r_[x + 1, u]], axis=1), np.stack([np.r_[y, v], np.r_[y, v + 1]], axis=1)
+    flat, down = flat & ~east, down & ~south
     left_of = p.tolist()
     flat_left, down_left, degrees = flat.tolist(), down.tolist(), degree.tolist()
 
@@ -77,19 +96,19 @@ def chains(regions: np.ndarray) -> list[tuple[int, int, bool, np.ndarray]]:
             take(x, y, way)
             x, y = x + STEPS[way][0], y + STEPS[way][1]
             if (x, y) == points[0] and degrees[y][x] == 2:
-                return (*beside, True, np.array(points))
+                return (*beside, True, points)
             points.append((x, y))
             if degrees[y][x] != 2:
-                return (*beside, False, np.array(points))
+                return (*beside, False, points)
             way = next(k for k in range(4) if has(x, y, k))
 
     out = []
-    for y, x in np.argwhere(degree > 2).tolist():
+    for y, x in np.argwhere(ends & (met(flat, down) > 0)).tolist():
         out += [walk(x, y, way) for way in range(4) if has(x, y, way)]
     for y, x in np.argwhere(flat).tolist():
         if flat_left[y][x]:
             out.append(walk(x, y, 0))
-    return out
+    return single, out
 
 
 # ---------------------------------------------------------------- polygons
@@ -468,57 +487,110 @@ def region_chains(labels: DataFrame, min_area: int = 1) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for image, grid in zip(b.column("image_id").to_pylist(), grids(b), strict=True):
-                found = chains(component_roots(merge_small(grid, min_area) if min_area > 1 else grid))
-                rows += [(image, k, left, right, closed, p[:, 0], p[:, 1]) for k, (left, right, closed, p) in enumerate(found)]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["image_id", "chain", "left", "right", "closed", "xs", "ys"])
-
-    return dense(labels).mapInArrow(run, "image_id long, chain int, left long, right long, closed boolean, xs array<int>, ys array<int>")
+            yield chain_rows(b.column("image_id").to_pylist(), [merge_small(grid, min_area) if min_area > 1 else grid for grid in grids(b)])
+
+    return dense(labels).mapInArrow(run, CHAINS)
+
+
+CHAINS = "image_id long, chain int, left long, right long, closed boolean, xs array<int>, ys array<int>"
+
+
+def piled(pictures: list[np.ndarray]):
+    """(numbers of pictures, pile): pictures of one shape on top of each other with an empty row, -1, below each, few or small enough for
+    `TOGETHER` pixels, so that array steps are paid for once; what lies in different pictures never touches."""
+    by_shape: dict[tuple, list[int]] = {}
+    for k, grid in enumerate(pictures):
+        by_shape.setdefault(grid.shape, []).append(k)
+    for (h, w), numbers in by_shape.items():
+        most = max(1, TOGETHER // ((h + 1) * w))
+        for i in range(0, len(numbers), most):
+            some = numbers[i : i + most]
+            pile = np.full((len(some), h + 1, w), -1, np.int64)
+            for k, n in enumerate(some):
+                pile[k, :h] = pictures[n]
+            yield some, pile
+
+
+def piled_roots(pile: np.ndarray) -> np.ndarray:
+    """For each pixel of a pile the smallest row-major index, in the pile, of its region; -1 in the empty rows."""
+    n, tall, w = pile.shape
+    names = np.unique(pile, return_inverse=True)[1].reshape(pile.shape)
+    names[:, -1] = -1  # a label may be -1 itself
+    roots = component_roots(names.reshape(-1, w)).reshape(pile.shape)
+    roots[:, -1] = -1
+    return roots
+
+
+def chain_rows(images: list[int], pictures: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of `region_chains` of images and the labels of their pixels."""
+    parts = []
+    for numbers, pile in piled(pictures):
+        tall, w = pile.shape[1:]
+        (left, right, xs, ys), longer = cut_sides(piled_roots(pile).reshape(-1, w))
+        lefts, rights, closed, paths = zip(*longer, strict=True) if longer else ((), (), (), ())
+        path = np.array([c for p in paths for c in p], np.int64).reshape(-1, 2)
+        size = np.r_[np.full(len(left), 2), np.array([len(p) for p in paths], np.int64)]
+        xs, ys = np.r_[xs.ravel(), path[:, 0]], np.r_[ys.ravel(), path[:, 1]]
+        of = ys[np.cumsum(size) - size] // tall
+        beside = [np.where(v < 0, -1, v - of * tall * w) for v in (np.r_[left, np.array(lefts, np.int64)], np.r_[right, np.array(rights, np.int64)])]
+        order, chain = np.argsort(of, kind="stable"), np.zeros(len(of), np.int64)
+        counts = np.bincount(of, minlength=len(numbers))
+        chain[order] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        parts.append((np.array(images, np.int64)[numbers][of], chain, *beside, np.r_[np.zeros(len(left), bool), np.array(closed, bool)], size, xs, ys - np.repeat(of, size) * tall))
+    ids, chain, left, right, closed, size, xs, ys = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 8
+    offsets = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (xs, ys)]
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(chain, pa.int32()), pa.array(left), pa.array(right), pa.array(closed.astype(bool)), *lists], ["image_id", "chain", "left", "right", "closed", "xs", "ys"])
 
 
 #: Fits that a task remembers, of chains of at most so many points: between small regions the same few come up again and again.
 REMEMBERED, SHORT = 50_000, 64
 
 
-def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2) -> DataFrame:
+def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2, points: bool = True) -> DataFrame:
     """`region_chains` with `path` (data without the first move), `back` (the other way round), the start and end,
-    `segments`, `curves`, `off`, the largest distance from the pixel sides, and `shoe` (`shoelace`). A chain is a unit of work."""
+    `segments`, `curves`, `off`, the largest distance from the pixel sides, and `shoe` (`shoelace`). A chain is a unit of work.
+
+    `points` tells whether `xs` and `ys` are kept."""
     # a fixed number of tasks, as for `dense`: fitting is not in proportion to bytes
     spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "chain")
 
     def fitted(closed, xs, ys):
-        points = np.stack([xs, ys], axis=1)
-        start, segments, off = fit_within(points, closed, fit)
+        corners = np.stack([xs, ys], axis=1)
+        start, segments, off = fit_within(corners, closed, fit)
         end, back = backwards(start, segments)
-        return path_of(start, segments, digits, move=False), path_of(end, back, digits, move=False), *map(float, start), *map(float, end), len(segments), sum(s[0] == "C" for s in segments), off, shoelace(points, closed)
+        return path_of(start, segments, digits, move=False), path_of(end, back, digits, move=False), *map(float, start), *map(float, end), len(segments), sum(s[0] == "C" for s in segments), off, shoelace(corners, closed)
 
     def run(batches):
         known = {}
         for b in batches:
-            out = []
+            out, own, at = [], {}, []  # equal fits are one row of `out`; `at` tells which a chain has
             x, y = b.column("xs"), b.column("ys")
             ends, xs, ys = x.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
             shift = (y.offsets.to_numpy() - ends).tolist()
-            for closed, i, j, d in zip(b.column("closed").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), shift, strict=False):
+            for closed, i, j, d in zip(b.column("closed").to_numpy(zero_copy_only=False).tolist(), ends[:-1].tolist(), ends[1:].tolist(), shift, strict=False):
                 px, py = xs[i:j], ys[i + d : j + d]
                 if j - i > SHORT:
+                    at.append(len(out))
                     out.append(fitted(closed, px, py))
                     continue
                 key = closed, px.tobytes(), py.tobytes()
-                if key not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[key] = fitted(closed, px, py)
-                out.append(known[key])
+                if key not in own:
+                    if key not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[key] = fitted(closed, px, py)
+                    own[key] = len(out)
+                    out.append(known[key])
+                at.append(own[key])
             kinds = [pa.string(), pa.string(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.float64(), pa.float64()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 10
             names = ["path", "back", "x1", "y1", "x2", "y2", "segments", "curves", "off", "shoe"]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*b.schema.names, *names])
+            kept = [c for c in b.schema.names if points or c not in ("xs", "ys")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(c, k).take(pa.array(at, pa.int32())) for c, k in zip(columns, kinds, strict=True)]], [*kept, *names])
 
-    return spread.mapInArrow(run, "image_id long, chain int, left long, right long, closed boolean, xs array<int>, ys array<int>, path string, back string, x1 double, y1 double, x2 double, y2 double, segments int, curves int, off double, shoe double")
+    kinds = CHAINS if points else CHAINS.partition(", xs")[0]
+    return spread.mapInArrow(run, kinds + ", path string, back string, x1 double, y1 double, x2 double, y2 double, segments int, curves int, off double, shoe double")
 
 
 def shoelace(points: np.ndarray, closed: bool) -> float:
@@ -529,17 +601,22 @@ def shoelace(points: np.ndarray, closed: bool) -> float:
     return float((a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]).sum())
 
 
-def loops_of(pieces: list[dict], digits: int = 2) -> list[dict]:
-    """Closed loops {path, area, others} of the directed pieces around one region, which lies on their right.
+#: A piece of a region's boundary, in the order in which pieces are sorted.
+PIECE = ("y1", "x1", "y2", "x2", "path", "closed", "shoe", "other")
+
+
+def loops_of(pieces: list[tuple], digits: int = 2) -> list[tuple[str, float, list[int]]]:
+    """Closed loops (path, area, others) of the directed pieces around one region, which lies on their right. Pieces are
+    tuples of what `PIECE` names, sorted.
 
     Where a region touches itself at a junction any way on is right: both ways draw the same area.
     """
     out, begins = [], {}
-    for p in sorted(pieces, key=lambda p: (p["y1"], p["x1"], p["y2"], p["x2"], p["path"])):
-        if p["closed"]:
+    for p in pieces:
+        if p[5]:
             out.append([p])
         else:
-            begins.setdefault((p["x1"], p["y1"]), []).append(p)
+            begins.setdefault((p[0], p[1]), []).append(p)
     while begins:
         first = next(iter(begins))
         loop, at = [], first
@@ -547,26 +624,56 @@ def loops_of(pieces: list[dict], digits: int = 2) -> list[dict]:
             loop.append(begins[at].pop())
             if not begins[at]:
                 del begins[at]
-            at = (loop[-1]["x2"], loop[-1]["y2"])
+            at = loop[-1][2:4]
         out.append(loop)
-    text = lambda loop: f"M{number(loop[0]['x1'], digits)} {number(loop[0]['y1'], digits)}" + "".join(p["path"] for p in loop) + "Z"
-    return [{"path": text(loop), "area": sum(p["shoe"] for p in loop) / 2, "others": sorted({p["other"] for p in loop})} for loop in out]
+    text = lambda loop: f"M{number(loop[0][1], digits)} {number(loop[0][0], digits)}" + "".join([p[4] for p in loop]) + "Z"
+    return [(text(loop), sum(p[6] for p in loop) / 2, sorted({p[7] for p in loop})) for loop in out]
 
 
 def region_loops(fitted: DataFrame) -> DataFrame:
     """(image_id, region, loops): of each region the closed loops around it, outer ones of positive area.
 
-    A region gathers the chains of its own boundary, forwards or backwards: nothing is fitted again.
+    A region gathers the chains of its own boundary, forwards or backwards: nothing is fitted again. Tasks sort the pieces,
+    which may spill, and read a region's one after the other.
     """
-    ahead = fitted.select("image_id", F.col("right").alias("region"), F.struct(F.col("left").alias("other"), "closed", "x1", "y1", "x2", "y2", "path", "shoe").alias("p"))
-    behind = fitted.select("image_id", F.col("left").alias("region"), F.struct(F.col("right").alias("other"), "closed", F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("back").alias("path"), (-F.col("shoe")).alias("shoe")).alias("p"))
-    each = ahead.unionByName(behind).where("region >= 0").groupBy("image_id", "region").agg(F.collect_list("p").alias("pieces"))
+    ahead = F.struct(F.col("right").alias("region"), *[F.col(c) for c in PIECE[:-1]], F.col("left").alias("other"))
+    behind = F.struct(F.col("left").alias("region"), F.col("y2").alias("y1"), F.col("x2").alias("x1"), F.col("y1").alias("y2"), F.col("x1").alias("x2"), F.col("back").alias("path"), "closed", (-F.col("shoe")).alias("shoe"), F.col("right").alias("other"))
+    each = fitted.select("image_id", F.explode(F.array(ahead, behind)).alias("p")).select("image_id", "p.*").where("region >= 0")
+    # a fixed number of tasks, as for `dense`
+    each = each.repartition(int(fitted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "region").sortWithinPartitions("image_id", "region", *PIECE[:5])
     kind = "array<struct<path: string, area: double, others: array<long>>>"
 
+    def lists(values: list[list], flat: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), flat)
+
+    def rows(done: list[tuple[int, int, list]]) -> pa.RecordBatch:
+        loops = [loop for *_, found in done for loop in found]
+        others = [o for *_, o in loops]
+        columns = [pa.array([v for v, *_ in loops], pa.string()), pa.array([a for _, a, _ in loops], pa.float64()), lists(others, pa.array([o for some in others for o in some], pa.int64()))]
+        made = lists([found for *_, found in done], pa.StructArray.from_arrays(columns, ["path", "area", "others"]))
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), made], ["image_id", "region", "loops"])
+
     def run(batches):
+        at, pieces, done = None, [], []
         for b in batches:
-            found = [loops_of(p) for p in b.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("region"), pa.array(found, pa.list_(pa.struct([("path", pa.string()), ("area", pa.float64()), ("others", pa.list_(pa.int64()))])))], ["image_id", "region", "loops"])
+            if not b.num_rows:
+                continue
+            images, regions = (b.column(c).to_numpy() for c in ("image_id", "region"))
+            starts = np.flatnonzero((images[1:] != images[:-1]) | (regions[1:] != regions[:-1])) + 1
+            every = list(zip(*[b.column(c).to_numpy(zero_copy_only=False).tolist() for c in PIECE], strict=True))
+            bounds = [0, *starts.tolist(), len(every)]
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                here = int(images[i]), int(regions[i])
+                if pieces and here != at:
+                    done.append((*at, loops_of(pieces)))
+                    pieces = []
+                at = here
+                pieces += every[i:j]
+            if done:
+                yield rows(done)
+                done = []
+        if pieces:
+            yield rows([(*at, loops_of(pieces))])
 
     return each.mapInArrow(run, f"image_id long, region long, loops {kind}")
 
@@ -591,15 +698,52 @@ def draw(loops: DataFrame, paints: DataFrame, sizes: DataFrame, stacked: bool =
     return drawn.join(sizes.hint("merge"), "image_id").select("image_id", F.size("s").cast("long").alias("n_paths"), F.concat(box, F.array_join(F.col("s.v"), ""), F.lit("</svg>")).alias("svg"))
 
 
-def traced(pixels: DataFrame, labels: DataFrame, fit: Fit = Fit(), stacked: bool = True) -> DataFrame:
-    """(image_id, n_paths, svg) of images from their pixels and labels (image_id, x, y, label; -1: see-through).
+def region_sums(images: DataFrame) -> DataFrame:
+    """(image_id, width, labels, found) of rows of `gathered` with labels, r, g, b: `found` are an image's regions, their labels,
+    how many pixels with colours they have and the sums of these."""
 
-    Each region has the mean colour of its pixels.
+    def run(batches):
+        for b in batches:
+            columns = {c: list(b.column(c)) for c in "rgb"}
+            out = [None] * b.num_rows
+            for numbers, pile in piled(list(grids(b))):
+                tall, w = pile.shape[1:]
+                roots = piled_roots(pile)
+                inside = np.flatnonzero(roots.ravel() >= 0)
+                own, at = np.unique(roots.ravel()[inside], return_inverse=True)
+                rgb = np.stack([np.concatenate([columns[c][n].values.to_numpy() for n in numbers]) for c in "rgb"])
+                told = ~np.isnan(rgb).any(axis=0)
+                sums = [np.bincount(at[told], minlength=len(own)), *[np.bincount(at[told], v[told], len(own)) for v in rgb]]
+                of = own // (tall * w)
+                columns_of = [own - of * tall * w, pile.ravel()[own], *sums]
+                ends = np.cumsum(np.bincount(of, minlength=len(numbers)))[:-1]
+                for n, *values in zip(numbers, *[np.split(v, ends) for v in columns_of], strict=True):
+                    out[n] = values
+            offsets = pa.array(np.cumsum([0, *[len(v[0]) for v in out]]), pa.int32())
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 3
+            fields = [pa.array(np.concatenate([v[k] for v in out]), kind) for k, kind in enumerate(kinds)]
+            found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["region", "label", "n", "r", "g", "b"]))
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("width"), b.column("labels"), found], ["image_id", "width", "labels", "found"])
+
+    return images.mapInArrow(run, "image_id long, width int, labels array<long>, found array<struct<region: long, label: long, n: long, r: double, g: double, b: double>>")
+
+
+def traced(pixels: DataFrame, labels: DataFrame | None = None, fit: Fit = Fit(), stacked: bool = True) -> DataFrame:
+    """(image_id, n_paths, svg) of images from their pixels and labels (image_id, x, y, label; -1: see-through), or from pixels
+    that have a column `label`.
+
+    Each region has the mean colour of its pixels. Pixels are gathered once, by images; from there on only regions and
+    chains are moved.
     """
-    found = save(region_chains(labels), "chains")
-    fitted = save(fitted_chains(found, fit), "fitted-chains")
-    of = components(labels).withColumnRenamed("root", "region")
-    tints = of.join(pixels.select("image_id", "x", "y", *"rgb").hint("merge"), ["image_id", "x", "y"]).groupBy("image_id", "region", "label").agg(*[color.half_up(F.avg(c)).alias(c) for c in "rgb"])
-    paints = tints.select("image_id", "region", F.when(F.col("label") >= 0, color.hex_colour(F.col("r"), F.col("g"), F.col("b"))).alias("colour"))
-    sizes = labels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    both = pixels if labels is None else labels.select("image_id", "x", "y", "label").join(pixels.select("image_id", "x", "y", *"rgb").hint("merge"), ["image_id", "x", "y"], "left")
+    images = save(region_sums(gathered(both.withColumnRenamed("label", "labels"), {"labels": "long", **dict.fromkeys("rgb", "double")})), "regions")
+
+    def cut(batches):
+        for b in batches:
+            yield chain_rows(b.column("image_id").to_pylist(), list(grids(b)))
+
+    fitted = fitted_chains(images.select("image_id", "width", "labels").mapInArrow(cut, CHAINS), fit, points=False)
+    tints = images.select("image_id", F.explode("found").alias("p")).select("image_id", "p.*").where("n > 0")
+    paints = tints.select("image_id", "region", F.when(F.col("label") >= 0, color.hex_colour(*[color.half_up(F.col(c) / F.col("n")) for c in "rgb"])).alias("colour"))
+    sizes = images.select("image_id", "width", (F.size("labels") / F.col("width")).cast("int").alias("height"))
     return draw(region_loops(fitted), paints, sizes, stacked)
