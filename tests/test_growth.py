@@ -70,6 +70,27 @@ def test_drawn_pixels_are_not_moved(spark):
     assert labels.select("image_id").count() == 10
 
 
+def test_labels_of_blends_take_more_tasks_not_larger(spark, tmp_path, monkeypatch):
+    """Pictures of suppliers with large keys, and without a nation or a balance, against the SQL; nothing but pictures is dealt out."""
+    import duckdb
+
+    from rastermill.plans import queries, traces
+    from rastermill.sources import shared
+
+    con, at = duckdb.connect(), tmp_path / "supplier.parquet"
+    con.execute(f"copy (select i * 3000000000 as s_suppkey, case when i <> 3 then i % 7 end::int as s_nationkey, case when i <> 8 then 1234.5 * i - 2000 end::double as s_acctbal from range(12) t(i)) to '{at}' (format parquet)")
+    con.execute(f"create view supplier as select * from '{at}'")
+    monkeypatch.setattr(shared, "PIXELS", 1 << 17)
+    found = queries.QUERIES["labels_of_blends"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 12 * traces._SIDE ** 2 // shared.PIXELS == 6
+    got = found.collect()
+    shown = found._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in shown and "Broadcast" not in shown
+    want = con.execute(f"select image_id, x, y, label from ({queries.ORACLES['labels_of_blends']})").fetchall()
+    assert found.columns == ["image_id", "x", "y", "label"] and len(want) == 12 * 128 * 128
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_slivers_draw_their_pictures_once(spark, monkeypatch):
     from rastermill.plans import engine
 
