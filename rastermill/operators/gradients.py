@@ -76,7 +76,10 @@ def ramps_of(s: DataFrame, label: str = "region") -> DataFrame:
         s = s.withColumn(f"e{c}", F.greatest(F.lit(0.0), F.col(f"c{c}{c}") - F.col(f"a{c}") * F.col(f"cx{c}") - F.col(f"b{c}") * F.col(f"cy{c}")))
     total = lambda f: f("r") + f("g") + f("b")
     gxx, gyy, gxy = (total(lambda c, p=p, q=q: F.col(f"{p}{c}") * F.col(f"{q}{c}")) for p, q in (("a", "a"), ("b", "b"), ("a", "b")))
-    s = s.withColumn("turn", F.atan2(2 * gxy, gxx - gyy) / 2).withColumns({"ux": F.cos("turn"), "uy": F.sin("turn")})
+    # a minus before zero turns a ramp around, and `atan2` here drops it
+    below = (gxy == 0) & F.startswith(gxy.cast("string"), F.lit("-"))
+    turn = F.when(below, -F.atan2(F.lit(0.0), gxx - gyy)).otherwise(F.atan2(2 * gxy, gxx - gyy)) / 2
+    s = s.withColumn("turn", turn).withColumns({"ux": F.cos("turn"), "uy": F.sin("turn")})
     slopes = {f"slope_{c}": (F.col(f"a{c}") * F.col("ux") + F.col(f"b{c}") * F.col("uy")) / 255 for c in CHANNELS}
     s = s.withColumns(slopes | {"rms": F.sqrt(total(lambda c: F.col(f"e{c}")) / (3 * F.col("n"))) / 255, "cx": F.col("sx") / F.col("n"), "cy": F.col("sy") / F.col("n")})
     along = (F.col("cxx") * F.col("ux") * F.col("ux") + 2 * F.col("cxy") * F.col("ux") * F.col("uy") + F.col("cyy") * F.col("uy") * F.col("uy")) / F.col("n")

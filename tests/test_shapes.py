@@ -153,3 +153,20 @@ def test_varying_regions_form_groups(spark):
     varying = spark.createDataFrame([(1, r) for r in (1, 2, 3, 5, 6, 9)] + [(2, 1)], "image_id long, region long")
     pairs = spark.createDataFrame([(1, 1, 3), (1, 2, 3), (1, 3, 4), (1, 4, 5), (1, 5, 6), (1, 8, 9), (2, 1, 3)], "image_id long, low long, high long")
     assert {(r.image_id, r.region): r.grp for r in regions.varying_groups(varying, pairs).collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 5): 5, (1, 6): 5}
+
+
+def test_a_ramp_straight_up_keeps_the_sign_of_zero(spark, tmp_path):
+    """Colours that all fall from row to row, and one that doesn't: the direction is the SQL's, whichever sign its zero has."""
+    import duckdb
+
+    from rastermill.plans import queries
+
+    falling, mixed = [0.2, 0.1, 0.0, -0.1, -0.18, 0.0, 0.0, 0.0], [0.1, 0.0, 0.1, 0.0, -0.1, 0.1, 0.2, 0.2]
+    con, at = duckdb.connect(), tmp_path / "embeddings.parquet"
+    rows = ", ".join(f"({i}, 0, {[v for v in rows for _ in range(8)]}::float[])" for i, rows in enumerate((falling, mixed)))
+    con.execute(f"copy (select * from (values {rows}) t(vec_id, label, embedding)) to '{at}' (format parquet)")
+    con.execute(f"create view embeddings as select * from '{at}'")
+    for name in ("gradient_profile", "gradient_definitions", "gradient_linear_ramps"):
+        got = queries.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall()
+        assert want and sorted(map(tuple, got.collect())) == sorted(want)
