@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import roles
 from ..sources.shared import save
+from . import pictures as kernels
 from .edges import composite_white, edge_pixels, gap_pixels
 from .images import diff_metrics
+from .pictures import Pictures
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +116,32 @@ def trace_quality(truth: DataFrame, traced: DataFrame, scale: float = 1.0) -> Da
     seen = [composite_white(p.na.fill(0, ["r", "g", "b"])) for p in (truth, traced)]
     edge = [edge_pixels(p) for p in seen]
     d = diff_metrics(*seen).join(edge[0].hint("merge"), "image_id").join(edge[1].withColumnRenamed("edges", "traced_edges").hint("merge"), "image_id").join(gap_pixels(truth, traced).hint("merge"), "image_id")
+    return _shares(d, scale)
+
+
+def resampled_quality(pictures: Pictures, kernel: list[dict[int, float]], scale: float = 1.0) -> DataFrame:
+    """`trace_quality` of pictures against what a kernel of one place (`details.gaussian`) makes of them, in one pass."""
+
+    def run(pile):
+        n, h, w = pile.shape
+        alpha = pile.planes["a"]
+        colours, clear = kernels.samples(pile, kernel, 0, h)
+        truth, traced = kernels.on_white(np.stack([pile.planes[c] for c in "rgb"]), alpha), kernels.on_white(colours, clear)
+        d = np.sqrt(kernels.squares(truth - traced)).reshape(n, -1)
+        columns = [
+            (pile.ids, pa.int64()), (np.full(n, h * w), pa.int64()), (d.mean(axis=1), pa.float64()), ((d > 0.1).sum(axis=1), pa.int64()), (np.abs(alpha - clear).reshape(n, -1).mean(axis=1), pa.float64()),
+            (kernels.edges(truth), pa.int64()), (kernels.edges(traced), pa.int64()), ((alpha == 255).sum(axis=(1, 2)), pa.int64()), (kernels.gaps(alpha, clear), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], [k.split()[0] for k in MEASURES.split(", ")])
+
+    return _shares(pictures.map(run, MEASURES), scale)
+
+
+MEASURES = "image_id long, n long, mean_delta double, n_bad long, alpha_error double, edges long, traced_edges long, opaque long, gaps long"
+
+
+def _shares(d: DataFrame, scale: float) -> DataFrame:
+    """The measures of `trace_quality` from counts and means of each image."""
     over = lambda a, b, empty: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(empty))
     return d.select(
         "image_id", (F.col("mean_delta") * 100).alias("mean_delta_e"), (over("n_bad", "n", 0.0) * 100).alias("bad_pixel_pct"), (over("n_bad", "edges", 0.0) / scale).alias("boundary_error"),
