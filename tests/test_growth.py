@@ -110,7 +110,7 @@ def suppliers(tmp_path, n=12):
     return con
 
 
-@pytest.mark.parametrize("name", ["labels_of_mixtures", "labels_of_thin_features", "unexplained_pixels", "ridge_mask"])
+@pytest.mark.parametrize("name", ["labels_of_mixtures", "labels_of_thin_features", "unexplained_pixels", "ridge_mask", "trace_quality"])
 def test_sketches_stay_where_they_are_drawn(spark, tmp_path, monkeypatch, name):
     """Pictures are dealt out once, to more tasks as they become more; nothing of theirs is moved or written, and rows are the SQL's."""
     from rastermill.plans import queries
@@ -124,4 +124,19 @@ def test_sketches_stay_where_they_are_drawn(spark, tmp_path, monkeypatch, name):
     assert found.rdd.getNumPartitions() == 6 and shared.written(spark) == mark
     assert shown.count("REPARTITION_BY_NUM") == 1 and "ENSURE_REQUIREMENTS" not in shown and "Sort" not in shown
     want = con.execute(f"select {', '.join(found.columns)} from ({queries.ORACLES[name]})").fetchall()
-    assert len(want) > 100 and sorted(map(tuple, found.collect())) == sorted(want)
+    assert want and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["ridges_restored", "detail_colours", "palette_with_details"])
+def test_pixels_of_sketches_are_neither_joined_nor_written(spark, tmp_path, name):
+    from rastermill.plans import queries
+    from rastermill.sources import shared
+
+    con, mark = suppliers(tmp_path), shared.written(spark)
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    shown = found._jdf.queryExecution().executedPlan().toString()
+    assert shared.written(spark) - mark == (name != "ridges_restored")  # palettes alone
+    assert ", x#" not in "".join(line for line in shown.splitlines() if "Join" in line or "Window" in line)
+    want = con.execute(f"select {', '.join(found.columns)} from ({queries.ORACLES[name]})").fetchall()
+    none = lambda rows: sorted(tuple((v is None, v) for v in r) for r in rows)
+    assert want and none(map(tuple, found.collect())) == none(want)
