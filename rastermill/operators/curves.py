@@ -478,18 +478,23 @@ def path_of(start: np.ndarray, segments: list, digits: int = 2, move: bool = Tru
 # ---------------------------------------------------------------- over tables
 
 
-def region_chains(labels: DataFrame, min_area: int = 1) -> DataFrame:
+def region_chains(labels: DataFrame, min_area: int = 1, drawn: bool = False) -> DataFrame:
     """(image_id, chain, left, right, closed, xs, ys): the chains of each image (image_id, x, y, label).
 
     Regions are named by their first pixel in row-major order, outside the image by -1; those below `min_area`
-    have joined a neighbour.
+    have joined a neighbour. `drawn` is as for `regions.gathered`.
     """
+    return chains_of(dense(labels, drawn), min_area)
+
+
+def chains_of(images: DataFrame, min_area: int = 1) -> DataFrame:
+    """`region_chains` of images as `dense` rows."""
 
     def run(batches):
         for b in batches:
             yield chain_rows(b.column("image_id").to_pylist(), [merge_small(grid, min_area) if min_area > 1 else grid for grid in grids(b)])
 
-    return dense(labels).mapInArrow(run, CHAINS)
+    return images.mapInArrow(run, CHAINS)
 
 
 CHAINS = "image_id long, chain int, left long, right long, closed boolean, xs array<int>, ys array<int>"
