@@ -497,6 +497,16 @@ def chains_of(images: DataFrame, min_area: int = 1) -> DataFrame:
     return images.mapInArrow(run, CHAINS)
 
 
+def plane_chains(pictures: DataFrame, draw, plane: str = "r") -> DataFrame:
+    """`region_chains` of pictures that `draw` makes in tasks (`roles.drawn`), whose labels are the values of one plane."""
+
+    def run(batches):
+        for b in draw(batches):
+            yield chain_rows(b.column("image_id").to_pylist(), [v.values.to_numpy().astype(np.int64).reshape(-1, w) for w, v in zip(b.column("width").to_pylist(), b.column(plane), strict=True)])
+
+    return pictures.mapInArrow(run, CHAINS)
+
+
 CHAINS = "image_id long, chain int, left long, right long, closed boolean, xs array<int>, ys array<int>"
 
 
@@ -548,8 +558,8 @@ def chain_rows(images: list[int], pictures: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(chain, pa.int32()), pa.array(left), pa.array(right), pa.array(closed.astype(bool)), *lists], ["image_id", "chain", "left", "right", "closed", "xs", "ys"])
 
 
-#: Fits that a task remembers, of chains of at most so many points: between small regions the same few come up again and again.
-REMEMBERED, SHORT = 50_000, 64
+#: Fits that a task remembers, and how many points their chains have together: the same ones come up again and again.
+REMEMBERED, REMEMBERED_POINTS = 50_000, 4_000_000
 
 
 def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2, points: bool = True) -> DataFrame:
@@ -557,8 +567,8 @@ def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2, points: b
     `segments`, `curves`, `off`, the largest distance from the pixel sides, and `shoe` (`shoelace`). A chain is a unit of work.
 
     `points` tells whether `xs` and `ys` are kept."""
-    # a fixed number of tasks, as for `dense`: fitting is not in proportion to bytes
-    spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "chain")
+    # a fixed number of tasks, as for `dense`: fitting is not in proportion to bytes. Equal chains of all images meet, and are fitted once
+    spread = found.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("closed", "xs", "ys"))
 
     def fitted(closed, xs, ys):
         corners = np.stack([xs, ys], axis=1)
@@ -567,7 +577,7 @@ def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2, points: b
         return path_of(start, segments, digits, move=False), path_of(end, back, digits, move=False), *map(float, start), *map(float, end), len(segments), sum(s[0] == "C" for s in segments), off, shoelace(corners, closed)
 
     def run(batches):
-        known = {}
+        known, held = {}, 0
         for b in batches:
             out, own, at = [], {}, []  # equal fits are one row of `out`; `at` tells which a chain has
             x, y = b.column("xs"), b.column("ys")
@@ -575,16 +585,14 @@ def fitted_chains(found: DataFrame, fit: Fit = Fit(), digits: int = 2, points: b
             shift = (y.offsets.to_numpy() - ends).tolist()
             for closed, i, j, d in zip(b.column("closed").to_numpy(zero_copy_only=False).tolist(), ends[:-1].tolist(), ends[1:].tolist(), shift, strict=False):
                 px, py = xs[i:j], ys[i + d : j + d]
-                if j - i > SHORT:
-                    at.append(len(out))
-                    out.append(fitted(closed, px, py))
-                    continue
                 key = closed, px.tobytes(), py.tobytes()
                 if key not in own:
                     if key not in known:
-                        if len(known) >= REMEMBERED:
+                        if len(known) >= REMEMBERED or held >= REMEMBERED_POINTS:
                             known.clear()
+                            held = 0
                         known[key] = fitted(closed, px, py)
+                        held += j - i
                     own[key] = len(out)
                     out.append(known[key])
                 at.append(own[key])
