@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color, presets
 from ..sources.shared import save
 from . import curves, details, gradients, images, labelling, markup, palette, regions
+from .details import thin_places
+from .pictures import Pictures
 
 
 @dataclass(frozen=True)
@@ -50,12 +54,21 @@ def colours_of(pixels: DataFrame, options: Options) -> DataFrame:
     return save(details.with_details(pixels, kept, options.merge, options.detail_pixels, options.colours), "palette-with-details")
 
 
-def labels_of(pixels: DataFrame, tints: DataFrame, options: Options) -> DataFrame:
-    """(image_id, x, y, label): pixels on edges on their side, thin features whole, small regions merged; -1: see-through."""
-    labels = details.mixed_labels(pixels, tints)
-    labels = details.thin_coverage(labels, tints, options.thin_radius) if options.thin_radius else labels.select("image_id", "x", "y", "label")
+def labels_of(pixels: DataFrame | Pictures, tints: DataFrame, options: Options) -> DataFrame:
+    """(image_id, width, labels), an image a row: pixels on edges on their side, thin features whole, small regions merged; -1: see-through."""
+    pictures = replace(pixels, palette=tints) if isinstance(pixels, Pictures) else Pictures(pixels, tints)
+    thin_radius = options.thin_radius
+
+    def run(pile):
+        found = thin_places(pile, thin_radius)
+        for k, label in enumerate(found):
+            if not np.isnan(pile.lab[k, ..., 0]).any():
+                names = np.where(label < 0, -1, pile.names[k, label]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(pile.ids[k : k + 1]), pa.array([label.shape[1]], pa.int32()), pa.array([names], pa.list_(pa.int64()))], ["image_id", "width", "labels"])
+
+    labels = pictures.map(run, "image_id long, width int, labels array<long>")
     if options.min_area > 1:
-        labels = labelling.merged_labels(labels, tints, options.min_area, options.most_regions, options.hard_regions)
+        labels = labelling.merged_rows(labels, tints, options.min_area, options.most_regions, options.hard_regions)
     return save(labels, "labels")
 
 
@@ -72,22 +85,23 @@ def ramps_of(pixels: DataFrame, parts: DataFrame, bins: int = 24) -> DataFrame:
     return fills.select("image_id", "region", "place", "stops", F.lit("linear").alias("shape"), number.alias("number"))
 
 
-def trace(pixels: DataFrame, options: Options = Options(), tints: DataFrame | None = None, fit: curves.Fit = curves.Fit()) -> DataFrame:
+def trace(pixels: DataFrame | Pictures, options: Options = Options(), tints: DataFrame | None = None, fit: curves.Fit = curves.Fit()) -> DataFrame:
     """(image_id, n_paths, svg) of pixels (image_id, x, y, r, g, b, a), a path for each region in its palette colour or gradient.
 
-    `tints` is a palette to use instead of the one found. Each step's table is written once; images are independent,
+    `tints` is a palette to use instead of the one found. Labels are written once, an image a row; images are independent,
     and regions and chains of one image spread over tasks too.
     """
-    pixels = save(pixels, "pixels")
+    if tints is None or options.gradients:
+        pixels = save(pixels.pixels if isinstance(pixels, Pictures) else pixels, "pixels")
     tints = colours_of(pixels, options) if tints is None else save(tints, "palette")
     labels = labels_of(pixels, tints, options)
-    fitted = save(curves.fitted_chains(save(curves.region_chains(labels), "chains"), fit), "fitted-chains")
-    parts = save(regions.components(labels).select("image_id", "x", "y", F.col("label").cast("long").alias("label"), F.col("root").alias("region")), "parts")
+    fitted = curves.fitted_chains(curves.chains_of(labels), fit, points=False)
     paint = tints.select("image_id", F.col("label").cast("long").alias("label"), color.hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"))
-    paints = parts.select("image_id", "region", "label").distinct().join(paint.hint("merge"), ["image_id", "label"], "left").select("image_id", "region", F.when(F.col("label") >= 0, F.col("colour")).alias("colour"))
-    sizes = labels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    paints = regions.named(labels).join(paint.hint("merge"), ["image_id", "label"], "left").select("image_id", "region", F.when(F.col("label") >= 0, F.col("colour")).alias("colour"))
+    sizes = labels.select("image_id", "width", (F.size("labels") / F.col("width")).cast("int").alias("height"))
     if not options.gradients:
         return curves.draw(curves.region_loops(fitted), paints, sizes, options.stacked)
+    parts = save(regions.components_of(labels).select("image_id", "x", "y", "label", F.col("root").alias("region")), "parts")
     fills = save(ramps_of(pixels, parts.where("label >= 0").select("image_id", "x", "y", "region")), "fills")
     url = F.concat(F.lit("url(#g"), F.col("number").cast("string"), F.lit(")"))
     paints = paints.join(fills.select("image_id", "region", url.alias("_fill")).hint("merge"), ["image_id", "region"], "left").select("image_id", "region", F.coalesce("_fill", "colour").alias("colour"))
